@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality, rollup, sharding, simhash, toxicity, winnowing
+from . import language, mixing, quality, rollup, sharding, simhash, suffix_dedup, toxicity, winnowing
 from ._common import shared_dir, staged, table
 
 SHARDS = 40
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_sharding, op4_winnowing, op6_token_counts, op7_mixing, op8_toxicity, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op4_winnowing, op6_token_counts, op7_mixing, op8_toxicity, op9_quality, op10_language)}
 
 
 #: Words as the operators count them.
