@@ -104,20 +104,21 @@ def rolling_hash(codes: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions that are the rightmost minimum of some window of w hashes (of all, if fewer).
+def window_runs(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, last window): the rightmost minimum of each window of w hashes
+    (of all, if fewer), one row for each run of windows that have it in common.
 
-    Compared are the upper 40 bits; long inputs run in blocks, which changes no result.
+    Compared are the upper 40 bits; long inputs go in blocks, which changes no result.
     """
     n = len(h)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     w = min(w, n)
-    block, found = 1 << 22, []
+    block, chosen, begun = 1 << 18, [], []
+    low = np.uint64((1 << 24) - 1)
     for at in range(0, n - w + 1, block):
         part = h[at : at + block + w - 1]
         m = len(part)
-        low = np.uint64((1 << 24) - 1)
         key = (part & ~low) | (low - np.arange(m, dtype=np.uint64))
         length, best = 1, key
         while length * 2 <= w:
@@ -125,8 +126,15 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
             length *= 2
         if length < w:
             best = np.minimum(best[: m - w + 1], best[w - length : w - length + m - w + 1])
-        at_pos = (low - (best & low)).astype(np.int64)
-        keep = np.ones(len(at_pos), bool)
-        keep[1:] = at_pos[1:] != at_pos[:-1]
-        found.append(at_pos[keep] + at)
-    return np.unique(np.concatenate(found))
+        first = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+        chosen.append((low - (best[first] & low)).astype(np.int64) + at)
+        begun.append(first + at)
+    position, first = np.concatenate(chosen), np.concatenate(begun)
+    new = np.r_[True, position[1:] != position[:-1]]
+    position, first = position[new], first[new]
+    return position, first, np.r_[first[1:], n - w + 1] - 1
+
+
+def window_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """Positions that are the rightmost minimum of some window of w hashes (of all, if fewer)."""
+    return window_runs(h, w)[0]

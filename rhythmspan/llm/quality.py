@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._words import WordIds, gather, learning_rows, row_sums, score_rows, sigmoid
+from ._words import Words, gather, learning_rows, row_sums, score_rows, sigmoid
 
 #: Hashed word features, factors, labelled rows to learn from at most.
 WIDTH, FACTORS, BOUND = 1 << 16, 8, 8000
@@ -19,46 +19,53 @@ STATISTICS = ("symbols", "digits", "capitals", "line breaks", "marks", "distinct
 
 
 def _byte_classes() -> np.ndarray:
-    """Row a class (symbols, digits, capitals, line breaks, marks, blanks), column a byte."""
-    kinds = ["", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\n", ".,;:!?'\"-()", " \t\r\v\f"]
-    out = np.zeros((6, 256))
-    for row, chars in enumerate(kinds):
-        out[row, [ord(c) for c in chars]] = 1
-    out[0, 33:127] = 1 - out[1:5, 33:127].sum(0)
-    out[0, [*range(65, 91), *range(97, 123)]] = 0
+    """Of each byte its class: 0 symbols, 1 digits, 2 capitals, 3 line breaks, 4 marks, 5 blanks, 6 all else."""
+    out = np.full(256, 6)
+    out[33:127] = 0
+    for kind, chars in enumerate(("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\n", ".,;:!?'\"-()", " \t\r\v\f"), 1):
+        out[[ord(c) for c in chars]] = kind
+    out[97:123] = 6
     return out
 
 
 CLASSES = _byte_classes()
 
 
-def statistics(text: str, words: list[str], distinct: int) -> np.ndarray:
-    """The structure statistics, each scaled to [0, 1]."""
-    raw = text.encode("utf-8", "surrogatepass")
-    counts = CLASSES @ np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    n, m = max(1, len(raw)), max(1, len(words))
-    symbols, digits, capitals, breaks, marks, blanks = counts
-    longest = max(map(len, words), default=0)
-    return np.array(
-        [
-            min(1, symbols / n * 4), min(1, digits / n * 4), min(1, capitals / n * 4), min(1, breaks / m * 4), min(1, marks / m),
-            distinct / m, min(1, (n - blanks - breaks) / m / 20), np.log1p(len(words)) / 12, np.log1p(len(text)) / 15, np.log1p(longest) / 6, min(1, blanks / n * 2),
-        ]
-    )
+def statistics(words: Words, distinct: np.ndarray) -> np.ndarray:
+    """The structure statistics of each text, each scaled to [0, 1]."""
+    rows = len(words.counts)
+    of_byte = np.repeat(np.arange(rows), words.sizes + 1)
+    counts = np.bincount(of_byte * 7 + CLASSES[words.buffer], minlength=rows * 7).reshape(rows, 7).astype(float)
+    symbols, digits, capitals, breaks, marks, blanks, _ = counts.T
+    breaks = breaks - 1  # the one that ends the text in the buffer
+    n, m = np.maximum(1, words.sizes), np.maximum(1, words.counts)
+    longest = np.zeros(rows, np.int64)
+    np.maximum.at(longest, words.doc, words.lengths)
+    scaled = [
+        symbols / n * 4, digits / n * 4, capitals / n * 4, breaks / m * 4, marks / m, distinct / m,
+        (n - blanks - breaks) / m / 20, np.log1p(words.counts) / 12, np.log1p(words.sizes) / 15, np.log1p(longest) / 6, blanks / n * 2,
+    ]
+    return np.clip(np.stack(scaled, 1), 0, 1)
 
 
 def featurizer():
-    """A function of a text (null: empty) that gives its (ids, values): statistics in bins, then words."""
-    known = WordIds(WIDTH, len(STATISTICS) * BINS)
-    first = np.arange(len(STATISTICS)) * BINS
-
-    def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = (text or "").split()
-        distinct = set(words)
-        ids = np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))
-        stats = first + np.minimum((statistics(text or "", words, len(distinct)) * BINS).astype(np.int64), BINS - 1)
-        share = 1 / np.sqrt(max(1, len(distinct)))
-        return np.concatenate([stats, ids]).astype(np.int32), np.concatenate([np.ones(len(stats)), np.full(len(distinct), share)]).astype(np.float32)
+    """A function of a list of texts (null: empty) that gives (row starts, ids, values): statistics in bins, then words."""
+
+    def of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = Words(texts, plain=False)
+        rows, stats = len(texts), len(STATISTICS)
+        doc, ids = words.distinct(WIDTH)
+        distinct = np.bincount(doc, minlength=rows)
+        binned = np.arange(stats) * BINS + np.minimum((statistics(words, distinct) * BINS).astype(np.int64), BINS - 1)
+        starts = np.r_[0, np.cumsum(distinct + stats)]
+        out, xs = np.empty(starts[-1], np.int32), np.ones(starts[-1], np.float32)
+        head = (starts[:-1, None] + np.arange(stats)).ravel()
+        out[head] = binned.ravel()
+        rest = np.ones(starts[-1], bool)
+        rest[head] = False
+        out[rest] = ids + stats * BINS
+        xs[rest] = np.repeat(1 / np.sqrt(np.maximum(1, distinct)), distinct)
+        return starts, out, xs
 
     return of
 
@@ -118,9 +125,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, thres
         of, (w0, w, v) = featurizer(), shared.value
 
         def score(texts):
-            got = [of(t) for t in texts]
-            starts = np.r_[0, np.cumsum([len(g[0]) for g in got])]
-            return sigmoid(machine(w0, w, v, starts, np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))[0])
+            return sigmoid(machine(w0, w, v, *of(texts))[0])
 
         return score
 

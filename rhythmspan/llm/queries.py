@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality, rollup, sharding, simhash, suffix_dedup, toxicity, winnowing
+from . import decontamination, language, mixing, quality, rollup, sharding, simhash, suffix_dedup, toxicity, winnowing
 from ._common import shared_dir, staged, table
 
 SHARDS = 40
@@ -31,6 +31,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents enter; documents of low quality leave; then counts are revised with digit runs read as one digit."""
     import uuid
@@ -72,7 +76,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op4_winnowing, op6_token_counts, op7_mixing, op8_toxicity, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_quality, op10_language)}
 
 
 #: Words as the operators count them.

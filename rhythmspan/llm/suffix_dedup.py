@@ -1,16 +1,20 @@
 """Removal of long repeated byte strings.
 
 Every string of ``length`` bytes holds an anchor: the rightmost minimum among the hashes of its
-k-grams. Equal strings hold equal anchors at equal offsets, so each anchor's context (the bytes
-of all strings of that length around it) meets its equals under the anchor's hash:
-
-1. anchors and a hash of each context; a context that occurs twice is repeated as a whole;
-2. anchors with several different contexts (edges of copies, passages): the contexts go to the
-   task of the anchor, where a Burrows-Wheeler transform over them is expanded, breadth first by
-   backward extension, up to the length; runs of rotations that share it are repeated strings;
-3. anchors with very many contexts (a passage in thousands of documents) would make one large
-   task: there each string of the length is hashed and counted by key instead, which is exact too;
-4. the spans of a document meet its text again, which is cut.
+k-grams. Equal strings hold equal anchors at equal offsets, so strings need comparing only with
+others of their anchor:
+
+1. a context is a run of neighbouring strings with one anchor. Contexts are counted by anchor and
+   hash; one that occurs twice is repeated as a whole.
+2. Anchors with several different contexts (edges of copies, edits, passages): their contexts go
+   to the task of the anchor. There, strings at like offsets from the anchor share a core. Cores
+   that occur once are done; where different texts surround a core, it is replaced by one
+   symbol, and a Burrows-Wheeler transform over those texts is expanded, breadth first by backward
+   extension, up to the strings' length: what is still together then is repeated.
+3. An anchor with very many contexts (a passage in thousands of documents) would make one large
+   task; there cores, and the strings around cores that differ, are counted by key instead. That
+   is exact too.
+4. The spans of a document meet its text again, which is cut.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bwt import repeated_starts
-from ._common import map_rows, partitions, rolling_hash, staged, window_minima
+from ._common import map_rows, partitions, rolling_hash, staged, window_runs
 
 LENGTH, GRAM = 400, 80
-#: Contexts of one anchor beyond which its strings are counted by hash; bytes of contexts in a task.
-HOT, TASK_BYTES = 200, 1_500_000
+#: Strings that share a core; contexts of one anchor beyond which strings are counted by key;
+#: bytes of contexts in a task.
+SHARE, HOT, TASK_BYTES = 41, 400, 6_000_000
+#: Bytes of the symbol that stands for a core.
+SYMBOL = 8
 
 ANCHORS = "kind string, h long, c long, id long, x long, pos long, head int, tail int, n int"
 SPANS = "id long, x long, start long, stop long"
@@ -62,12 +69,10 @@ def anchors_of(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(hash, context hash, position, bytes of context before it, bytes from it on) of each anchor."""
     from xxhash import xxh3_64_intdigest
 
-    n, reach = len(raw), length - gram
     h = rolling_hash(np.frombuffer(raw, np.uint8), gram)
-    at = window_minima(h, reach + 1)
-    head, tail = np.minimum(at, reach), np.minimum(n - at, length)
-    context = [xxh3_64_intdigest(raw[p - a : p + b], a) for p, a, b in zip(at.tolist(), head.tolist(), tail.tolist(), strict=True)]
-    return h[at].view(np.int64), np.array(context, np.uint64).view(np.int64), at, head, tail
+    at, first, last = window_runs(h, length - gram + 1)
+    context = [xxh3_64_intdigest(raw[a:b], p - a) for p, a, b in zip(at.tolist(), first.tolist(), (last + length).tolist(), strict=True)]
+    return h[at].view(np.int64), np.array(context, np.uint64).view(np.int64), at, at - first, last + length - at
 
 
 def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -82,9 +87,8 @@ def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(raw) < length:
                     continue
                 h, c, at, head, tail = anchors_of(raw, length, gram)
-                key = np.empty(len(h), [("h", np.int64), ("c", np.int64)])
-                key["h"], key["c"] = h, c
-                _, first, slot, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                # a context is told by both hashes together
+                _, first, slot, n = np.unique(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64), return_index=True, return_inverse=True, return_counts=True)
                 m = len(first)
                 out.append((h[first], c[first], np.full(m, i), np.full(m, x), at[first], head[first], tail[first], n))
                 kinds += ["a"] * m
@@ -105,49 +109,120 @@ def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return map_rows(keyed, build, ANCHORS)
 
 
+def around_cores(context: bytes, head: int, length: int) -> Iterator[tuple[bytes, int, bytes]]:
+    """(core's symbol, offset of the first string, text with the symbol for the core).
+
+    Strings that begin t bytes before the anchor (which is ``head`` bytes into the context) with
+    equal t // SHARE share a core of ``length - SHARE + 1`` bytes. In the text each of them is a
+    string of ``SHARE - 1 + SYMBOL`` bytes.
+    """
+    from xxhash import xxh3_64_digest
+
+    last = len(context) - length
+    for j in range((head - min(head, last)) // SHARE, head // SHARE + 1):
+        least, most = head - (j + 1) * SHARE + 1, head - j * SHARE  # of all strings with this core, here or not
+        symbol = xxh3_64_digest(context[most : least + length], j)
+        first = max(least, 0)
+        yield symbol, first, context[first:most] + symbol + context[least + length : min(most, last) + length]
+
+
 def _task_spans(length: int):
     """Spans of the contexts of one task that are not yet known to be repeated."""
     schema = pa.schema([(k, pa.int64()) for k in ("id", "x", "start", "stop")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[bytes] = []
-        meta: list[np.ndarray] = []
+        texts: dict[bytes, dict[bytes, list[int]]] = {}  # by core: the texts around it and the places of each
+        owners: list[tuple[int, int, int, bool]] = []  # of each context around a core
+        docs: dict[tuple[int, int], int] = {}
         for b in batches:
-            parts += b.column("context").to_pylist()
-            meta.append(np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "x", "start", "single")], 1))
-        if not parts:
-            return
-        ids = np.concatenate(meta)
-        _, doc = np.unique(ids[:, :2], axis=0, return_inverse=True)
-        sizes = np.array([len(p) for p in parts])
-        own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        places = np.repeat((doc.reshape(-1) << 40) + ids[:, 2], sizes) + own
-        flags = repeated_starts(parts, places, length)
-        rows: list[np.ndarray] = []
-        for at, size, (i, x, start, single) in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), ids.tolist(), strict=True):
-            if single and (hit := np.flatnonzero(flags[at : at + size])).size:
-                for a, b in zip(*runs_of(hit, length), strict=True):
-                    rows.append((i, x, start + int(a), start + int(b)))
-        got = np.array(rows, np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(4)], schema=schema)
+            for row in b.to_pylist():
+                doc = docs.setdefault((row["id"], row["x"]), len(docs))
+                for symbol, first, text in around_cores(row["context"], row["head"], length):
+                    texts.setdefault(symbol, {}).setdefault(text, []).append(len(owners))
+                    owners.append((doc, row["start"] + first, row["single"]))
+        hits: list[tuple[int, int, int]] = []
+        parts: list[bytes] = []
+        of_part: list[int] = []
+        short = SHARE - 1 + SYMBOL
+        for around in texts.values():
+            for text, own in around.items():
+                if len({owners[i][:2] for i in own}) > 1:  # these stand at several places
+                    hits += [(owners[i][0], owners[i][1], len(text) - short) for i in own if owners[i][2]]
+                if len(around) > 1:
+                    parts.append(text)
+                    of_part.append(own[0])
+        if parts:
+            sizes = np.array([len(t) for t in parts])
+            ends = np.cumsum(sizes)
+            places = np.repeat([(owners[i][0] << 40) + owners[i][1] for i in of_part], sizes) + np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            flags = repeated_starts(parts, places, short)
+            for i, at, size in zip(of_part, (ends - sizes).tolist(), sizes.tolist(), strict=True):
+                if owners[i][2]:
+                    hits += [(owners[i][0], owners[i][1] + int(o), 0) for o in np.flatnonzero(flags[at : at + size])]
+        names = list(docs)
+        by_doc: dict[int, list[tuple[int, int]]] = {}
+        for doc, start, more in hits:
+            by_doc.setdefault(doc, []).append((start, start + more + length))
+        rows = np.array([(*names[doc], a, b) for doc, spans in by_doc.items() for a, b in merge(spans)], np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], schema=schema)
 
     return run
 
 
-def _strings(contexts: DataFrame, length: int) -> DataFrame:
-    """Every string of the length within each context: ``h, w`` (its hash), ``id, x, at, single``."""
+BLOCKS = "h long, core long, q long, id long, x long, start long, more int, single boolean, text binary"
+
+
+def _blocks(contexts: DataFrame, length: int) -> DataFrame:
+    """The contexts of hot anchors, core by core: ``q`` is the hash of the text around the core."""
+    from xxhash import xxh3_64_intdigest
 
     def build():
         def work(cols):
-            hashes = [rolling_hash(np.frombuffer(c, np.uint8), length) for c in cols["context"]]
+            out: dict[str, list] = {k: [] for k in ("h", "core", "q", "id", "x", "start", "more", "single", "text")}
+            for h, i, x, start, head, single, context in zip(*(cols[k] for k in ("h", "id", "x", "start", "head", "single", "context")), strict=True):
+                for symbol, first, text in around_cores(context, head, length):
+                    q = xxh3_64_intdigest(text) - (1 << 63)
+                    for k, v in zip(out, (h, int.from_bytes(symbol, "big", signed=True), q, i, x, start + first, len(text) - SHARE + 1 - SYMBOL, single, text), strict=True):
+                        out[k].append(v)
+            return out
+
+        return work
+
+    return map_rows(contexts, build, BLOCKS, rows=256)
+
+
+def _strings(blocks: DataFrame) -> DataFrame:
+    """Every string around a core: ``h, core, w`` (its hash), ``id, x, at, single``."""
+
+    def build():
+        def work(cols):
+            hashes = [rolling_hash(np.frombuffer(t, np.uint8), SHARE - 1 + SYMBOL) for t in cols["text"]]
             sizes = np.array([len(h) for h in hashes], np.int64)
             own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            spread = {k: np.repeat(np.array(cols[k], bool if k == "single" else np.int64), sizes) for k in ("h", "id", "x", "start", "single")}
-            return {"h": spread["h"], "w": np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64), "id": spread["id"], "x": spread["x"], "at": spread["start"] + own, "single": spread["single"]}
+            spread = {k: np.repeat(np.array(cols[k], bool if k == "single" else np.int64), sizes) for k in ("h", "core", "id", "x", "start", "single")}
+            return {"w": np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64), "at": spread["start"] + own} | spread
 
         return work
 
-    return map_rows(contexts, build, "h long, w long, id long, x long, at long, single boolean", rows=256)
+    return map_rows(blocks, build, "h long, core long, w long, id long, x long, at long, single boolean", rows=1024)
+
+
+def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """Spans of the contexts of anchors with very many of them, by counting keys; no key's rows meet in a task."""
+    place = F.struct("id", "x", "start")
+    blocks = staged(_blocks(contexts, length), "blocks")
+    around = staged(blocks.groupBy("h", "core", "q").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count_if("single").alias("singles")), "around")
+    copied = blocks.where("single").join(around.where("a <> b").select("h", "core", "q"), ["h", "core", "q"], "left_semi")
+    whole = copied.select("id", "x", "start", (F.col("start") + F.col("more") + length).alias("stop"))
+    differ = around.groupBy("h", "core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "core")
+    edges = blocks.join(around.where("a = b").select("h", "core", "q"), ["h", "core", "q"], "left_semi").unionByName(
+        blocks.join(around.where("a <> b").select("h", "core", "q", F.col("a.id").alias("id"), F.col("a.x").alias("x"), F.col("a.start").alias("start")), ["h", "core", "q", "id", "x", "start"], "left_semi").withColumn("single", F.lit(False))
+    )
+    strings = staged(_strings(edges.join(differ, ["h", "core"], "left_semi")), "strings")
+    at = F.struct("id", "x", "at")
+    many = strings.groupBy("h", "core", "w").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("h", "core", "w")
+    counted = strings.where("single").join(many, ["h", "core", "w"], "left_semi").select("id", "x", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+    return whole.unionByName(counted)
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -166,29 +241,25 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     def build():
         def work(cols):
-            out: dict[str, list] = {k: [] for k in ("h", "m", "id", "x", "start", "single", "context")}
+            out: dict[str, list] = {k: [] for k in ("h", "m", "id", "x", "start", "head", "single", "context")}
             for i, x, text, wanted in zip(cols["id"], cols["x"], cols["text"], cols["wanted"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     start = w["pos"] - w["head"]
-                    for k, v in zip(out, (w["h"], w["m"], i, x, start, w["single"], raw[start : w["pos"] + w["tail"]]), strict=True):
+                    for k, v in zip(out, (w["h"], w["m"], i, x, start, w["head"], w["single"], raw[start : w["pos"] + w["tail"]]), strict=True):
                         out[k].append(v)
             return out
 
         return work
 
-    # equal rows (same id, same text) are one here: their contexts are known to be repeated
+    # equal rows (same id, same text) come twice here, at one place
     texts = keyed.join(wanted, ["id", "x"]).select("id", "x", "text", "wanted")
-    pieces = staged(map_rows(texts, build, "h long, m long, id long, x long, start long, single boolean, context binary", rows=64), "pieces")
+    pieces = staged(map_rows(texts, build, "h long, m long, id long, x long, start long, head int, single boolean, context binary", rows=64), "pieces")
     small = pieces.where(F.col("m") <= HOT)
     size = small.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     tasks = max(partitions(spark), -(-size // TASK_BYTES))
-    expanded = small.repartition(tasks, "h").select("id", "x", "start", "single", "context").mapInArrow(_task_spans(length), SPANS)
-
-    strings = staged(_strings(pieces.where(F.col("m") > HOT), length), "strings")
-    many = strings.groupBy("h", "w").agg(F.min(F.struct("id", "x", "at")).alias("a"), F.max(F.struct("id", "x", "at")).alias("b")).where("a <> b").select("h", "w")
-    counted = strings.where("single").join(many, ["h", "w"], "left_semi").select("id", "x", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    return spans.unionByName(expanded).unionByName(counted)
+    expanded = small.repartition(tasks, "h").select("id", "x", "start", "head", "single", "context").mapInArrow(_task_spans(length), SPANS)
+    return spans.unionByName(expanded).unionByName(hot_spans(pieces.where(F.col("m") > HOT), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

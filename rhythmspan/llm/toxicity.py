@@ -8,12 +8,10 @@ keeps words without evidence at weight zero. Fitted on a bounded sample, applied
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._words import WordIds, gather, learning_rows, row_sums, score_rows, sigmoid
+from ._words import Words, gather, learning_rows, score_rows, sigmoid
 
 WIDTH, BOUND = 1 << 18, 12000
 THRESHOLD = 0.5
@@ -30,42 +28,37 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
     ("old", "young"), ("deaf", "blind", "disabled"),
 )
-SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, term in enumerate(group)}
-EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-
-
-def clean(word: str) -> str:
-    return EDGES.sub("", word.lower())
-
 
-def featurizer():
-    """A function of a text that gives its distinct hashed words."""
-    known = WordIds(WIDTH, 0, clean)
 
-    def of(text: str | None) -> np.ndarray:
-        distinct = set((text or "").split())
-        return np.unique(np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct)))
-
-    return of
+def swaps() -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the identity terms, sorted; ids of the terms that stand in for them)."""
+    terms = [t for group in IDENTITY_TERMS for t in group]
+    others = [group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i in range(len(group))]
+    own, other = (Words(x, plain=True).ids(WIDTH) for x in (terms, others))
+    own, first = np.unique(own, return_index=True)
+    return own, other[first]
 
 
 def with_twin():
-    """A function of a text that gives ids and values: +1 for the text's own words, -1 for words
-    lost and 2 for words won in the twin (nothing but +1 if it names no group)."""
-    of = featurizer()
+    """A function of a list of texts that gives (row starts, ids, values): +1 for a text's own words,
+    -1 for own words lost and 2 for words won in its twin (nothing but +1 if it names no group)."""
+    terms, others = swaps()
+
+    def of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        doc, ids = Words(texts, plain=True).distinct(WIDTH)
+        at = np.minimum(np.searchsorted(terms, ids), len(terms) - 1)
+        named = terms[at] == ids
+        pair = doc * WIDTH + ids
+        enters = np.unique(doc[named] * WIDTH + others[at[named]])
+        lost = named & ~np.isin(pair, enters)
+        won = np.setdiff1d(enters, pair)
+        pairs = np.r_[pair, won]
+        values = np.r_[np.where(lost, -1.0, 1.0), np.full(len(won), 2.0)].astype(np.float32)
+        order = np.argsort(pairs, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(pairs // WIDTH, minlength=len(texts)))]
+        return starts, (pairs[order] % WIDTH).astype(np.int32), values[order]
 
-    def work(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        own = of(text)
-        words = (text or "").split()
-        swapped = [SWAP.get(clean(w), w) for w in words] if any(clean(w) in SWAP for w in set(words)) else None
-        if swapped is None:
-            return own, np.ones(len(own), np.float32)
-        twin = of(" ".join(swapped))
-        lost, won = np.setdiff1d(own, twin), np.setdiff1d(twin, own)
-        values = np.where(np.isin(own, lost), -1.0, 1.0)
-        return np.concatenate([own, won]).astype(np.int32), np.concatenate([values, np.full(len(won), 2.0)]).astype(np.float32)
-
-    return work
+    return of
 
 
 def fit(y: np.ndarray, starts: np.ndarray, ids: np.ndarray, xs: np.ndarray, sparsity: float = SPARSITY, evenness: float = EVENNESS, ridge: float = RIDGE) -> tuple[float, np.ndarray]:
@@ -132,12 +125,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, thre
     shared = docs.sparkSession.sparkContext.broadcast(model)  # width floats
 
     def build():
-        of, (b, w) = featurizer(), shared.value
+        b, w = shared.value
 
         def score(texts):
-            got = [of(t) for t in texts]
-            starts = np.r_[0, np.cumsum([len(g) for g in got])]
-            return sigmoid(b + row_sums(w[np.concatenate(got)], starts))
+            words = Words(texts, plain=True)
+            telling = w[words.ids(WIDTH)] != 0
+            words.doc, words.hashes = words.doc[telling], words.hashes[telling]
+            doc, ids = words.distinct(WIDTH)
+            return sigmoid(b + np.bincount(doc, w[ids], len(texts)))
 
         return score
 
