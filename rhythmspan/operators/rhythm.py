@@ -6,12 +6,14 @@ that lead with it reuse the partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import constants as C
 
-BY = Window.partitionBy("recording_id").orderBy("time_sec", "beat_idx")
+
+def by() -> WindowSpec:
+    return Window.partitionBy("recording_id").orderBy("time_sec", "beat_idx")
 
 
 def usable(rr: Column) -> Column:
@@ -30,8 +32,8 @@ def runs(beats: DataFrame, labels: tuple[str, ...] = ("V", "E")) -> DataFrame:
 
     ``bpm`` is 60 / mean usable RR of the members after the first, for stretches of 3 or more.
     """
-    same = F.col("label").eqNullSafe(F.lag("label").over(BY))
-    marked = beats.withColumn("__run", F.sum(F.when(same, 0).otherwise(1)).over(BY.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__member", same & (F.lag("beat_idx").over(BY).isNotNull()))
+    same = F.col("label").eqNullSafe(F.lag("label").over(by()))
+    marked = beats.withColumn("__run", F.sum(F.when(same, 0).otherwise(1)).over(by().rowsBetween(Window.unboundedPreceding, 0))).withColumn("__member", same & (F.lag("beat_idx").over(by()).isNotNull()))
     rate = F.avg(F.when(F.col("__member") & usable(F.col("rr_sec")), F.col("rr_sec")))
     n = F.count(F.lit(1))
     found = marked.groupBy("recording_id", "__run").agg(F.first("label").alias("label"), F.min("time_sec").alias("start_sec"), F.max("time_sec").alias("end_sec"), n.alias("beats"), F.when(n >= 3, 60 / rate).alias("bpm"))
@@ -64,7 +66,7 @@ def sustained(beats: DataFrame, kind: str, bpm: float, least: int = C.SUSTAINED_
     rate = 60 / F.col("rr_sec")
     match = F.when(F.col("rr_sec") > 0, rate < bpm if kind == "brady" else rate > bpm).otherwise(False)
     marked = beats.withColumn("__match", match)
-    marked = marked.withColumn("__key", F.sum(F.when(F.col("__match"), 0).otherwise(1)).over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("__key", F.sum(F.when(F.col("__match"), 0).otherwise(1)).over(by().rowsBetween(Window.unboundedPreceding, 0)))
     first = F.min(F.struct("time_sec", "beat_idx", "rr_sec"))
     found = marked.where("__match").groupBy("recording_id", "__key").agg(first.alias("f"), F.max("time_sec").alias("end_sec"), F.count(F.lit(1)).alias("beats"))
     return found.where(F.col("beats") >= least).select("recording_id", F.lit(kind).alias("kind"), (F.col("f.time_sec") - F.col("f.rr_sec")).alias("start_sec"), "end_sec", "beats")
@@ -72,7 +74,7 @@ def sustained(beats: DataFrame, kind: str, bpm: float, least: int = C.SUSTAINED_
 
 def rate_windows(beats: DataFrame) -> DataFrame:
     """``recording_id, time_sec, rr_median``: medians of five usable RRs in a row, at the centre beat."""
-    near = [F.lag("rr_sec", 2).over(BY), F.lag("rr_sec", 1).over(BY), F.col("rr_sec"), F.lead("rr_sec", 1).over(BY), F.lead("rr_sec", 2).over(BY)]
+    near = [F.lag("rr_sec", 2).over(by()), F.lag("rr_sec", 1).over(by()), F.col("rr_sec"), F.lead("rr_sec", 1).over(by()), F.lead("rr_sec", 2).over(by())]
     five = beats.where(usable(F.col("rr_sec"))).select("recording_id", "beat_idx", "time_sec", F.array(*near).alias("five"))
     return five.where(F.col("five")[0].isNotNull() & F.col("five")[4].isNotNull()).select("recording_id", "beat_idx", "time_sec", F.sort_array("five")[2].alias("rr_median"))
 
@@ -92,8 +94,8 @@ def rate_stats(beats: DataFrame, brady: float = C.BRADY_BPM["medium"], tachy: fl
 
 def variability(beats: DataFrame) -> DataFrame:
     """``recording_id, nn, sdnn_ms, rmssd_ms, pnn50_pct`` of intervals between adjacent normal beats; null with under 2 differences."""
-    nn = F.when((F.col("label") == "N") & (F.lag("label").over(BY) == "N") & usable(F.col("rr_sec")), F.col("rr_sec") * 1000)
-    rows = beats.withColumn("__nn", nn).withColumn("__d", F.col("__nn") - F.lag("__nn").over(BY))
+    nn = F.when((F.col("label") == "N") & (F.lag("label").over(by()) == "N") & usable(F.col("rr_sec")), F.col("rr_sec") * 1000)
+    rows = beats.withColumn("__nn", nn).withColumn("__d", F.col("__nn") - F.lag("__nn").over(by()))
     enough = F.count("__d") >= 2
     d = F.col("__d")
     out = rows.groupBy("recording_id").agg(
@@ -104,8 +106,8 @@ def variability(beats: DataFrame) -> DataFrame:
 
 def sinus_intervals(beats: DataFrame) -> DataFrame:
     """``recording_id, start_sec, end_sec, escape_beats``: from a normal beat to the next with only escapes between."""
-    upto = F.sum(F.when(F.col("label") == "N", 1).otherwise(0)).over(BY.rowsBetween(Window.unboundedPreceding, -1))
-    rows = beats.withColumn("__seg", upto).withColumn("__from", F.lag("time_sec").over(BY)).where("__seg >= 1")
+    upto = F.sum(F.when(F.col("label") == "N", 1).otherwise(0)).over(by().rowsBetween(Window.unboundedPreceding, -1))
+    rows = beats.withColumn("__seg", upto).withColumn("__from", F.lag("time_sec").over(by())).where("__seg >= 1")
     plain = F.bool_and(F.coalesce(F.col("label").isin("N", "E"), F.lit(False)) & usable(F.col("rr_sec")))
     of = rows.groupBy("recording_id", "__seg").agg(F.min("__from").alias("start_sec"), F.max("time_sec").alias("end_sec"), F.count_if(F.col("label") == "E").alias("escape_beats"), plain.alias("p"), F.bool_or(F.col("label") == "N").alias("closed"))
     return of.where("p and closed").select("recording_id", "start_sec", "end_sec", "escape_beats")
@@ -136,7 +138,7 @@ def hourly(beats: DataFrame, first_hour_sec: Column, pause: float = C.PAUSE_SEC)
     keyed = rows.withColumn("hour", hour(F.col("time_sec")))
     rr = F.col("rr_sec")
     v = F.col("label") == "V"
-    run = F.sum(F.when(v & (F.lag("label").over(BY) == "V"), 0).otherwise(1)).over(BY.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.when(v & (F.lag("label").over(by()) == "V"), 0).otherwise(1)).over(by().rowsBetween(Window.unboundedPreceding, 0))
     counts = keyed.groupBy("recording_id", "hour").agg(
         F.count(F.lit(1)).alias("beats"), F.count_if(v).alias("pvcs"), F.count_if(F.col("label") == "E").alias("escapes"), F.count_if(rr >= pause).alias("pauses"),
         F.count_if(usable(rr)).alias("__rrs"), F.avg(F.when(usable(rr), rr)).alias("__rr"),
