@@ -61,14 +61,13 @@ def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
 
     Ids are cut into ranges at quantiles, so that texts move once, to the range's task; only the
     first document of each range (at most ``ranges`` of them) is joined across. Equal ids are
-    ordered by md5 of their text, null ids come last.
+    ordered by a hash of their text, null ids come last.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).first()[0] if ranges > 1 else None
     cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))])
     nth = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
-    tie = F.when(F.count(F.lit(1)).over(Window.partitionBy("part", "doc_id")) > 1, F.md5("text"))
-    placed = docs.withColumn("part", nth).withColumn("tie", tie)
+    placed = docs.withColumn("part", nth).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     inside = placed.withColumn("next_text", F.lead("text").over(Window.partitionBy("part").orderBy(*order)))
     # the first document of each range, handed to the range before it (the highest range is first)
@@ -84,7 +83,7 @@ def _heads(placed: DataFrame) -> DataFrame:
     nxt = ids.select("part", F.coalesce(F.lead("part").over(follow), F.first("part").over(whole)).alias("from"))
     top = ids.select(F.col("part").alias("p"), "top")
     first = placed.join(F.broadcast(top), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    first = first.groupBy("p").agg(F.min_by("text", F.md5("text")).alias("head"))
+    first = first.groupBy("p").agg(F.min_by("text", F.xxhash64("text")).alias("head"))
     return nxt.join(first, F.col("from") == F.col("p")).select("part", "head")
 
 
