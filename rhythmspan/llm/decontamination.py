@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows
+from ._common import map_rows, partitions
 from ._words import Words
 
 WIDTH, RANK, OVERSAMPLE = 1 << 18, 96, 8
@@ -49,7 +49,7 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarra
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, counts[at]])], names=["bucket", "n"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(width + 1, np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out[:-1], int(out[-1])
@@ -88,7 +88,7 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, ra
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["word", "row"])
 
         parts = items.select("ids").mapInArrow(run, "word long, row array<double>")
-        sums = parts.groupBy("word").agg(F.array(*[F.sum(F.col("row")[i]) for i in range(sketch)]).alias("row")).orderBy("word").toArrow()
+        sums = parts.repartition(partitions(spark), "word").mapInArrow(_row_sums, "word long, row array<double>").orderBy("word").toArrow()
         product = np.zeros_like(basis)
         if sums.num_rows:
             product[sums["word"].to_numpy()] = sums["row"].combine_chunks().flatten().to_numpy().reshape(-1, sketch)
@@ -98,6 +98,15 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, ra
     return basis[:, :keep]
 
 
+def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a word, of a task that holds all rows of its words."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for word, row in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
+            sums[word] = sums[word] + row if word in sums else row
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["word", "row"])
+
+
 def common_subsequence(item: list[int], region: list[int]) -> int:
     """Length of the longest common subsequence of two word sequences (bit-parallel)."""
     masks: dict[int, int] = {}

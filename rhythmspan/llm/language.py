@@ -64,12 +64,14 @@ def learning_counts(docs: DataFrame, bound: int = BOUND, buckets: int = BUCKETS)
 
 def log_probabilities(counts: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """(languages, matrix): smoothed log probabilities, at most buckets x languages numbers."""
-    got = counts.toPandas()
-    langs = sorted(got["lang"].unique().tolist())
+    got = counts.toArrow()
+    names = np.array(got["lang"].to_pylist(), object)
+    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+    langs = sorted(set(names.tolist()))
     matrix = np.ones((buckets, len(langs)))
     for i, lang in enumerate(langs):
-        own = got[got["lang"] == lang]
-        matrix[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
+        own = names == lang
+        matrix[bucket[own], i] += n[own]
     return langs, np.log(matrix / matrix.sum(0)).astype(np.float32)
 
 
