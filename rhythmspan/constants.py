@@ -13,3 +13,9 @@ WINDOW_SEC, FLAT_SHARE, TONE_RATIO, HIGH_RATIO, LOW_RATIO = 5.0, 0.9, 3.0, 4.0,
 PAD_SEC, MERGE_SEC, EDGE_SEC = 2.0, 30.0, 60.0
 #: Published bands.
 MIN_HOURS = 20.0
+#: Off-body tail: least run and share of windows with the lead off; good gap that ends the walk back.
+TAIL_WINDOWS, TAIL_SHARE, REMOVAL_WINDOWS = 360, 0.9, 60
+#: Strips: width, margin around a marked span, most strips of a section and of the hours.
+STRIP_SEC, STRIP_MARGIN_SEC, MAX_STRIPS, MAX_HOUR_STRIPS = 6.0, 1.0, 24, 48
+#: Tolerance of a detection.
+MATCH_SEC = 0.15

@@ -41,6 +41,9 @@ o as (select *, tone_ratio > 2.0 as lead_off, tone_ratio > 2.0 or flat_share > 0
 md as (select recording_id, coalesce(median(ptp) filter (not isout), 0) as mid from o group by recording_id),
 bw as (select recording_id, window_idx, ptp, flat_share, tone_ratio, lead_off, (mid <= 0 or isout or ptp > 1.2 * mid or ptp < 0.85 * mid) as bad from o join md using (recording_id))"""
 
+TYPICAL = f"""n as (select *, list(case when label = 'N' and rr_sec is not null and qrs_sec is not null then struct_pack(r := rr_sec, q := qrs_sec) end) over (partition by recording_id order by time_sec, beat_idx rows between 40 preceding and 1 preceding) as near from b),
+t as (select *, list_filter(near, lambda x: x is not null)[-8:] as k from n)"""
+
 
 def oracle_sql() -> dict[str, str]:
     band = """case when l is null or l < 2.5 then 'ok' when l <= 5 then 'caution' else 'alert' end"""
@@ -82,8 +85,7 @@ j as (select a.recording_id, total_beats, pvc_count, pauses, a.l, s, coalesce(co
 select recording_id, total_beats, pvc_count, round(pvc_count / total_beats * 100, 6) as burden_pct, couplets, triplets, vt_runs, round(fast, 6) as fastest_bpm, pauses, round(l, 6) as longest_sec, round(s, 6) as analyzed_sec, round(p, 6) as pvc_per_24h,
   case when p < 50 then 'ok' when p <= 300 then 'caution' when p is not null then 'alert' end as pvc_status, case when vt_runs = 0 then 'ok' else 'alert' end as vt_status, case when fast is null then 'ok' when fast >= 180 then 'alert' else 'caution' end as rate_status,
   {band} as pause_status, case when s >= 72.0 then 'ok' else 'caution' end as analyzed_status from j""",
-        "beats_typical": f"""{FAST}, n as (select *, list(case when label = 'N' and rr_sec is not null and qrs_sec is not null then struct_pack(r := rr_sec, q := qrs_sec) end) over (partition by recording_id order by time_sec, beat_idx rows between 40 preceding and 1 preceding) as near from b),
-t as (select *, list_filter(near, lambda x: x is not null)[-8:] as k from n)
+        "beats_typical": f"""{FAST}, {TYPICAL}
 select recording_id, beat_idx, round(time_sec, 6) as time_sec, round(rr_sec, 6) as rr_sec, round(qrs_sec, 6) as qrs_sec, label, round(list_median(list_transform(k, lambda x: x.r)), 6) as typical_rr, round(list_median(list_transform(k, lambda x: x.q)), 6) as typical_qrs from t""",
         "windows_bad": f"with {BAD} select recording_id, window_idx, round(ptp, 6) as ptp, round(flat_share, 6) as flat_share, round(tone_ratio, 6) as tone_ratio, lead_off, bad from bw",
         "windows_islands": f"with {BAD}, i as (select recording_id, window_idx, window_idx - row_number() over (partition by recording_id order by window_idx) as k from bw where bad) select recording_id, min(window_idx) as first, max(window_idx) + 1 as after from i group by recording_id, k",
@@ -92,4 +94,35 @@ select recording_id, beat_idx, round(time_sec, 6) as time_sec, round(rr_sec, 6)
         "beats_excluded": f"""{FAST}, {SPANS}, kept as (select * from b where not exists (select 1 from spans s where s.recording_id = b.recording_id and b.time_sec between s.start_sec and s.end_sec)),
 p as (select *, lag(time_sec) over {P} as prior from kept)
 select recording_id, beat_idx, round(time_sec, 6) as time_sec, round(case when exists (select 1 from spans s where s.recording_id = p.recording_id and s.start_sec < p.time_sec and s.end_sec > p.prior) then null else rr_sec end, 6) as rr_sec, round(qrs_sec, 6) as qrs_sec, label from p""",
+        "windows_kept": f"""with {BAD}, c as (select *, coalesce(sum(lead_off::int) over (partition by recording_id order by window_idx rows between unbounded preceding and 1 preceding), 0) as so_far from bw),
+wh as (select recording_id, count(*) as windows, sum(lead_off::int) as offs, bool_and(bad) as throughout from c group by recording_id),
+i as (select recording_id, window_idx, so_far, window_idx - row_number() over (partition by recording_id order by window_idx) as k from c where lead_off),
+ru as (select recording_id, min(window_idx) as first, min(so_far) as so_far, count(*) as n from i group by recording_id, k having count(*) >= 2),
+ta as (select recording_id, min(first) as tail from ru join wh using (recording_id) where not throughout and offs - so_far >= 0.2 * (windows - first) group by recording_id),
+ba as (select recording_id, window_idx, tail, coalesce(lead(window_idx) over (partition by recording_id order by window_idx), tail) as nx from bw join ta using (recording_id) where bad and window_idx < tail),
+mv as (select recording_id, min(window_idx) as moved from ba where not exists (select 1 from ba o where o.recording_id = ba.recording_id and o.window_idx >= ba.window_idx and o.nx - o.window_idx - 1 >= 3) group by recording_id)
+select recording_id, windows, coalesce(moved, tail, windows) as kept from wh left join ta using (recording_id) left join mv using (recording_id)""",
+        "events_catalogue": f"""{FAST}, {TYPICAL}, y as (select recording_id, beat_idx, time_sec, rr_sec, qrs_sec, label, list_median(list_transform(k, lambda x: x.r)) as tr, list_median(list_transform(k, lambda x: x.q)) as tq, coalesce(label = lag(label) over {P}, false) as same from t),
+g as (select *, sum(case when same then 0 else 1 end) over {UPTO} as run from y),
+r as (select recording_id, label, min(time_sec) as start_sec, max(time_sec) as end_sec, count(*) as beats, 60 / avg(case when same and rr_sec <> 0 then rr_sec end) as bpm, arg_min(struct_pack(r := tr, q := tq), beat_idx) as f, count(rr_sec) as rrs, max(qrs_sec) as widest_sec
+  from g where label in ('V', 'E') group by recording_id, run, label)
+select recording_id, label, case when label = 'V' then case when beats = 1 then 'isolated' when beats = 2 then 'couplet' when beats = 3 then 'triplet' when bpm >= 180 then 'tachycardia' else 'slower run' end when beats = 1 then 'escape' when beats = 2 then 'escape couplet' else 'escape run' end as kind,
+  round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, beats, round(bpm, 6) as bpm, round(f.r, 6) as typical_rr, round(f.q, 6) as typical_qrs, case when label = 'V' and beats > 1 then case when beats < 4 or bpm >= 180 then 'alert' else 'caution' end end as status, cast(rrs as int) as rrs, round(widest_sec, 6) as widest_sec from r""",
+        "events_strips": f"""{FAST}, {RUNS}, d as (select recording_id, max(time_sec) as duration_sec from b group by recording_id),
+n as (select recording_id, label, start_sec, end_sec, beats, row_number() over (partition by recording_id, label order by start_sec) - 1 as position, count(*) over (partition by recording_id, label) as total from r),
+s as (select * from n where total <= 4 or exists (select 1 from range(4) as q(i) where round_even(i * (total - 1) / 3.0::double, 0) = position)),
+w as (select *, greatest(6.0, end_sec - start_sec + 2.0) / 2 as half from s join d using (recording_id)), v as (select *, greatest(0.0, (start_sec + end_sec) / 2 - half) as strip_start from w)
+select recording_id, label, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, beats, position, total, round(strip_start, 6) as strip_start, round(least(duration_sec, strip_start + 2 * half), 6) as strip_end from v""",
+        "events_extremes": f"""{FAST}, {WINDOWS5}, {SINUS}, {RUNS}, a as (select recording_id, max(struct_pack(r := rr, t := -time_sec)) as slow, min(struct_pack(r := rr, t := time_sec)) as fast from f5 group by recording_id),
+pb as (select *, coalesce(lag(time_sec) over {P}, time_sec) as prior from b), ps as (select recording_id, max(struct_pack(r := rr_sec, t := -time_sec, p := prior)) as w from pb where rr_sec >= 2.5 group by recording_id),
+sl as (select recording_id, max(struct_pack(d := end_sec - start_sec, s := -start_sec, e := escape_beats)) as l from s group by recording_id), fr as (select recording_id, max(struct_pack(b := bpm, s := -start_sec, e := end_sec)) as x from r where label = 'V' and bpm is not null group by recording_id),
+o as (select recording_id, 'fastest rate' as kind, fast.t as start_sec, fast.t as end_sec, 60 / fast.r as value from a union all select recording_id, 'slowest rate', -slow.t, -slow.t, 60 / slow.r from a
+  union all select recording_id, 'longest pause', w.p, -w.t, w.r from ps semi join a using (recording_id) union all select recording_id, 'longest sinus interval', -l.s, -l.s + l.d, l.d from sl semi join a using (recording_id) where l.e > 0 union all select recording_id, 'fastest run', -x.s, x.e, x.b from fr semi join a using (recording_id))
+select recording_id, kind, round(start_sec, 6) + 0.0 as start_sec, round(end_sec, 6) + 0.0 as end_sec, round(value, 6) as value from o""",
+        "events_hour_samples": f"""{DAY}, h as (select *, 3600.0 - (start_us % 3600000000) / 1e6 as f from b), k as (select recording_id, beat_idx, time_sec, case when time_sec < f then 0 else 1 + cast(floor((time_sec - f) / 3600) as bigint) end as hour from h),
+x as (select recording_id, hour, min(struct_pack(t := time_sec, i := beat_idx)) as m from k group by all), n as (select *, row_number() over (partition by recording_id order by hour) - 1 as position, count(*) over (partition by recording_id) as total from x)
+select recording_id, hour, m.i as beat_idx, position, total from n where total <= 6 or exists (select 1 from range(6) as q(i) where round_even(i * (total - 1) / 5.0::double, 0) = position)""",
+        "detection_scores": f"""{FAST}, h as (select recording_id, time_sec, exists (select 1 from b o where o.recording_id = b.recording_id and o.label = 'E' and (case when o.time_sec <= b.time_sec then b.time_sec - o.time_sec else o.time_sec - b.time_sec end) <= 0.4) as hit from b where label = 'V'),
+t as (select recording_id, count(*) as truth, count(*) filter (hit) as hits from h group by recording_id), f as (select recording_id, count(*) as found from b where label = 'E' group by recording_id)
+select recording_id, truth, coalesce(found, 0) as found, hits, round(hits / truth, 6) as sensitivity, round(hits / greatest(1, coalesce(found, 0)), 6) as precision from t left join f using (recording_id)""",
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labels, quality, rhythm
+from ..operators import evaluate, events, labels, quality, rhythm
 from ..sources import testbeds
 from .screening import screen
 
@@ -17,6 +17,9 @@ BRADY, TACHY = 50.0, 160.0
 #: Limits that trip on the stand-in windows and spans.
 WINDOW_LIMITS = {"flat": 0.05, "tone": 2.0, "high": 1.2, "low": 0.85}
 GAP_SEC = 0.5
+#: Tail rule that trips on the stand-in windows; tolerance of matching on the fast stand-in.
+TAIL = {"least": 2, "share": 0.2, "gap": 3}
+TOLERANCE = 0.4
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -117,9 +120,45 @@ def beats_excluded(spark, d):
     return _rounded(quality.exclude_beats(b, _merged(b)).drop("start_us"))
 
 
+def windows_kept(spark, d):
+    return quality.kept_windows(quality.bad_windows(_rough(spark, d), **WINDOW_LIMITS), **TAIL)
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    sizes = [F.size("rr_list").alias("rrs"), F.array_max("qrs_list").alias("widest_sec")]
+    return events.catalogue(testbeds.beats(spark, d)).select("*", *sizes).drop("rr_list", "qrs_list")
+
+
+def events_catalogue(spark, d):
+    return _rounded(_catalogue(spark, d))
+
+
+def events_strips(spark, d):
+    """Evenly sampled events of each label with their strips."""
+    b = testbeds.beats(spark, d)
+    shown = events.even_sample(rhythm.runs(b), 4, ("recording_id", "label"), ("start_sec",)).drop("bpm")
+    return _rounded(events.strips(shown, _durations(b)))
+
+
+def events_extremes(spark, d):
+    return _rounded(events.extremes(testbeds.beats(spark, d)))
+
+
+def events_hour_samples(spark, d):
+    b = testbeds.beats(spark, d, 6e7)
+    into = F.pmod(F.col("start_us"), F.lit(3_600_000_000)) / 1e6
+    return events.hour_samples(b, F.lit(3600.0) - into, 6).drop("time_sec")
+
+
+def detection_scores(spark, d):
+    b = testbeds.beats(spark, d)
+    return _rounded(evaluate.detection(b.where("label = 'V'"), b.where("label = 'E'"), TOLERANCE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         beats_burden, beats_runs, beats_run_counts, beats_pauses, beats_sustained, beats_rate_stats, beats_variability, beats_sinus_intervals, beats_sinus_summary,
         beats_trend, beats_hourly, beats_screening, beats_labelled, beats_typical, windows_bad, windows_islands, spans_merged, spans_analyzed, beats_excluded,
+        windows_kept, events_catalogue, events_strips, events_extremes, events_hour_samples, detection_scores,
     )
     return {f.__name__: f for f in found}

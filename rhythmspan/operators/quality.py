@@ -85,3 +85,42 @@ def exclude_beats(beats: DataFrame, spans: DataFrame) -> DataFrame:
     kept = kept.withColumn("__before", before)
     cut = F.exists("__spans", lambda s: (s["start_sec"] < t) & (s["end_sec"] > F.col("__before")))
     return kept.withColumn("rr_sec", F.when(~F.coalesce(cut, F.lit(False)), F.col("rr_sec"))).drop("__spans", "__before")
+
+
+def kept_windows(flags: DataFrame, least: int = C.TAIL_WINDOWS, share: float = C.TAIL_SHARE, gap: int = C.REMOVAL_WINDOWS) -> DataFrame:
+    """``recording_id, windows, kept``: where the off-body tail begins (``kept = windows`` if there is none).
+
+    The tail is the earliest run of ``least`` lead-off windows after whose start ``share`` of the
+    rest are lead-off. It moves back over bad windows, across fewer than ``gap`` good ones in a row.
+    Recordings that are bad throughout keep all windows.
+    """
+    by = Window.partitionBy("recording_id").orderBy("window_idx")
+    off = F.col("lead_off").cast("int")
+    rows = flags.select("recording_id", "window_idx", "lead_off", "bad", F.coalesce(F.sum(off).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    whole = rows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("windows"), F.sum(off).alias("__off"), F.bool_and("bad").alias("__all"))
+    runs = islands(rows, "lead_off").where(F.col("after") - F.col("first") >= least)
+    starts = runs.join(rows.withColumnRenamed("window_idx", "first"), ["recording_id", "first"]).join(whole, "recording_id")
+    held = ~F.col("__all") & (F.col("__off") - F.col("__before") >= share * (F.col("windows") - F.col("first")))
+    tails = starts.where(held).groupBy("recording_id").agg(F.min("first").alias("tail"))
+    bad = rows.where("bad").join(tails, "recording_id").where(F.col("window_idx") < F.col("tail"))
+    after = F.coalesce(F.lead("window_idx").over(by), F.col("tail"))
+    back = Window.partitionBy("recording_id").orderBy(F.col("window_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    far = bad.withColumn("__far", (after - F.col("window_idx") - 1 >= gap).cast("int")).withColumn("__stops", F.sum("__far").over(back))
+    moved = far.where("__stops = 0").groupBy("recording_id").agg(F.min("window_idx").alias("moved"))
+    return whole.join(tails, "recording_id", "left").join(moved, "recording_id", "left").select("recording_id", "windows", F.coalesce("moved", "tail", "windows").alias("kept"))
+
+
+def assess(windows: DataFrame, recordings: DataFrame, window_sec: float = C.WINDOW_SEC) -> tuple[DataFrame, DataFrame]:
+    """Judge recordings (``recording_id, recorded_sec``) by their full windows (``recording_id, window_idx, samples``).
+
+    Returns ``recording_id, duration_sec, trimmed_sec`` and the merged spans to leave out. A
+    recording without a full window is left out whole; one of no length has no span.
+    """
+    flags = bad_windows(window_stats(windows)).select("recording_id", "window_idx", "lead_off", "bad")
+    kept = kept_windows(flags)
+    lasts = F.when(F.col("kept") < F.col("windows"), F.col("kept") * window_sec).otherwise(F.col("recorded_sec"))
+    judged = recordings.join(kept, "recording_id", "left").withColumn("duration_sec", lasts)
+    i = F.col("window_idx")
+    found = flags.where("bad").join(kept, "recording_id").where(i < F.col("kept")).select("recording_id", (i * window_sec).alias("start_sec"), ((i + 1) * window_sec).alias("end_sec"))
+    lengths = judged.select("recording_id", "duration_sec", (F.col("recorded_sec") - F.col("duration_sec")).alias("trimmed_sec"))
+    return lengths, merge_spans(with_edges(found, lengths.where("duration_sec > 0")))
