@@ -19,3 +19,15 @@ TAIL_WINDOWS, TAIL_SHARE, REMOVAL_WINDOWS = 360, 0.9, 60
 STRIP_SEC, STRIP_MARGIN_SEC, MAX_STRIPS, MAX_HOUR_STRIPS = 6.0, 1.0, 24, 48
 #: Tolerance of a detection.
 MATCH_SEC = 0.15
+#: Frames of a waveform and what they see of their neighbours.
+FRAME_SEC, HALO_SEC = 300.0, 15.0
+#: Bursts of steepness: smoothing, average and ratio to it, least share of the mean length, distance.
+SMOOTH_SEC, AVERAGE_SEC, BURST_RATIO, BURST_LENGTH, DELAY_SEC = 0.1, 0.75, 1.5, 0.4, 0.3
+#: Place of a peak without a maximum; amplitude around a peak and its least share of the median.
+FIDUCIAL_SEC, BASELINE_SEC, AMPLITUDE_SEC, LEAST_AMPLITUDE = 0.05, 0.2, 0.15, 0.2
+#: Gaps in a fast rhythm and what fills them.
+FAST_RR_SEC, GAP_RATIO, FILL_SHARE, FILL_SEC = 0.8, 1.5, 0.35, 0.25
+#: T waves in a slow rhythm.
+SLOW_RR_SEC, COUPLING_SEC, T_WAVE_SHARE = 0.6, 0.45, 0.25
+#: Width of a QRS: smoothing of its energy, share of the peak, multiple of the noise.
+ENERGY_SEC, WIDTH_SHARE, NOISE_RATIO = 0.03, 0.1, 4.0
