@@ -31,3 +31,5 @@ FAST_RR_SEC, GAP_RATIO, FILL_SHARE, FILL_SEC = 0.8, 1.5, 0.35, 0.25
 SLOW_RR_SEC, COUPLING_SEC, T_WAVE_SHARE = 0.6, 0.45, 0.25
 #: Width of a QRS: smoothing of its energy, share of the peak, multiple of the noise.
 ENERGY_SEC, WIDTH_SHARE, NOISE_RATIO = 0.03, 0.1, 4.0
+#: Least width of a span in a timeline's lane; most beats of a strip that prints every interval.
+LANE_SEC, SPARSE_BEATS = 5.0, 8

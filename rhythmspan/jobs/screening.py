@@ -23,3 +23,30 @@ def screen(beats: DataFrame, min_hours: float = C.MIN_HOURS) -> DataFrame:
         bands.run_rate_status(F.col("fastest_bpm")).alias("rate_status"), bands.pause_status(F.col("longest_sec")).alias("pause_status"),
         bands.analyzed_status(F.col("analyzed_sec"), min_hours).alias("analyzed_status"),
     )
+
+
+def summarize(beats: DataFrame, recordings: DataFrame, presses: DataFrame, brady: float = C.BRADY_BPM["medium"], tachy: float = C.TACHY_BPM["medium"], min_hours: float = C.MIN_HOURS) -> DataFrame:
+    """One wide row for each of ``recordings`` (``recording_id, start_time, duration_sec, trimmed_sec, analyzed_sec``), beats or none.
+
+    Unknown durations fall back to the last beat. Beats are shuffled once, on ``recording_id``.
+    """
+    beats = beats.repartition("recording_id")
+    found = rhythm.runs(beats)
+    rated = found.where("label = 'V' and bpm is not null").groupBy("recording_id").agg(
+        F.max(F.struct("beats", (-F.col("start_sec")).alias("s"), "bpm")).alias("l"), F.max(F.struct("bpm", (-F.col("start_sec")).alias("s"), "beats")).alias("f")
+    )
+    runs = rated.select("recording_id", F.col("l.beats").alias("longest_beats"), F.col("l.bpm").alias("longest_bpm"), F.col("f.beats").alias("fastest_beats"), F.col("f.bpm").alias("fastest_bpm"))
+    events = lambda kind, bpm: rhythm.sustained(beats, kind, bpm).groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{kind}_events"))
+    parts = [
+        rhythm.burden(beats), rhythm.run_counts(found).select("recording_id", "couplets", "triplets", "vt_runs", "escape_couplets", "escape_runs"), runs,
+        rhythm.pauses(beats).withColumnRenamed("longest_sec", "longest_pause"), rhythm.rate_stats(beats, brady, tachy), rhythm.variability(beats),
+        rhythm.sinus_summary(rhythm.sinus_intervals(beats)).select("recording_id", "arrests", F.col("longest_sec").alias("longest_sinus")), events("brady", brady), events("tachy", tachy),
+        beats.groupBy("recording_id").agg(F.count_if(F.col("label") == "E").alias("escapes"), F.max("time_sec").alias("__last")), presses.groupBy("recording_id").agg(F.count(F.lit(1)).alias("presses")),
+    ]
+    out = recordings
+    for part in parts:
+        out = out.join(part, "recording_id", "left")
+    last = F.coalesce("__last", F.lit(0.0))
+    out = out.withColumns({"duration_sec": F.coalesce("duration_sec", last), "analyzed_sec": F.coalesce("analyzed_sec", last), "trimmed_sec": F.coalesce("trimmed_sec", F.lit(0.0)), "burden_pct": F.coalesce("burden_pct", F.lit(0.0))})
+    scaled = bands.pvc_per_24h(F.coalesce("pvc_count", F.lit(0)), F.col("analyzed_sec"), min_hours)
+    return out.withColumns({"pvc_per_24h": scaled, "brady_bpm": F.lit(brady), "tachy_bpm": F.lit(tachy)}).drop("__last")

@@ -124,3 +124,11 @@ def assess(windows: DataFrame, recordings: DataFrame, window_sec: float = C.WIND
     found = flags.where("bad").join(kept, "recording_id").where(i < F.col("kept")).select("recording_id", (i * window_sec).alias("start_sec"), ((i + 1) * window_sec).alias("end_sec"))
     lengths = judged.select("recording_id", "duration_sec", (F.col("recorded_sec") - F.col("duration_sec")).alias("trimmed_sec"))
     return lengths, merge_spans(with_edges(found, lengths.where("duration_sec > 0")))
+
+
+def analyzed_within(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Add ``analyzed_sec`` to rows with ``recording_id, start_sec, end_sec``: their length less the merged spans in it."""
+    arrays = spans.groupBy("recording_id").agg(F.collect_list(F.struct("start_sec", "end_sec")).alias("__spans"))
+    a, b = F.col("start_sec"), F.col("end_sec")
+    lost = F.aggregate("__spans", F.lit(0.0), lambda total, s: total + F.greatest(F.lit(0.0), F.least(s["end_sec"], b) - F.greatest(s["start_sec"], a)))
+    return rows.join(arrays, "recording_id", "left").withColumn("analyzed_sec", b - a - F.coalesce(lost, F.lit(0.0))).drop("__spans")
