@@ -44,8 +44,32 @@ bw as (select recording_id, window_idx, ptp, flat_share, tone_ratio, lead_off, (
 TYPICAL = f"""n as (select *, list(case when label = 'N' and rr_sec is not null and qrs_sec is not null then struct_pack(r := rr_sec, q := qrs_sec) end) over (partition by recording_id order by time_sec, beat_idx rows between 40 preceding and 1 preceding) as near from b),
 t as (select *, list_filter(near, lambda x: x is not null)[-8:] as k from n)"""
 
+SUSTAINED = """kinds as (select 'brady' as kind union all select 'tachy'),
+sm as (select b.*, kind, case when rr_sec > 0 then (case kind when 'brady' then 60 / rr_sec < 50 else 60 / rr_sec > 160 end) else false end as hit from b, kinds),
+sg as (select *, sum(case when hit then 0 else 1 end) over (partition by recording_id, kind order by time_sec, beat_idx rows between unbounded preceding and current row) as k from sm),
+su as (select recording_id, kind, min_by(time_sec - rr_sec, beat_idx) as start_sec, max(time_sec) as end_sec from sg where hit group by recording_id, kind, k having count(*) >= 3)"""
+HOURS = """cut as (select quantile_cont(qrs_sec, 0.9) as cut from b), x as (select recording_id, time_sec as start_sec, time_sec + 600.0 as end_sec from b, cut where qrs_sec >= cut),
+y as (select *, max(end_sec) over (partition by recording_id order by start_sec, end_sec rows between unbounded preceding and 1 preceding) as reach from x),
+z as (select *, sum(case when start_sec - reach <= 30 then 0 else 1 end) over (partition by recording_id order by start_sec, end_sec rows between unbounded preceding and current row) as island from y),
+spans as (select recording_id, min(start_sec) as start_sec, max(end_sec) as end_sec from z group by recording_id, island),
+o as (select recording_id, any_value(3600.0 - (start_us % 3600000000) / 1e6) as f, max(time_sec) as until, any_value(start_us) as start_us from b group by recording_id),
+g as (select recording_id, f, until, start_us, unnest(range(0, (case when until < f then 0 else 1 + cast(floor((until - f) / 3600) as bigint) end) + 1)) as hour from o),
+hr as (select recording_id, hour, start_us, case when hour = 0 then 0.0 else f + (hour - 1) * 3600.0 end as start_sec, least(f + hour * 3600.0, until) as end_sec from g),
+ha as (select hr.recording_id, hr.hour, any_value(start_us) as start_us, any_value(hr.start_sec) as start_sec, any_value(hr.end_sec) as end_sec,
+  any_value(hr.end_sec) - any_value(hr.start_sec) - coalesce(sum(greatest(0.0, least(s.end_sec, hr.end_sec) - greatest(s.start_sec, hr.start_sec))), 0) as analyzed_sec from hr left join spans s using (recording_id) group by all)"""
+
 
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    clock = lambda c: f"strftime(make_timestamp(us0 + cast(round({c} * 1e6) as bigint)), '%H:%M')"
+    rate = lambda c: f"coalesce(printf('%.0f', round_even({c}, 0)), '-') as {c}"
+    found["hourly_text"] = f"""with h as ({found["beats_hourly"]}), q as ({found["hourly_analyzed"]}), s as (select cast(user_id as varchar) as recording_id, min(epoch_us(ts)) as us0 from events group by all)
+select recording_id, hour, {clock("h.start_sec")} || '-' || {clock("h.end_sec")} as label, printf('%.1f', round_even(analyzed_sec / 60, 1)) as minutes, {rate("min_bpm")}, {rate("mean_bpm")}, {rate("max_bpm")},
+  {", ".join(f"cast({c} as varchar) as {c}" for c in ("beats", "pvcs", "couplets", "runs", "escapes", "pauses"))} from h join q using (recording_id, hour) join s using (recording_id)"""
+    return found
+
+
+def _oracle_sql() -> dict[str, str]:
     band = """case when l is null or l < 2.5 then 'ok' when l <= 5 then 'caution' else 'alert' end"""
     return {
         "beats_burden": f"{FAST} select recording_id, count(*) as total_beats, count(*) filter (label = 'V') as pvc_count, round(count(*) filter (label = 'V') / count(*) * 100, 6) as burden_pct from b group by recording_id",
@@ -125,4 +149,19 @@ select recording_id, hour, m.i as beat_idx, position, total from n where total <
         "detection_scores": f"""{FAST}, h as (select recording_id, time_sec, exists (select 1 from b o where o.recording_id = b.recording_id and o.label = 'E' and (case when o.time_sec <= b.time_sec then b.time_sec - o.time_sec else o.time_sec - b.time_sec end) <= 0.4) as hit from b where label = 'V'),
 t as (select recording_id, count(*) as truth, count(*) filter (hit) as hits from h group by recording_id), f as (select recording_id, count(*) as found from b where label = 'E' group by recording_id)
 select recording_id, truth, coalesce(found, 0) as found, hits, round(hits / truth, 6) as sensitivity, round(hits / greatest(1, coalesce(found, 0)), 6) as precision from t left join f using (recording_id)""",
+        "hourly_analyzed": f"{DAY}, {HOURS} select recording_id, hour, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, round(analyzed_sec, 6) as analyzed_sec from ha",
+        "timeline_lanes": f"""{FAST}, {SUSTAINED}, l as (select recording_id, 'press' as lane, time_sec as start_sec, time_sec as end_sec from b where label = 'U' union all select recording_id, 'pvc', time_sec, time_sec from b where label = 'V'
+  union all select recording_id, 'escape', time_sec, time_sec from b where label = 'E' union all select recording_id, 'pause', time_sec, time_sec from b where rr_sec >= 2.5 union all select recording_id, kind, start_sec, greatest(end_sec, start_sec + 5.0) from su)
+select recording_id, lane, round(start_sec, 6) + 0.0 as start_sec, round(end_sec, 6) as end_sec from l""",
+        "timeline_spans": f"{FAST}, {SUSTAINED}, t as (select recording_id, time_sec as t from b union all select recording_id, end_sec from su) select recording_id, round(greatest(60.0, max(t)), 6) as span_sec from t group by recording_id",
+        "strip_beats": f"""{FAST}, {RUNS}, d as (select recording_id, max(time_sec) as duration_sec from b group by recording_id),
+h as (select r.recording_id, start_sec as s, end_sec as e, greatest(6.0, end_sec - start_sec + 2.0) / 2 as half, duration_sec from r join d using (recording_id) where label = 'V'),
+w as (select *, greatest(0.0, (s + e) / 2 - half) as a from h), i as (select b.recording_id, beat_idx, time_sec, rr_sec, label, s, abs(time_sec - s) < 1e-6 or abs(time_sec - e) < 1e-6 as mark from w join b on b.recording_id = w.recording_id and b.time_sec between a and least(duration_sec, a + 2 * half)),
+n as (select *, count(*) over (partition by recording_id, s) as n, lag(mark) over (partition by recording_id, s order by time_sec, beat_idx) as prior from i)
+select distinct recording_id, beat_idx, round(time_sec, 6) as time_sec, case when label in ('N', 'V', 'E') then label else '?' end as letter, case when prior is not null and (n <= 8 or mark or prior) and rr_sec <> 0 then printf('%.2f s', round_even(rr_sec, 2)) end as rr_text from n""",
+        "strip_waveforms": """with v as (select cast(label as varchar) as recording_id, row_number() over (partition by label order by vec_id) - 1 as window_idx, list_transform(embedding, lambda x: round(cast(x as double), 2)) as s from embeddings),
+n as (select *, count(*) over (partition by recording_id) as total from v), t as (select recording_id, window_idx from n where total <= 10 or exists (select 1 from range(10) as q(i) where round_even(i * (total - 1) / 9.0::double, 0) = window_idx)),
+p as (select recording_id, window_idx * 64 + i - 1 as place, s[i] as x from v, range(1, 65) as q(i)), j as (select t.recording_id, t.window_idx as strip_id, place, x from t join p on p.recording_id = t.recording_id and place >= t.window_idx * 64 and place < t.window_idx * 64 + 96),
+m as (select recording_id, strip_id, count(*) as n, min(x) as lo, max(x) as hi, arg_min(x, place) as f, median(x) as m from j group by all)
+select recording_id, strip_id, 0 as channel, cast(n as int) as n, round(lo - m, 6) as lowest, round(hi - m, 6) as highest, round(f - m, 6) + 0.0 as first, greatest(3.0, ceil(hi - lo + 0.2)) as range_mv from m""",
     }

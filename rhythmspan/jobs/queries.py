@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, events, labels, quality, rhythm
+from ..operators import detection, evaluate, events, labels, quality, report, rhythm
 from ..sources import testbeds
-from .screening import screen
+from .screening import screen, summarize
 
 #: Seconds of the fast stand-in that count as enough analysed time, in hours.
 FAST_HOURS = 0.02
@@ -155,10 +155,77 @@ def detection_scores(spark, d):
     return _rounded(evaluate.detection(b.where("label = 'V'"), b.where("label = 'E'"), TOLERANCE))
 
 
+def _hours(spark: SparkSession, d: str) -> DataFrame:
+    """Hours of the day-long stand-in with what is left of them outside the spans."""
+    b = testbeds.beats(spark, d, 6e7)
+    into = F.pmod(F.col("start_us"), F.lit(3_600_000_000)) / 1e6
+    spans = quality.merge_spans(testbeds.spans(b, length=600.0))
+    return quality.analyzed_within(rhythm.hourly(b, F.lit(3600.0) - into), spans)
+
+
+def hourly_analyzed(spark, d):
+    return _rounded(_hours(spark, d).select("recording_id", "hour", "start_sec", "end_sec", "analyzed_sec"))
+
+
+def hourly_text(spark, d):
+    starts = testbeds.beats(spark, d, 6e7).groupBy("recording_id").agg(F.timestamp_micros(F.min("start_us")).cast("timestamp_ntz").alias("start_time"))
+    return report.hourly_table(_hours(spark, d).join(starts, "recording_id"))
+
+
+def _sustained(beats: DataFrame) -> DataFrame:
+    return rhythm.sustained(beats, "brady", BRADY).unionByName(rhythm.sustained(beats, "tachy", TACHY))
+
+
+def timeline_lanes(spark, d):
+    b = testbeds.beats(spark, d)
+    return _rounded(report.lanes(b, _sustained(b), b.where("label = 'U'")))
+
+
+def timeline_spans(spark, d):
+    b = testbeds.beats(spark, d)
+    return _rounded(report.spans(_durations(b), b, _sustained(b)))
+
+
+def strip_beats(spark, d):
+    """Beats on the strips around V runs."""
+    b = testbeds.beats(spark, d)
+    runs = rhythm.runs(b, ("V",)).withColumns({"strip_id": F.col("start_sec").cast("string"), "marks": F.array("start_sec", "end_sec")})
+    return _rounded(report.strip_beats(events.strips(runs, _durations(b)), b).drop("strip_id").distinct())
+
+
+def _waveform(spark: SparkSession, d: str) -> DataFrame:
+    size = F.size("samples")
+    rows = testbeds.windows(spark, d).withColumn("samples", F.transform("samples", lambda x: F.round(x, 2)))
+    return rows.select("recording_id", F.lit(0).alias("channel"), (F.col("window_idx") * size).alias("first_sample"), "samples")
+
+
+def strip_waveforms(spark, d):
+    """Strips of six seconds around ten windows spread over each stand-in, at 16 samples a second."""
+    w = testbeds.windows(spark, d).select("recording_id", "window_idx")
+    shown = events.even_sample(w, 10, ("recording_id",), ("window_idx",)).select("recording_id", F.col("window_idx").alias("strip_id"), (F.col("window_idx") * 4.0).alias("strip_start"), (F.col("window_idx") * 4.0 + 6).alias("strip_end"))
+    got = report.strip_waveforms(shown, _waveform(spark, d), 16.0)
+    x = F.col("samples")
+    return _rounded(got.select("recording_id", "strip_id", "channel", F.size(x).alias("n"), F.array_min(x).alias("lowest"), F.array_max(x).alias("highest"), x[0].alias("first"), "range_mv"))
+
+
+def report_panels(spark, d):
+    b = testbeds.beats(spark, d)
+    left = quality.analyzed_seconds(_merged(b), _durations(b))
+    starts = b.groupBy("recording_id").agg(F.timestamp_micros(F.min("start_us")).cast("timestamp_ntz").alias("start_time"))
+    kept = left.join(starts, "recording_id").withColumn("trimmed_sec", F.lit(0.0))
+    return report.panels(summarize(b, kept, b.where("label = 'U'"), BRADY, TACHY, FAST_HOURS))
+
+
+def waveform_beats(spark, d):
+    """Beats found in the stand-in waveforms, taken at 180 samples a second."""
+    return _rounded(detection.detect(_waveform(spark, d), 180.0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         beats_burden, beats_runs, beats_run_counts, beats_pauses, beats_sustained, beats_rate_stats, beats_variability, beats_sinus_intervals, beats_sinus_summary,
         beats_trend, beats_hourly, beats_screening, beats_labelled, beats_typical, windows_bad, windows_islands, spans_merged, spans_analyzed, beats_excluded,
         windows_kept, events_catalogue, events_strips, events_extremes, events_hour_samples, detection_scores,
+        hourly_analyzed, hourly_text, timeline_lanes, timeline_spans, strip_beats, strip_waveforms, report_panels, waveform_beats,
     )
     return {f.__name__: f for f in found}
