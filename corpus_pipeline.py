@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhythmspan.llm import decontamination, mixing, quality, sharding, simhash
+from rhythmspan.llm import decontamination, mixing, quality, sharding, similar
 from rhythmspan.llm._common import staged, table
 
 SHARDS = 40
-#: Shingles of five words in this stage; the radius in bits is the operator's.
+#: Words in a shingle of the near-dedup stage, which links from a Jaccard of 0.8.
 SHINGLE = 5
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,9 +27,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links, directly or by others, the one of the least id stays; of repeated ids one row."""
-    first = simhash.near_duplicates(docs, words_in=SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+    """Of documents linked, directly or by others, by a Jaccard of five-word shingles of 0.8 or more, one row stays.
+
+    It is the one of the least id (null ids last; of equal ids the least text hash); of rows of the
+    same id and text one. Rows of one id whose texts are not linked all stay.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = similar.groups(docs, SHINGLE).groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__first"))
+    hashed = docs.select(*DOCUMENTS, similar.text_hash().alias("__hash"))
+    kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__first")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).select(*DOCUMENTS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
