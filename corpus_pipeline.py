@@ -20,10 +20,13 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score below its threshold) go."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*DOCUMENTS)
+    """Rows that the quality classifier rejects (score below its threshold) go.
+
+    The verdict is on the row: of a repeated id only the rejected rows go, and rows of a null id
+    are judged like any other.
+    """
+    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"), carry=DOCUMENTS)
+    return scores.where("predicted = 1").select(*DOCUMENTS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*DOCUMENTS)
+    """Rows whose text holds a benchmark passage go.
+
+    The verdict goes by the hash of the text: other rows of the same id stay, and rows of a null
+    id go if their text does.
+    """
+    hashed = docs.select(*DOCUMENTS, similar.text_hash().alias("__hash"))
+    texts = hashed.select(F.col("__hash").alias("doc_id"), "text")
+    found = decontamination.matches(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__hash")).distinct()
+    return hashed.join(found, "__hash", "left_anti").select(*DOCUMENTS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

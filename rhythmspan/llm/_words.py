@@ -127,20 +127,25 @@ def gather(rows: DataFrame, build: Callable, bound: int) -> tuple[np.ndarray, np
     return y, starts, ids.flatten().to_numpy(), xs.flatten().to_numpy()
 
 
-def score_rows(docs: DataFrame, build: Callable, fold: int, rest: int, threshold: float) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; ``build()`` gives a function of a list of texts."""
+def score_rows(docs: DataFrame, build: Callable, fold: int, rest: int, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; ``build()`` gives a function of a list of texts.
+
+    Columns named in ``carry`` come back unchanged with their row, after these.
+    """
 
     def make():
         of = build()
 
         def work(cols):
-            score = np.clip(of(cols["text"]), 0.0, 1.0)
-            return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)}
+            score = np.clip(of(cols["__text"]), 0.0, 1.0)
+            return {"doc_id": cols["__id"], "held_out": cols["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)} | {c: cols[c] for c in carry if c != "doc_id"}
 
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc32_of_id() % fold == rest).alias("held_out"))
-    return map_rows(rows, make, "doc_id long, held_out boolean, score double, predicted int", rows=64)
+    kept = [F.col(c) for c in carry if c != "doc_id"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), (crc32_of_id() % fold == rest).alias("held_out"), *kept)
+    schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    return map_rows(rows, make, schema, rows=64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

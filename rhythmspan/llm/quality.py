@@ -111,12 +111,13 @@ def fit(y: np.ndarray, starts: np.ndarray, ids: np.ndarray, xs: np.ndarray, epoc
     return w0, w.astype(np.float32), v.astype(np.float32)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, threshold: float = THRESHOLD) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document (score: how likely quality is 1).
 
     Learns from at most ``bound`` labelled rows outside the fold crc32(doc_id) mod 5 = 0; only
     texts are inputs. Null and empty texts get the score of a text without words. Repeated rows
-    are scored alike. No labels: every score is 0.5. Other columns are not read.
+    are scored alike. No labels: every score is 0.5. Columns
+    named in ``carry`` come back with their row; others are not read.
     """
     model = fit(*gather(learning_rows(docs, labels, "quality", 5, bound), featurizer, bound))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # width * (factors + 1) floats
@@ -129,4 +130,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, thres
 
         return score
 
-    return score_rows(docs, build, 5, 0, threshold)
+    return score_rows(docs, build, 5, 0, threshold, carry)

@@ -73,3 +73,41 @@ def test_radius_reaches_pairs_of_four_fifths(n):
         both, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, k, dtype=np.uint64) for k in (n - changed, changed, changed))
         near += (similar.fingerprint(np.r_[both, a]) ^ similar.fingerprint(np.r_[both, b])).bit_count() <= similar.RADIUS
     assert near >= 299
+
+
+def save(spark, folder, docs, items=(), labels=()):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def pairs(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_near_dedup_keeps_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    docs = table(spark, [(None, a), (None, b), (7, c), (7, d), (7, d), (3, d.upper()), (None, c), (None, None)])
+    assert pairs(corpus_pipeline.one_of_each_group(spark, docs, "")) == sorted([(None, a), (None, b), (7, c), (3, d.upper()), (None, None)], key=str)
+
+
+def test_quality_judges_rows(spark, tmp_path):
+    rng = random.Random(2)
+    good, bad = ([prose(rng, 60) for _ in range(120)] for _ in range(2))
+    bad = [" | ".join(t.split()) for t in bad]
+    labels = [(i, int(i < 120), 0) for i in range(240)]
+    extra = [(None, prose(rng, 60)), (None, " | ".join(prose(rng, 60).split())), (900, prose(rng, 60)), (900, " | ".join(prose(rng, 60).split()))]
+    docs = table(spark, [*enumerate(good + bad), *extra])
+    got = pairs(corpus_pipeline.keep_quality(spark, docs, save(spark, tmp_path, docs, labels=labels)))
+    assert [p for p in got if p[0] is None or p[0] == 900] == sorted([extra[0], extra[2]], key=str)
+
+
+def test_decontamination_judges_rows(spark, tmp_path):
+    rng = random.Random(4)
+    item, clean = prose(rng, 40), [prose(rng, 120) for _ in range(30)]
+    dirty = [f"{prose(rng, 30)} {item} {prose(rng, 20)}" for _ in range(2)]
+    docs = table(spark, [*enumerate(clean[2:]), (None, clean[0]), (None, dirty[0]), (500, clean[1]), (500, dirty[1])])
+    got = pairs(corpus_pipeline.without_benchmark(spark, docs, save(spark, tmp_path, docs, [(1, item)])))
+    assert got == sorted([*enumerate(clean[2:]), (None, clean[0]), (500, clean[1])], key=str)
