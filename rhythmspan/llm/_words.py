@@ -89,6 +89,17 @@ class Words:
         return both // width, both % width
 
 
+def runs(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of every run of ``n`` words within a text."""
+    at = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :])
+    h = np.full(len(at), n, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(BASE) + hashes[at + i]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    return at, h ^ (h >> np.uint64(29))
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, held_out_of: int, bound: int) -> DataFrame:
     """``doc_id, text, y`` of at most ``bound`` labelled documents outside the held-out fold.
 

@@ -1,12 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give inverse document frequencies.
+   Passages around a run of words of an item are not counted, so that documents which quote an
+   item don't lower the weight of its words.
 2. The benchmark goes in blocks of a bounded number of items. A distributed randomised SVD of the
    block's TF-IDF passages gives a latent space (weight of a word: sqrt(count) * idf).
 3. The words of every document are projected, summed to cells and to overlapping windows about as
    long as the items, and each window is compared with all items of its length. Windows whose
    mass on words of the block can't reach the cosine are not compared.
-4. Candidates are checked by the longest common subsequence of words and by the item's answer
+4. Every place where a document has a run of words of an item (all of them, if it has fewer) is
+   a candidate too, whatever its cosine: verbatim passages are found without exception.
+5. Candidates are checked by the longest common subsequence of words and by the item's answer
    words, so paraphrases with edits are found and mere likeness of topic is not.
 
 No candidate list is cut off; there is no join of all pairs.
@@ -15,6 +19,7 @@ No candidate list is cut off; there is no join of all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_rows, partitions
-from ._words import Words
+from ._words import Words, runs
 
 WIDTH, RANK, OVERSAMPLE = 1 << 18, 96, 8
 #: Items that share a latent space; the rank keeps most of what so many rare words say.
@@ -33,17 +38,67 @@ COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, ANSWER_WORDS = 0.35, 0.8, 0.6, 0.6,
 #: Words in a cell; windows are whole cells, their lengths grow by this factor, and items get the
 #: first that holds 1.25 times their words. A window starts every third of its length.
 CELL, FIRST_WINDOW, WINDOW_GROWTH, STEPS = 4, 12, 1.4, 3
+#: Words of a run that makes a candidate by itself.
+RUN = 5
 
 
-def document_frequencies(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int]:
-    """(documents with each hashed word, documents), over all documents; ``width`` numbers reach the driver."""
+class Runs:
+    """The runs of words of some items (sequences of 64-bit word hashes), for looking them up in texts.
+
+    24 bytes a word of the items.
+    """
+
+    def __init__(self, items: list[list[int]]):
+        lengths = np.array([len(i) for i in items], np.int64)
+        self.lengths, self.by_size = lengths, {}
+        for n in np.unique(np.minimum(lengths, RUN))[::-1].tolist():
+            which = np.flatnonzero(np.minimum(lengths, RUN) == n) if n else []
+            if not len(which):
+                continue
+            doc = np.repeat(which, lengths[which])
+            at, h = runs(np.concatenate([np.array(items[i], np.int64) for i in which]).view(np.uint64), doc, n)
+            start = np.cumsum(lengths[which]) - lengths[which]
+            offset = at - np.repeat(start, lengths[which])[at]
+            order = np.argsort(h, kind="stable")
+            self.by_size[n] = (h[order], doc[at][order], offset[order])
+
+    def places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(item, word where the item would start) of every run that the texts share with an item."""
+        items, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (known, item, offset) in self.by_size.items():
+            at, h = runs(words.hashes, words.doc, n)
+            low = np.searchsorted(known, h)
+            found = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h)
+            low, times = low[found], np.searchsorted(known, h[found], side="right") - low[found]
+            where = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            items.append(item[where])
+            starts.append(np.repeat(at[found], times) - offset[where])
+        return np.concatenate(items), np.concatenate(starts)
+
+    def quoted(self, words: Words) -> np.ndarray:
+        """Of each word: is it where an item stands that the text shares a run with."""
+        item, start = self.places(words)
+        steps = np.zeros(len(words.hashes) + 1, np.int64)
+        np.add.at(steps, np.clip(start, 0, len(words.hashes)), 1)
+        np.add.at(steps, np.clip(start + self.lengths[item], 0, len(words.hashes)), -1)
+        return np.cumsum(steps)[:-1] > 0
+
+
+def document_frequencies(docs: DataFrame, items: list[list[int]], width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """(documents with each hashed word, documents), over all documents; ``width`` numbers reach the driver.
+
+    Words where a document quotes one of ``items`` don't count.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Runs(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(width, np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 texts = batch.column(0).slice(at, 64).to_pylist()
-                found = Words(texts, plain=True).distinct(width)[1]
+                words = Words(texts, plain=True).without_repeats()
+                own = ~shared.value.quoted(words)
+                found = np.unique(words.doc[own] * width + words.ids(width)[own]) % width
                 counts += np.bincount(found, minlength=width)
                 n += len(texts)
         at = np.flatnonzero(counts)
@@ -138,20 +193,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, commo
     documents or items come back once for each pair of ids. Other columns are not read. Empty
     tables give an empty one.
     """
-    spark = docs.sparkSession
-    df, n_docs = document_frequencies(docs)
-    idf = np.log((1.0 + n_docs) / (1.0 + df)).astype(np.float32) + np.float32(1e-3)
-
     def ids_of():
         def work(cols):
             words = Words(cols["text"], plain=True).without_repeats()
-            return {"item_id": cols["item_id"], "ids": np.split(words.ids(WIDTH), np.cumsum(words.counts)[:-1])}
+            ends = np.cumsum(words.counts)[:-1]
+            return {"item_id": cols["item_id"], "ids": np.split(words.ids(WIDTH), ends), "words": np.split(words.hashes.view(np.int64), ends)}
 
         return work
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     blocks = max(1, -(-items.count() // items_in_block))
-    ids = map_rows(items, ids_of, "item_id long, ids array<int>").where(F.size("ids") > 0)
+    ids = map_rows(items, ids_of, "item_id long, ids array<int>, words array<long>").where(F.size("ids") > 0)
+    df, n_docs = document_frequencies(docs, ids.select("words").toArrow()["words"].to_pylist())
+    idf = np.log((1.0 + n_docs) / (1.0 + df)).astype(np.float32) + np.float32(1e-3)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for block in range(blocks):
@@ -179,11 +233,11 @@ def _search(rows: DataFrame, items: DataFrame, idf: np.ndarray, cosine: float, c
         lengths.setdefault(window_of(len(s)), []).append(i)
     # a row of zeros at the end stands for all words that are in no item
     weighted = np.concatenate([basis * idf[vocabulary][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    model = (own["item_id"].to_pylist(), sequences, place, weighted, {w: (np.array(i), latent[i].astype(np.float32)) for w, i in lengths.items()}, idf)
+    model = (own["item_id"].to_pylist(), sequences, place, weighted, {w: (np.array(i), latent[i].astype(np.float32)) for w, i in lengths.items()}, idf, Runs(own["words"].to_pylist()), latent.astype(np.float32))
     shared = spark.sparkContext.broadcast(model)
 
     def build():
-        item_ids, sequences, place, words, by_window, idf = shared.value
+        item_ids, sequences, place, words, by_window, idf, item_runs, latent_of = shared.value
         mass_of = idf.astype(np.float64) ** 2
 
         def candidates(seq: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
@@ -211,13 +265,27 @@ def _search(rows: DataFrame, items: DataFrame, idf: np.ndarray, cosine: float, c
                 for i, k in zip(*np.nonzero(scores >= cosine), strict=True):
                     yield int(at[i]) * CELL, min(int(to[i]) * CELL, len(seq)), int(which[k]), float(scores[i, k])
 
+        def by_runs(split: Words, seq: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+            """As ``candidates``, for all places of a run of an item; windows have the item in their middle."""
+            which, start = item_runs.places(split)
+            if not len(which):
+                return
+            sizes = np.array([window_of(n) for n in item_runs.lengths.tolist()], np.int64)[which]
+            # nearby starts share a window: what is checked reaches half a window further to both sides
+            kept = np.unique(np.stack([which, start // (sizes // 4)]), axis=1, return_index=True)[1]
+            for k, at, w in zip(which[kept].tolist(), start[kept].tolist(), sizes[kept].tolist(), strict=True):
+                a = at - (w - int(item_runs.lengths[k])) // 2
+                a, b = max(0, a), min(len(seq), a + w)
+                score = words[place[seq[a:b]]].sum(0) @ latent_of[k] / np.sqrt(max(mass_of[seq[a:b]].sum(), 1e-9))
+                yield a, b, k, float(score)
+
         def search(doc_ids: list, texts: list) -> Iterator[tuple]:
             split = Words(texts, plain=True).without_repeats()
             ends = np.cumsum(split.counts)
             seq = split.ids(WIDTH)
             if not len(seq) or not by_window:
                 return
-            for a, b, k, score in candidates(seq):
+            for a, b, k, score in chain(candidates(seq), by_runs(split, seq)):
                 item = sequences[k]
                 reach = (b - a) // 2
                 # a window may touch several documents: each is checked by itself

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from rhythmspan.llm import similar
+from rhythmspan.llm import decontamination, similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id long"
 
@@ -111,3 +111,15 @@ def test_decontamination_judges_rows(spark, tmp_path):
     docs = table(spark, [*enumerate(clean[2:]), (None, clean[0]), (None, dirty[0]), (500, clean[1]), (500, dirty[1])])
     got = pairs(corpus_pipeline.without_benchmark(spark, docs, save(spark, tmp_path, docs, [(1, item)])))
     assert got == sorted([*enumerate(clean[2:]), (None, clean[0]), (500, clean[1])], key=str)
+
+
+def test_decontamination_finds_what_a_third_of_documents_quote(spark):
+    """Every third document holds the item (verbatim or with every ninth word replaced), amid words of its own."""
+    rng = random.Random(12)
+    item, other = prose(rng, 40), prose(rng, 25)
+    edited = " ".join("other" if k % 9 == 8 else w for k, w in enumerate(item.split()))
+    texts = [f"{prose(rng, 60 + i % 23)} {(item, edited)[i % 2]} {prose(rng, 70)}" if i % 3 == 0 else prose(rng, 150) for i in range(120)]
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "single")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(table(spark, enumerate(texts)), bench).collect()}
+    want = {(i, 1) for i, t in enumerate(texts) if decontamination.common_subsequence(item.split(), t.split()) >= 0.8 * 40}
+    assert len(want) == 40 and got == want
