@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._common import map_rows, partitions, rolling_hash, window_minima
 
-GRAM, WINDOW = 24, 100
+GRAM, WINDOW = 8, 10
 #: Ranges that ids are cut into for finding each document's neighbour; small enough to be a task's work.
 RANGES_PER_PARTITION = 2
 
@@ -40,7 +40,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint_text(hashes: np.ndarray) -> str:
     """Ten hexadecimal digits for each chosen hash, in order of position, apart by a space."""
-    return " ".join(map("{:010x}".format, hashes.tolist()))
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex(" ", 5)
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
