@@ -123,3 +123,9 @@ def test_decontamination_finds_what_a_third_of_documents_quote(spark):
     got = {(r.doc_id, r.item_id) for r in decontamination.matches(table(spark, enumerate(texts)), bench).collect()}
     want = {(i, 1) for i, t in enumerate(texts) if decontamination.common_subsequence(item.split(), t.split()) >= 0.8 * 40}
     assert len(want) == 40 and got == want
+
+
+def test_near_dedup_of_an_empty_table(spark):
+    none = table(spark, [(1, "x")]).limit(0)
+    assert similar.groups(none).count() == 0
+    assert corpus_pipeline.one_of_each_group(spark, none, "").count() == 0
