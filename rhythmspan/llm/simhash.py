@@ -67,41 +67,49 @@ def fingerprints(docs: DataFrame, words_in: int = SHINGLE) -> DataFrame:
 class BKTree:
     """A BK-tree over distinct 64-bit values, searched by many queries at once.
 
-    A node is (value index, {distance: child}); ``leaf`` values or fewer stay in a flat node.
+    A node is (value, {Hamming distance: child}); ``leaf`` values or fewer stay in a flat node.
     """
 
     leaf = 24
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.root = np.arange(len(values))
-
-    def search(self, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each value p, the values q within the radius that share its path: (p, array of q)."""
-        v = self.values
-        stack = [(self.root, self.root)]
+        self.root = self._node(np.arange(len(values)))
+
+    def _node(self, members: np.ndarray):
+        if len(members) <= self.leaf:
+            return members, None
+        pivot, rest = members[0], members[1:]
+        to = np.bitwise_count(self.values[rest] ^ self.values[pivot])
+        return int(pivot), {int(edge): self._node(rest[to == edge]) for edge in np.unique(to)}
+
+    def search(self, radius: int, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(index of a value, indices of the queries within the radius of it), following only edges within the radius."""
+        v, stack = self.values, [(self.root, np.arange(len(queries)))]
         while stack:
-            members, queries = stack.pop()
-            if len(members) <= self.leaf:
-                near = np.bitwise_count(v[members][:, None] ^ v[queries][None, :]) <= radius
-                for i, m in enumerate(members.tolist()):
-                    yield m, queries[near[i]]
+            (own, children), asked = stack.pop()
+            if children is None:
+                for at in range(0, len(asked), 1 << 16):
+                    part = asked[at : at + (1 << 16)]
+                    near = np.bitwise_count(v[own][:, None] ^ queries[part][None, :]) <= radius
+                    for i in np.flatnonzero(near.any(axis=1)).tolist():
+                        yield int(own[i]), part[near[i]]
                 continue
-            pivot, rest = members[0], members[1:]
-            d = np.bitwise_count(v[queries] ^ v[pivot]).astype(np.int16)
-            yield int(pivot), queries[d <= radius]
-            to = np.bitwise_count(v[rest] ^ v[pivot]).astype(np.int16)
-            for edge in np.unique(to):
-                asked = queries[np.abs(d - edge) <= radius]
-                if len(asked):
-                    stack.append((rest[to == edge], asked))
+            d = np.bitwise_count(queries[asked] ^ v[own]).astype(np.int16)
+            yield own, asked[d <= radius]
+            for edge, child in children.items():
+                followed = asked[np.abs(d - edge) <= radius]
+                if len(followed):
+                    stack.append((child, followed))
 
 
 def shard_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest (index pairs) of the links between distinct values."""
     label = np.arange(len(values))
     links = []
-    for p, near in BKTree(values).search(radius):
+    for p, near in BKTree(values).search(radius, values):
+        if len(near) < 2:
+            continue
         labels, first = np.unique(label[near], return_index=True)
         other = labels != label[p]
         if other.any():
@@ -150,20 +158,42 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.repartition(2 * partitions(distinct.sparkSession), "key").mapInArrow(_links_of_partition(radius), "u long, v long").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars: each node with the least node it reaches by them."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    nodes, index = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = index[: len(u)], index[len(u) :]
+    root = np.arange(len(nodes))
+    while True:  # hand the lesser root to the greater one, then shorten all ways
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, root``: the least node of each node's component, for all nodes that have a link.
 
-    Alternates large stars (hand higher neighbours to the least one) and small stars (hand lower
-    ones) until no link changes. Every round is a table in the shared folder.
+    Edges are first turned into stars within each task. Then large stars (hand higher neighbours
+    to the least one) and small stars (hand lower ones) alternate until no link changes. Every
+    round is a table in the shared folder; its joins are not broadcast.
     """
-    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    stars = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long")
+    edges = staged(stars.distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = staged(small, "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -1,15 +1,20 @@
-"""Groups of documents alike by Jaccard of word shingles: SimHash as a filter, exact shingles as the test.
+"""Groups of documents alike by Jaccard of word shingles: SimHash and BK-trees find, exact shingles decide.
 
 A SimHash radius that reaches a similarity of 0.8 (about 9 bits of 64 on average, up to 20) leaves
-no blocks that select, so the shards are of shingles instead: with all shingles in one order, rare
-ones first, two sets of Jaccard >= 4/5 share one of their first n - ceil(4n/5) + 1 shingles. That
-holds without exception, so no pair is lost by sharding. In a shard:
-
-1. every text is compared with one of the shard (another one in each shard), which takes time
-   linear in the shard; links are confirmed by their exact Jaccard and joined to components;
-2. texts that are still in different components are compared pair by pair.
-
-A pair goes to the exact test if sizes allow it and SimHash is within the radius.
+no blocks that select, so the shards are of shingles: with all shingles in one order, rare ones
+first, two sets of Jaccard >= 4/5 share one of their first n - ceil(4n/5) + 1 shingles. That
+holds without exception, so no pair is lost by sharding. In the shards:
+
+1. every text is held against one text of each of its shards (another one in each), which takes
+   time linear in the shards; what links is joined to components;
+2. texts of a shard that are in different components by then meet a BK-tree over the SimHash of the
+   shard's texts. A large shard is cut into trees of bounded size, and the texts outside its largest
+   component are sent to each of them. Of each two components the nearest few pairs are tested
+   first, and more of them only where those fail.
+
+Before its exact Jaccard is taken, a pair has to pass SimHash and a parity sketch: one bit for an
+odd number of shingles in a bucket. Two sketches differ in no more bits than the sets differ in
+shingles, so that test loses nothing either.
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ from pyspark.sql import functions as F
 
 from ._common import map_rows, partitions, staged
 from ._words import BASE, Words
-from .simhash import connected_components
+from .simhash import BKTree, connected_components
 
 #: Words in a shingle; least Jaccard as a fraction; bits that SimHash of such a pair may differ in.
 SHINGLE, NUMERATOR, DENOMINATOR, RADIUS = 5, 4, 5, 24
-#: Buckets that shingles are counted in for the order, and the share of texts that is counted
-#: (any order gives the same links; a good one gives small shards).
-BUCKETS, COUNTED_OF = 1 << 18, 8
+#: Buckets that shingles are counted in for the order (any order gives the same links; a good one gives small shards).
+BUCKETS = 1 << 18
+#: Shingles to a 64-bit word of a sketch; texts in a tree; pairs of two components that are tested at first.
+SHINGLES_A_WORD, TREE, NEAREST = 8, 4096, 4
 
 
 def text_hash(text: str = "text") -> Column:
@@ -75,6 +81,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(((ones * 2 > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each bucket, as 64-bit words; their number is a power of two.
+
+    The sketch of half as many buckets is one half of it XOR the other, so sketches of different
+    length can be compared.
+    """
+    words = 1 << max(0, (-(-len(hashes) // SHINGLES_A_WORD) - 1).bit_length())
+    bucket, n = np.unique(hashes & np.uint64(words * 64 - 1), return_counts=True)
+    bits = np.zeros(words * 64, np.uint8)
+    bits[bucket[n % 2 == 1].astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
+
+
 def _set_hash(hashes: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -85,23 +104,8 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-def _prints(docs: DataFrame, words_in: int) -> DataFrame:
-    """``doc_id, text_hash, set, fp, n``: the hash of the shingle set, its SimHash and its size."""
-
-    def build():
-        def work(cols):
-            starts, h = shingles(cols["text"], words_in)
-            own = np.split(h, starts[1:-1])
-            sets, fps = (np.array([f(o) for o in own], np.uint64).view(np.int64) for f in (_set_hash, fingerprint))
-            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "set": sets, "fp": fps, "n": np.diff(starts)}
-
-        return work
-
-    return map_rows(docs, build, "doc_id long, text_hash long, set long, fp long, n long", rows=64)
-
-
 def _counts(docs: DataFrame, words_in: int) -> np.ndarray:
-    """How often a bucket's shingles are in the counted texts; ``BUCKETS`` numbers reach the driver."""
+    """How often a bucket's shingles are in the texts; ``BUCKETS`` numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -112,67 +116,153 @@ def _counts(docs: DataFrame, words_in: int) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
-    counted = docs.where(F.pmod("text_hash", F.lit(COUNTED_OF)) == 0).select("text")
-    got = counted.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def _distinct_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (key, set) of keys with more than one set; a task holds all rows of its keys."""
+def _prints(docs: DataFrame, words_in: int) -> DataFrame:
+    """``doc_id, text_hash, set, keys``: the hash of the shingle set; its first shingles, once for each set and task."""
+    shared = docs.sparkSession.sparkContext.broadcast(_counts(docs, words_in))
+
+    def build():
+        counts, done = shared.value, set()
+
+        def first(own: np.ndarray, name: int) -> np.ndarray:
+            if name in done or not len(own):
+                return own[:0]
+            done.add(name)
+            return own[np.lexsort((own, counts[(own % np.uint64(BUCKETS)).astype(np.int64)]))[: prefix_length(len(own))]]
+
+        def work(cols):
+            starts, h = shingles(cols["text"], words_in)
+            own = np.split(h, starts[1:-1])
+            names = [_set_hash(o) for o in own]
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "set": np.array(names, np.uint64).view(np.int64), "keys": [first(o, n).view(np.int64) for o, n in zip(own, names, strict=True)]}
+
+        return work
+
+    return map_rows(docs, build, "doc_id long, text_hash long, set long, keys array<long>", rows=64)
+
+
+def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (key, set) of keys with more than one set, with a set of the key (another one for each key); a task holds all rows of its keys."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return
     key, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    order = np.lexsort((own, key))
+    by = (key.view(np.uint64) ^ own.view(np.uint64)) * np.uint64(BASE)
+    order = np.lexsort((own, by, key))
     key, own = key[order], own[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
     key, own = key[new], own[new]
-    same = key[1:] == key[:-1]
-    shared = np.r_[False, same] | np.r_[same, False]
-    yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(own[shared])], names=["key", "set"])
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    hub, shared = np.repeat(own[starts], sizes), np.repeat(sizes > 1, sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (key, own, hub)], names=["key", "set", "hub"])
 
 
-def _shards(docs: DataFrame, words_in: int) -> DataFrame:
-    """``key, set``: the first shingles of every set that are first shingles of another one too."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_counts(docs, words_in))
+def _differing(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; the longer one is folded to the length of the other."""
+    size = F.least(F.size(a), F.size(b))
+    half = lambda x: F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+    return F.aggregate(F.zip_with(half(a), half(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
 
-    def build():
-        counts = shared.value
 
-        def work(cols):
-            starts, h = shingles(cols["text"], words_in)
-            keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            done = set()
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                own = h[a:b]
-                name = _set_hash(own)
-                if a == b or name in done:
-                    continue
-                done.add(name)
-                rare = np.lexsort((own, counts[(own % np.uint64(BUCKETS)).astype(np.int64)]))[: prefix_length(b - a)]
-                keys.append(own[rare])
-                sets.append(np.full(len(rare), name, np.uint64))
-            return {"key": np.concatenate(keys).view(np.int64), "set": np.concatenate(sets).view(np.int64)}
-
-        return work
-
-    first = map_rows(docs.select("text"), build, "key long, set long", rows=64)
-    return first.repartition(2 * partitions(spark), "key").mapInArrow(_distinct_of_shards, "key long, set long")
+def _passing(pairs: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
+    """Those of ``u, v`` (distinct) that sizes, SimHash and sketches let pass."""
+    of = lambda c: sets.select(F.col("set").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")).hint("merge")
+    alike = F.least("n_u", "n_v") * DENOMINATOR >= F.greatest("n_u", "n_v") * NUMERATOR
+    near = F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius
+    few = _differing(F.col("s_u"), F.col("s_v")) * (DENOMINATOR + NUMERATOR) <= (F.col("n_u") + F.col("n_v")) * (DENOMINATOR - NUMERATOR)
+    return pairs.join(of("u"), "u").join(of("v"), "v").where(alike & near & few).select("u", "v")
 
 
-def _confirmed(pairs: DataFrame, known: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
-    """Those of ``u, v`` (distinct) that SimHash lets pass and whose exact Jaccard is high enough."""
-    of = lambda c: known.select(F.col("set").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}"))
-    near = F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= radius
-    alike = F.least("n_u", "n_v") * DENOMINATOR >= F.greatest("n_u", "n_v") * NUMERATOR
-    pairs = pairs.join(of("u"), "u").join(of("v"), "v").where(near & alike)
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``u, v`` (distinct) whose exact Jaccard is high enough."""
     for c in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("set").alias(c), F.col("hashes").alias(f"h_{c}")), c)
+        pairs = pairs.join(sets.select(F.col("set").alias(c), F.col("hashes").alias(f"h_{c}")).hint("merge"), c)
     both = F.size(F.array_intersect("h_u", "h_v"))
-    return pairs.withColumn("both", both).where(F.col("both") * DENOMINATOR >= (F.col("n_u") + F.col("n_v") - F.col("both")) * NUMERATOR).select("u", "v")
+    return pairs.withColumn("both", both).where(F.col("both") * DENOMINATOR >= (F.size("h_u") + F.size("h_v") - F.col("both")) * NUMERATOR).select("u", "v")
+
+
+def _spread(shards: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, part, set, root, fp, n, sketch, asks, held``: shards of several components, cut into parts.
+
+    A text is held by one part of its shard. It asks all parts, unless it is of the shard's largest
+    component: of two texts in different components one at least asks.
+    """
+    own = shards.select("key", "set").join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+    own = staged(own, "roots")
+    sizes = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("texts"), F.max(F.struct("n", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("roots"))
+    split = own.join(sizes.where("roots > 1").drop("roots").hint("merge"), "key")
+    parts = F.ceil(F.col("texts") / TREE).cast("int")
+    home = F.pmod(F.xxhash64("set"), parts).cast("int")
+    rows = split.withColumn("asks", F.col("root") != F.col("top")).withColumn("home", home)
+    rows = rows.withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("home"))))
+    return rows.join(sets.select("set", "fp", "n", "sketch").hint("merge"), "set").select("key", "part", "set", "root", "fp", "n", "sketch", "asks", (F.col("part") == F.col("home")).alias("held"))
+
+
+def _apart(radius: int, nearest: int):
+    """Pairs of texts of one part and different components that may be alike: of two components the ``nearest`` ones; ``more``: there were more."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
+
+    def pairs(own: np.ndarray, root: np.ndarray, fp: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], asks: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+        known, asking = np.flatnonzero(held), np.flatnonzero(asks)
+        found = [(known[m], asking[q]) for m, q in BKTree(fp[known]).search(radius, fp[asking]) if len(q)]
+        a = np.concatenate([np.full(len(q), m) for m, q in found] or [np.zeros(0, np.int64)])
+        b = np.concatenate([q for _, q in found] or [np.zeros(0, np.int64)])
+        apart = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR)
+        a, b = a[apart], b[apart]
+        differ = np.zeros(len(a), np.int64)
+        size = np.array([len(s) for s in sketches])
+        both = np.minimum(size[a], size[b])
+        for words in np.unique(both).tolist():
+            of = np.flatnonzero(both == words)
+            folded = {}
+            for i in np.unique(np.r_[a[of], b[of]]).tolist():
+                s = sketches[i]
+                folded[i] = s if len(s) == words else s[:words] ^ s[words:]
+            at = {i: k for k, i in enumerate(folded)}
+            table = np.stack(list(folded.values()))
+            slot = np.zeros(len(own), np.int64)
+            slot[list(at)] = list(at.values())
+            step = max(1, (1 << 20) // words)
+            for i in range(0, len(of), step):
+                part = of[i : i + step]
+                differ[part] = np.bitwise_count(table[slot[a[part]]] ^ table[slot[b[part]]]).sum(1)
+        few = differ * (DENOMINATOR + NUMERATOR) <= (n[a] + n[b]) * (DENOMINATOR - NUMERATOR)
+        a, b, differ = a[few], b[few], differ[few]
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        order = np.lexsort((differ, high, low))
+        a, b, low, high = a[order], b[order], low[order], high[order]
+        starts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][: len(a)])
+        sizes = np.diff(np.r_[starts, len(a)])
+        rank = np.arange(len(a)) - np.repeat(starts, sizes)
+        kept = rank < nearest
+        return np.minimum(own[a], own[b])[kept], np.maximum(own[a], own[b])[kept], np.repeat(sizes > nearest, sizes)[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        whole = pa.Table.from_batches(rows)
+        key, part, own, root, fp, n, asks, held = (whole[c].to_numpy() for c in ("key", "part", "set", "root", "fp", "n", "asks", "held"))
+        words = whole["sketch"].combine_chunks()
+        flat, ends = words.flatten().to_numpy().view(np.uint64), np.cumsum(np.diff(words.offsets.to_numpy()))
+        order = np.lexsort((part, key))
+        starts = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])])
+        begins = np.r_[0, ends[:-1]]
+        out = []
+        for a, b in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist(), strict=True):
+            i = order[a:b]
+            if b - a > 1 and asks[i].any() and held[i].any():
+                out.append(pairs(own[i], root[i], fp[i].view(np.uint64), n[i], [flat[begins[k] : ends[k]] for k in i.tolist()], asks[i], held[i]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+
+    return run
 
 
 def groups(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -184,36 +274,39 @@ def groups(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS) -> Da
     doc_ids and repeated rows keep their rows. Other columns are not read. An empty table gives
     an empty one.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     prints = staged(_prints(docs, words_in), "prints")
-    shards = staged(_shards(docs, words_in), "shards")
-    known = prints.join(shards.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash"))
-    known = staged(known, "known")
+    shards = staged(prints.select(F.explode("keys").alias("key"), "set").repartition(2 * partitions(spark), "key").mapInArrow(_with_hub, "key long, set long, hub long"), "shards")
 
     def build():
         def work(cols):
             starts, h = shingles(cols["text"], words_in)
-            return {"set": cols["set"], "hashes": np.split(h.view(np.int64), starts[1:-1])}
+            own = np.split(h, starts[1:-1])
+            return {"set": cols["set"], "fp": np.array([fingerprint(o) for o in own], np.uint64).view(np.int64), "n": np.diff(starts), "sketch": [sketch(o).view(np.int64) for o in own], "hashes": [o.view(np.int64) for o in own]}
 
         return work
 
-    texts = docs.select("text_hash", "text").join(known.select("text_hash", "set"), "text_hash").groupBy("set").agg(F.first("text").alias("text"))
-    sets = staged(map_rows(texts, build, "set long, hashes array<long>", rows=64), "sets")
-
-    # of each shard another one, so that a family which shares many shards is compared with many
-    hub = F.min(F.struct(F.xxhash64("key", "set").alias("by"), "set")).alias("m")
-    hubs = staged(shards.groupBy("key").agg(hub).select("key", F.col("m.set").alias("hub")), "hubs")
-    with_hub = shards.join(hubs, "key").where(F.col("set") != F.col("hub"))
-    pairs = with_hub.select(F.least("set", "hub").alias("u"), F.greatest("set", "hub").alias("v")).distinct()
-    links = staged(_confirmed(pairs, known, sets, radius), "confirmed")
+    # one text of each set that meets another one
+    one = prints.groupBy("set").agg(F.min("text_hash").alias("text_hash")).join(shards.select("set").distinct().hint("merge"), "set", "left_semi")
+    texts = docs.select("text_hash", "text").join(one.hint("merge"), "text_hash").groupBy("set").agg(F.first("text").alias("text"))
+    sets = staged(map_rows(texts, build, "set long, fp long, n long, sketch array<long>, hashes array<long>", rows=64), "sets")
 
+    pairs = shards.where("set <> hub").select(F.least("set", "hub").alias("u"), F.greatest("set", "hub").alias("v")).distinct()
+    links = staged(_confirmed(_passing(pairs, sets, radius), sets), "confirmed")
     roots = connected_components(links)
-    rest = with_hub.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
-    split = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = staged(rest.join(split, "key", "left_semi"), "rest")
-    a, b = (rest.select("key", F.col("set").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv")
-    pairs = a.join(b, "key").where("u < v and root_u <> root_v").select("u", "v").distinct()
-    more = staged(_confirmed(pairs, known, sets, radius), "confirmed")
-    if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
-    return prints.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("component"))
+    nearest = NEAREST
+    while True:
+        spread = _spread(shards, roots, sets).repartition(2 * partitions(spark), "key", "part")
+        found = staged(spread.mapInArrow(_apart(radius, nearest), "u long, v long, more boolean"), "apart")
+        more = staged(_confirmed(found.select("u", "v").distinct(), sets), "confirmed")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = connected_components(links)
+        # pairs of components that had more pairs than were tested, and are still two
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("merge")
+        open_ = found.where("more")
+        if open_.isEmpty() or open_.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).isEmpty():
+            break
+        nearest *= 16
+    return prints.select("doc_id", "text_hash", "set").join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("component"))
