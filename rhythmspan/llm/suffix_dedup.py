@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ._bwt import repeated_starts
 from ._common import map_rows, partitions, rolling_hash, staged, window_runs
+from .passages import WORDS, shared_passages
 
 LENGTH, GRAM = 400, 80
 #: Strings that share a core; contexts of one anchor beyond which strings are counted by key;
@@ -262,36 +263,42 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return spans.unionByName(expanded).unionByName(hot_spans(pieces.where(F.col("m") > HOT), length))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_bytes, spans, kept``: the removed runs (start, stop) and the bytes left of every document.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_bytes, spans, kept, shared_passage``: the removed runs (start, stop) and the bytes left of every document.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts anywhere else in
     the input, the same document included; strings never cross documents. Null text counts as
     empty; texts shorter than the length keep everything. Repeated rows (same id, same text) are
     copies of each other. Rows with a null id come back with a null id. Other columns are not
     read. An empty table gives an empty one.
+
+    ``shared_passage`` is 1 where the text holds a passage of ``words`` words that another document
+    holds too (:mod:`.passages`), removed or not: such a passage may be shorter than ``length`` bytes.
     """
     keyed = _keyed(docs)
+    shared = shared_passages(keyed, words).select("x", F.lit(1).alias("shared_passage"))
     spans = repeated_spans(keyed, length, gram)
     of_doc = spans.groupBy("id", "x").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def build():
         def work(cols):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "spans", "kept")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "spans", "kept")} | {"shared_passage": cols["shared_passage"]}
             for i, text, spans in zip(cols["id"], cols["text"], cols["spans"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 runs = merge([(s["start"], s["stop"]) for s in spans or ()])
                 cuts = [0, *(x for run in runs for x in run), len(raw)]
-                for k, v in zip(out, (None if i == -(1 << 63) else i, len(raw), [{"start": a, "stop": b} for a, b in runs], b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))), strict=True):
+                for k, v in zip(("doc_id", "n_bytes", "spans", "kept"), (None if i == -(1 << 63) else i, len(raw), [{"start": a, "stop": b} for a, b in runs], b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))), strict=True):
                     out[k].append(v)
             return out
 
         return work
 
-    joined = keyed.join(of_doc, ["id", "x"], "left").select("id", "text", "spans")
-    return map_rows(joined, build, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary", rows=64)
+    marks = keyed.select("id", "x").join(shared, "x").distinct()  # rows without texts
+    joined = keyed.join(of_doc.join(marks, ["id", "x"], "full"), ["id", "x"], "left")
+    joined = joined.select("id", "text", "spans", F.coalesce("shared_passage", F.lit(0)).alias("shared_passage"))
+    return map_rows(joined, build, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary, shared_passage int", rows=64)
 
 
 def removal_digest(kept: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of :func:`remove_repeats`."""
-    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, shared_passage`` of :func:`remove_repeats`."""
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shared_passage")

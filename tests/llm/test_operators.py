@@ -62,6 +62,27 @@ def test_suffix_dedup(spark, texts, monkeypatch, hot):
         assert got[i].kept_sha256 == hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+def test_shared_passages(spark):
+    """Passages of 40 to 60 short words at any place, edges, copies, and repeats within one text, against all runs of 50 words."""
+    rng = random.Random(21)
+    short = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    texts = [None, "", short(49), short(80), f"{(own := short(70))} {own}"]
+    for n in (40, 48, 49, 50, 51, 60, 120):
+        passage = short(n)
+        texts += [f"{short(rng.randint(0, 90))} {passage}\n{short(rng.randint(0, 90))}" for _ in range(3)]
+        texts += [f"{short(30)} {passage.rsplit(' ', n // 8)[0]} {short(40)}"]
+    texts += [texts[3], short(20), short(49)]
+    texts += [texts[-2], texts[-1]]
+    runs = {}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for at in range(len(w) - 49):
+            runs.setdefault(tuple(w[at : at + 50]), set()).add(i)
+    want = {i for own in runs.values() if len(own) > 1 for i in own}
+    got = suffix_dedup.removal_digest(suffix_dedup.remove_repeats(table(spark, texts).repartition(4))).collect()
+    assert len(got) == len(texts) and {r.doc_id for r in got if r.shared_passage} == want and 10 < len(want) < 25
+
+
 def test_interval_expansion():
     rng = random.Random(1)
     parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(30)]
