@@ -59,8 +59,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).drop("text", "source")
+    return mixing.mix(docs).withColumn("second_position", F.get("positions", F.lit(1))).drop("text", "source", "positions")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +109,8 @@ q as (select doc_id, size, source_size, target, tilt, coalesce(sum(size) over (p
 k as (select *, least(greatest(floor(target) - before, 0), size) + least(greatest(floor(target) - before - source_size, 0), size) as taken,
       least(before / case when target > 0 then target end, 1.0) as share from q)
 select doc_id, size, cast(source_size as bigint) as source_size, target, cast(taken as bigint) as taken,
-       case when taken > 0 then round(case when tilt = 0 then share else (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share) - (1 - tilt)) / (2 * tilt) end, 9) + 0.0 end as position from k
+       case when taken > 0 then round(case when tilt = 0 then share else (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share) - (1 - tilt)) / (2 * tilt) end, 9) + 0.0 end as position,
+       case when again > 0 then round(case when tilt = 0 then share2 else (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share2) - (1 - tilt)) / (2 * tilt) end, 9) + 0.0 end as second_position from k
 """
 
 

@@ -64,25 +64,28 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.transform(F.array(last), lambda x: F.struct(x["shard"].cast("int").alias("shard"), x["grown"].cast("int").alias("grown")))[0]
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", salts: int = SALTS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", salts: int = SALTS, within: tuple[str, ...] = ()) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (with one shard more) and ``slot``, gapless from 0 in each shard.
 
     Rows of a shard are numbered by salt (from the key's md5), then by key and by the other
     sort columns; only shard x salt counts (``shards * salts`` rows at most) are summed up and
-    broadcast. Nulls: a null key goes where 0 goes. Repeated keys get the same shard and their
+    broadcast. ``within`` names columns to number by instead: a column of contiguous ranges (a file of
+    a sorted table) stands for the salt, the others order the rows in it; then the counts are joined
+    by a shuffle. Nulls: a null key goes where 0 goes. Repeated keys get the same shard and their
     own slots, ordered by ``size`` and ``text_crc32`` where the frame has them. An empty table
     gives an empty table. Columns of the input that clash with the new ones are replaced.
     """
     new = ("shard", "grown_shard", "slot")
     docs = docs.drop(*new)
     salt = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(salts)).cast("int")
-    placed = docs.withColumns({"__jump": jump_hash(F.col(key), shards), "__salt": salt}).withColumns({"shard": F.col("__jump.shard"), "grown_shard": F.col("__jump.grown")}).drop("__jump")
+    placed = docs.withColumns({"__jump": jump_hash(F.col(key), shards), "__salt": F.col(within[0]) if within else salt}).withColumns({"shard": F.col("__jump.shard"), "grown_shard": F.col("__jump.grown")}).drop("__jump")
     counts = placed.groupBy("shard", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "__salt", before.alias("__start"))
-    order = [F.col(c).asc_nulls_last() for c in (key, "size", "text_crc32") if c in docs.columns]
+    order = [F.col(c).asc_nulls_last() for c in (*within[1:], key, "size", "text_crc32") if c in docs.columns]
     rank = F.row_number().over(Window.partitionBy("shard", "__salt").orderBy(*order))
-    return placed.withColumn("__rank", rank).join(F.broadcast(starts), ["shard", "__salt"]).withColumn("slot", F.col("__start") + F.col("__rank") - 1).select(*docs.columns, "shard", "grown_shard", F.col("slot").cast("long").alias("slot"))
+    joined = placed.withColumn("__rank", rank).join(starts if within else F.broadcast(starts), ["shard", "__salt"])
+    return joined.withColumn("slot", F.col("__start") + F.col("__rank") - 1).select(*docs.columns, "shard", "grown_shard", F.col("slot").cast("long").alias("slot"))
 
 
 def with_size(docs: DataFrame) -> DataFrame:

@@ -129,3 +129,66 @@ def test_near_dedup_of_an_empty_table(spark):
     none = table(spark, [(1, "x")]).limit(0)
     assert similar.groups(none).count() == 0
     assert corpus_pipeline.one_of_each_group(spark, none, "").count() == 0
+
+
+def test_near_dedup_with_small_trees(spark, monkeypatch):
+    """Shards cut into many trees, and pairs of components tested a few at a time, give the same groups."""
+    monkeypatch.setattr(similar, "TREE", 3)
+    monkeypatch.setattr(similar, "NEAREST", 1)
+    texts = near_copies()
+    got = {r.doc_id: r.component for r in similar.groups(table(spark, enumerate(texts))).collect()}
+    firsts = {}
+    for i in range(len(texts)):
+        firsts.setdefault(got[i], i)
+    assert [firsts[got[i]] for i in range(len(texts))] == components(texts)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 8, 9, 63, 65, 500):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for extra in (0, 1, n // 8):
+            a, b = similar.sketch(both), similar.sketch(np.r_[both, rng.integers(0, 1 << 63, extra, dtype=np.uint64)])
+            if len(b) > len(a):
+                b = b[: len(a)] ^ b[len(a) :]
+            assert np.bitwise_count(a ^ b).sum() <= extra
+
+
+def test_mixing_and_shards_keep_order_and_rows(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 40))) for i in range(90)] + [(None, prose(rng, 9)), (5, prose(rng, 9)), (7, None)]
+    docs = table(spark, rows).selectExpr("*", "1 as size", "2 as position")  # columns that clash with those of the stages
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == list(corpus_pipeline.DOCUMENTS)
+    plan = corpus_pipeline.mixing.mix(docs.select(*corpus_pipeline.DOCUMENTS)).collect()
+    want = sorted((p, -1 if r.doc_id is None else r.doc_id, r.text) for r in plan if r["size"] for p in r.positions[: int(r.taken / r["size"] + 0.5)])
+    got = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in mixed.collect()]
+    assert sorted(got) == sorted(w[1:] for w in want) and len(set(got)) < len(got)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    sharded = corpus_pipeline.shard(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert len(sharded) == len(got)
+    place = {}
+    for at, w in enumerate(want):
+        place.setdefault(w[1:], []).append(at)
+    for k in {r.shard for r in sharded}:
+        own = sorted((r for r in sharded if r.shard == k), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own)))
+        at = [place[(-1 if r.doc_id is None else r.doc_id, r.text)].pop(0) for r in own]
+        assert at == sorted(at)
+
+
+def test_run_from_documents_to_shards(spark, tmp_path):
+    rng = random.Random(3)
+    good, bad = [prose(rng, 80) for _ in range(60)], [" | ".join(prose(rng, 80).split()) for _ in range(60)]
+    item = prose(rng, 40)
+    texts = good + bad + good[:5] + [f"{prose(rng, 30)} {item} {prose(rng, 30)}" for _ in range(4)] + [None]
+    docs = table(spark, enumerate(texts))
+    folder = save(spark, tmp_path, docs, [(1, item)], [(i, int(i < 60), 0) for i in range(120)])
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in got} <= set(range(60)) and len({r.doc_id for r in got}) > 40
+    assert all(r.text == texts[r.doc_id] for r in got)
+    none = tmp_path / "none"
+    empty = save(spark, none, docs.limit(0), [(1, item)])
+    assert corpus_pipeline.run(spark, empty).count() == 0
