@@ -57,17 +57,27 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the curriculum, as often as the mix takes them (its words over theirs, rounded).
 
-    Documents of which it takes less than half a pass go.
+    Each pass over a document stands at its own position. Documents of which the mix takes less
+    than half a pass go, and so do texts without a word. Null sources are a source of their own;
+    repeated rows are documents of their own.
     """
-    mixed = mixing.mix(docs.select(*DOCUMENTS))
+    mixed = mixing.mix(docs.select(*DOCUMENTS), ordered=False)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    return mixed.select(*DOCUMENTS, F.explode(F.sequence(F.lit(1), F.when(times > 0, times))).alias("__pass")).drop("__pass")
+    passes = F.slice("positions", F.lit(1), times)
+    return mixed.select(*DOCUMENTS, F.explode(passes).alias("__at")).orderBy("__at", F.col("doc_id").asc_nulls_last()).select(*DOCUMENTS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, grown_shard, slot, law`` of every row, by consistent hashing of the id."""
-    rows = sharding.with_size(docs).select("doc_id", "size", "text_crc32")
-    return sharding.assign_shards(rows, SHARDS).withColumn("law", F.lit("key"))
+    """``doc_id, size, text_crc32, shard, grown_shard, slot, law, text, lang, source`` of every row, by consistent hashing of the id.
+
+    Within a shard, slots follow the order of the files that ``docs`` was read from and of the rows
+    in them, which is that of the curriculum. Rows of a null id go where 0 goes; null texts are
+    empty; repeated rows get slots of their own.
+    """
+    place = F.col("_metadata")
+    rows = sharding.with_size(docs.select("doc_id", "text", "lang", "source", place["file_path"].alias("__file"), place["row_index"].alias("__row")))
+    placed = sharding.assign_shards(rows, SHARDS, within=("__file", "__row"))
+    return placed.withColumn("law", F.lit("key")).select("doc_id", "size", "text_crc32", "shard", "grown_shard", "slot", "law", "text", "lang", "source")
 
 
 STAGES = [
@@ -78,7 +88,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The classifier, the trees and the latent space are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the trees and the latent space are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
