@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, map_rows
@@ -100,8 +100,8 @@ def runs(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return at, h ^ (h >> np.uint64(29))
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, label: str, held_out_of: int, bound: int) -> DataFrame:
-    """``doc_id, text, y`` of at most ``bound`` labelled documents outside the held-out fold.
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, held_out_of: int, bound: int, more: tuple[Column, ...] = ()) -> DataFrame:
+    """``doc_id, text, y`` and ``more`` columns of at most ``bound`` labelled documents outside the held-out fold.
 
     The fold is crc32(doc_id as text) mod ``held_out_of`` = 0. If more are labelled, those of
     the lowest hash are taken, so reruns agree. Null labels and ids are left out; of repeated
@@ -110,13 +110,13 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, held_out_of: i
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(crc32_of_id() % held_out_of != 0)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # bound rows of 12 bytes are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text", *more).join(F.broadcast(chosen), "doc_id")
 
 
-def gather(rows: DataFrame, build: Callable, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gather(rows: DataFrame, build: Callable, bound: int, meta: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Labels and features of a bounded sample as (y, row starts, ids, values), in doc_id order.
 
-    ``build()`` returns a function of a list of texts that gives (row starts, ids, values). Rows with a repeated
+    ``build()`` returns a function of a list of texts (and of the column named by ``meta``) that gives (row starts, ids, values). Rows with a repeated
     doc_id may exceed the bound by the repeats; those are cut in the same order.
     """
 
@@ -124,7 +124,7 @@ def gather(rows: DataFrame, build: Callable, bound: int) -> tuple[np.ndarray, np
         of = build()
 
         def work(cols):
-            starts, ids, xs = of(cols["text"])
+            starts, ids, xs = of(cols["text"], cols[meta]) if meta else of(cols["text"])
             cut = starts[1:-1]
             return {"doc_id": cols["doc_id"], "y": cols["y"], "ids": np.split(ids, cut), "xs": np.split(xs, cut)}
 
@@ -138,8 +138,8 @@ def gather(rows: DataFrame, build: Callable, bound: int) -> tuple[np.ndarray, np
     return y, starts, ids.flatten().to_numpy(), xs.flatten().to_numpy()
 
 
-def score_rows(docs: DataFrame, build: Callable, fold: int, rest: int, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; ``build()`` gives a function of a list of texts.
+def score_rows(docs: DataFrame, build: Callable, fold: int, rest: int, threshold: float, carry: tuple[str, ...] = (), meta: Column | None = None) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; ``build()`` gives a function of a list of texts (and of ``meta``).
 
     Columns named in ``carry`` come back unchanged with their row, after these.
     """
@@ -148,13 +148,13 @@ def score_rows(docs: DataFrame, build: Callable, fold: int, rest: int, threshold
         of = build()
 
         def work(cols):
-            score = np.clip(of(cols["__text"]), 0.0, 1.0)
+            score = np.clip(of(cols["__text"], cols["__meta"]) if "__meta" in cols else of(cols["__text"]), 0.0, 1.0)
             return {"doc_id": cols["__id"], "held_out": cols["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)} | {c: cols[c] for c in carry if c != "doc_id"}
 
         return work
 
     kept = [F.col(c) for c in carry if c != "doc_id"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), (crc32_of_id() % fold == rest).alias("held_out"), *kept)
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), (crc32_of_id() % fold == rest).alias("held_out"), *([] if meta is None else [meta.alias("__meta")]), *kept)
     schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     return map_rows(rows, make, schema, rows=64)
 

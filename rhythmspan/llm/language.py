@@ -6,6 +6,8 @@ Counts come from a bounded sample of documents; the matrix of log probabilities
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +21,23 @@ UNKNOWN = "und"
 BLOCK = 1 << 18
 
 
-def ngram_ids(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Hashed ids of all character n-grams of the lower-cased text, a blank at each end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    out, run = [], np.zeros(len(codes), np.uint32)
-    for n in range(1, max(LENGTHS) + 1):
-        run = run[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
-        if n in LENGTHS:
-            mixed = run * np.uint32(0x9E3779B1)
-            out.append((mixed >> np.uint32(8)) % np.uint32(buckets))
-    return np.concatenate(out)
+def ngram_ids(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Hashed ids of all character n-grams of the lower-cased text, a blank at each end; a long text in blocks.
+
+    A block carries over the characters that the n-grams across its end begin with, so no n-gram is
+    lost and none is counted twice.
+    """
+    whole = f" {text.lower()} "
+    for at in range(0, len(whole), BLOCK):
+        last = at + BLOCK >= len(whole)
+        codes = np.frombuffer(whole[at : at + BLOCK + max(LENGTHS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        out, run = [], np.zeros(len(codes), np.uint32)
+        for n in range(1, max(LENGTHS) + 1):
+            run = run[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
+            if n in LENGTHS:
+                mixed = (run if last else run[:BLOCK]) * np.uint32(0x9E3779B1)
+                out.append((mixed >> np.uint32(8)) % np.uint32(buckets))
+        yield np.concatenate(out)
 
 
 def learning_counts(docs: DataFrame, bound: int = BOUND, buckets: int = BUCKETS) -> DataFrame:
@@ -48,8 +57,8 @@ def learning_counts(docs: DataFrame, bound: int = BOUND, buckets: int = BUCKETS)
             sums: dict[str, np.ndarray] = {}
             for lang, text in zip(cols["lang"], cols["text"], strict=True):
                 got = sums.setdefault(lang, np.zeros(buckets, np.int64))
-                for at in range(0, len(text), BLOCK):
-                    got += np.bincount(ngram_ids(text[at : at + BLOCK], buckets), minlength=buckets)
+                for ids in ngram_ids(text, buckets):
+                    got += np.bincount(ids, minlength=buckets)
             found = {lang: np.flatnonzero(c) for lang, c in sums.items()}
             return {
                 "lang": [lang for lang, i in found.items() for _ in range(len(i))],
@@ -81,7 +90,8 @@ def predict_languages(docs: DataFrame, bound: int = BOUND, buckets: int = BUCKET
     ``lang_pred`` is a language of the learning rows (ties: the first in order), or ``und`` with
     score 0 if the text is null, has no letter, or nothing could be learnt. ``score`` is the
     posterior probability. ``held_out``: crc32(doc_id) mod 4 is 2. Whole texts are scored.
-    Repeated rows are scored alike; columns other than doc_id, text and lang are not read.
+    Repeated rows are scored alike; columns other than doc_id, text and lang are not read. An empty
+    table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(log_probabilities(learning_counts(docs, bound, buckets), buckets))
 
@@ -92,8 +102,8 @@ def predict_languages(docs: DataFrame, bound: int = BOUND, buckets: int = BUCKET
             if not text or not langs or not any(map(str.isalpha, text)):
                 return UNKNOWN, 0.0
             total = np.zeros(len(langs))
-            for at in range(0, len(text), BLOCK):
-                total += table[ngram_ids(text[at : at + BLOCK], buckets)].sum(0, dtype=np.float64)
+            for ids in ngram_ids(text, buckets):
+                total += table[ids].sum(0, dtype=np.float64)
             odds = np.exp(total - total.max())
             return langs[int(total.argmax())], float(odds.max() / odds.sum())
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._words import Words, gather, learning_rows, row_sums, score_rows, sigmoid
 
@@ -16,6 +17,8 @@ WIDTH, FACTORS, BOUND = 1 << 16, 8, 8000
 THRESHOLD = 0.3
 BINS = 10
 STATISTICS = ("symbols", "digits", "capitals", "line breaks", "marks", "distinct words", "word length", "words", "characters", "longest word", "blanks")
+#: Metadata that is an input: characters as the table states them, and how far that is from the text (null: a bin of its own).
+METADATA = ("stated characters", "stated less true characters")
 
 
 def _byte_classes() -> np.ndarray:
@@ -48,15 +51,26 @@ def statistics(words: Words, distinct: np.ndarray) -> np.ndarray:
     return np.clip(np.stack(scaled, 1), 0, 1)
 
 
+def metadata(stated: list[int | None], texts: list[str | None]) -> np.ndarray:
+    """Bins of the metadata of each text, 0 for what is not stated."""
+    known = np.array([s is not None for s in stated])
+    n = np.array([float(s or 0) for s in stated])
+    true = np.array([float(len(t or "")) for t in texts])
+    length = 1 + np.minimum(np.log1p(np.maximum(n, 0)) / 15 * (BINS - 1), BINS - 2).astype(np.int64)
+    apart = 1 + np.where(n == true, 0, np.where(n > true, 1, 2)) + 2 * (np.abs(n - true) > 0.1 * true)
+    return np.stack([np.where(known, length, 0), np.where(known, apart, 0)], 1)
+
+
 def featurizer():
-    """A function of a list of texts (null: empty) that gives (row starts, ids, values): statistics in bins, then words."""
+    """A function of a list of texts (null: empty) and of stated lengths that gives (row starts, ids, values): statistics and metadata in bins, then words."""
 
-    def of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(texts: list[str | None], stated: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = Words(texts, plain=False)
-        rows, stats = len(texts), len(STATISTICS)
+        rows, stats = len(texts), len(STATISTICS) + len(METADATA)
         doc, ids = words.distinct(WIDTH)
         distinct = np.bincount(doc, minlength=rows)
-        binned = np.arange(stats) * BINS + np.minimum((statistics(words, distinct) * BINS).astype(np.int64), BINS - 1)
+        bins = np.minimum((statistics(words, distinct) * BINS).astype(np.int64), BINS - 1)
+        binned = np.arange(stats) * BINS + np.concatenate([bins, metadata(stated, texts)], axis=1)
         starts = np.r_[0, np.cumsum(distinct + stats)]
         out, xs = np.empty(starts[-1], np.int32), np.ones(starts[-1], np.float32)
         head = (starts[:-1, None] + np.arange(stats)).ravel()
@@ -81,7 +95,7 @@ def machine(w0: float, w: np.ndarray, v: np.ndarray, starts: np.ndarray, ids: np
 
 def fit(y: np.ndarray, starts: np.ndarray, ids: np.ndarray, xs: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.08, decay: float = 1e-4, seed: int = 7):
     """Adagrad on the logistic loss. No rows: a model that scores 0.5. Rows of one class: near that class."""
-    width = len(STATISTICS) * BINS + WIDTH
+    width = (len(STATISTICS) + len(METADATA)) * BINS + WIDTH
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(width), rng.normal(0, 0.02, (width, FACTORS))
     g0, gw, gv = 1e-8, np.full(width, 1e-8), np.full((width, FACTORS), 1e-8)
@@ -114,20 +128,22 @@ def fit(y: np.ndarray, starts: np.ndarray, ids: np.ndarray, xs: np.ndarray, epoc
 def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document (score: how likely quality is 1).
 
-    Learns from at most ``bound`` labelled rows outside the fold crc32(doc_id) mod 5 = 0; only
-    texts are inputs. Null and empty texts get the score of a text without words. Repeated rows
-    are scored alike. No labels: every score is 0.5. Columns
+    Learns from at most ``bound`` labelled rows outside the fold crc32(doc_id) mod 5 = 0; inputs are
+    the text and ``n_chars`` (null, or no such column: not stated). Null and empty texts get the score of a text without words. Repeated rows
+    are scored alike. No labels: every score is 0.5. An empty table gives an empty one. Columns
     named in ``carry`` come back with their row; others are not read.
     """
-    model = fit(*gather(learning_rows(docs, labels, "quality", 5, bound), featurizer, bound))
+    stated = (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long")
+    rows = learning_rows(docs, labels, "quality", 5, bound, (stated.alias("stated"),))
+    model = fit(*gather(rows, featurizer, bound, "stated"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # width * (factors + 1) floats
 
     def build():
         of, (w0, w, v) = featurizer(), shared.value
 
-        def score(texts):
-            return sigmoid(machine(w0, w, v, *of(texts))[0])
+        def score(texts, stated):
+            return sigmoid(machine(w0, w, v, *of(texts, stated))[0])
 
         return score
 
-    return score_rows(docs, build, 5, 0, threshold, carry)
+    return score_rows(docs, build, 5, 0, threshold, carry, stated)

@@ -107,6 +107,7 @@ t as (select source, source_size, tilt, case when isfull then cast(cap as double
 q as (select doc_id, size, source_size, target, tilt, coalesce(sum(size) over (partition by d.source order by o, size, text rows between unbounded preceding and 1 preceding), 0) as before
       from d join t on d.source is not distinct from t.source),
 k as (select *, least(greatest(floor(target) - before, 0), size) + least(greatest(floor(target) - before - source_size, 0), size) as taken,
+      least(greatest(floor(target) - before - source_size, 0), size) as again, least((before + source_size) / case when target > 0 then target end, 1.0) as share2,
       least(before / case when target > 0 then target end, 1.0) as share from q)
 select doc_id, size, cast(source_size as bigint) as source_size, target, cast(taken as bigint) as taken,
        case when taken > 0 then round(case when tilt = 0 then share else (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share) - (1 - tilt)) / (2 * tilt) end, 9) + 0.0 end as position,

@@ -30,19 +30,19 @@ IDENTITY_TERMS = (
 )
 
 
-def swaps() -> tuple[np.ndarray, np.ndarray]:
+def swaps(identities: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray]:
     """(ids of the identity terms, sorted; ids of the terms that stand in for them)."""
-    terms = [t for group in IDENTITY_TERMS for t in group]
-    others = [group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i in range(len(group))]
+    terms = [t for group in identities for t in group]
+    others = [group[(i + 1) % len(group)] for group in identities for i in range(len(group))]
     own, other = (Words(x, plain=True).ids(WIDTH) for x in (terms, others))
     own, first = np.unique(own, return_index=True)
     return own, other[first]
 
 
-def with_twin():
+def with_twin(identities: tuple[tuple[str, ...], ...] = IDENTITY_TERMS):
     """A function of a list of texts that gives (row starts, ids, values): +1 for a text's own words,
     -1 for own words lost and 2 for words won in its twin (nothing but +1 if it names no group)."""
-    terms, others = swaps()
+    terms, others = swaps(identities)
 
     def of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         doc, ids = Words(texts, plain=True).distinct(WIDTH)
@@ -114,14 +114,19 @@ def _descend(y: np.ndarray, row: np.ndarray, col: np.ndarray, own: np.ndarray, c
     return b, x
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = BOUND, threshold: float = THRESHOLD, identities: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, evenness: float = EVENNESS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document (score: how likely toxic is 1).
 
+    ``identities`` are sets of terms that may stand for each other; ``evenness`` is the weight of the
+    squared logit change between a text and its twin (0: no counterfactual penalty). Where no labelled
+    text names a group, there are no twins and the penalty has no effect.
+
     Learns from at most ``bound`` labelled rows outside the fold crc32(doc_id) mod 5 = 0; only
     texts are inputs. Null and empty texts get the score of a text without words. Repeated rows
-    are scored alike. No labels: every score is 0.5. Other columns are not read.
+    are scored alike. No labels: every score is 0.5. Other columns are not read. An empty table
+    gives an empty one.
     """
-    model = fit(*gather(learning_rows(docs, labels, "toxic", 5, bound), with_twin, bound))
+    model = fit(*gather(learning_rows(docs, labels, "toxic", 5, bound), lambda: with_twin(identities), bound), evenness=evenness)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # width floats
 
     def build():

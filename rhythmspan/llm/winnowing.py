@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ._common import map_rows, partitions, rolling_hash, window_minima
 
 GRAM, WINDOW = 8, 10
-#: Ranges that ids are cut into for finding each document's neighbour; small enough to be a task's work.
-RANGES_PER_PARTITION = 2
+#: Bytes of text in a range of ids, whose neighbours are found by one task; ranges are two to a partition at least.
+RANGE_BYTES, RANGES_PER_PARTITION = 32 << 20, 2
 
 
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +56,12 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), build, "doc_id long, hashes array<long>, positions array<long>")
 
 
+def ranges_of(docs: DataFrame) -> int:
+    """How many ranges of ids hold about ``RANGE_BYTES`` of text each."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(RANGES_PER_PARTITION * partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+
+
 def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
     """``doc_id, text, next_text``: the text of the next document by descending id, after the last the first's.
 
@@ -91,31 +97,32 @@ def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     """Fingerprints of every text, of its edited text, and their likeness.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``. The edited text has its last floor(n_chars / 3) code points replaced by the first
+    near_next, positions``. ``positions`` has where in the text each gram of ``fingerprint`` begins, as
+    text, apart by a blank. The edited text has its last floor(n_chars / 3) code points replaced by the first
     as many (or all) of the next document's. Null text: empty (fingerprint ''). A single document
     is its own next. Repeated rows stay. An empty table gives an empty one.
     """
-    pairs = with_next_text(docs, RANGES_PER_PARTITION * partitions(docs.sparkSession))
+    pairs = with_next_text(docs, ranges_of(docs))
 
     def build():
         last: list = [None, None]
 
         def of(text):
             if last[0] != text:
-                last[:] = text, winnow(text, gram, window)[0]
+                last[:] = text, winnow(text, gram, window)
             return last[1]
 
         def work(cols):
-            out: dict[str, list] = {k: [] for k in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+            out: dict[str, list] = {k: [] for k in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions")}
             for text, other in zip(cols["text"], cols["next_text"], strict=True):
-                own = of(text)
+                own, at = of(text)
                 cut = len(text) // 3
                 edited = text[: len(text) - cut] + other[:cut]
                 new = winnow(edited, gram, window)[0]
-                for k, v in zip(out, (len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_text(own), fingerprint_text(new), likeness(own, new), likeness(own, of(other))), strict=True):
+                for k, v in zip(out, (len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_text(own), fingerprint_text(new), likeness(own, new), likeness(own, of(other)[0]), " ".join(map(str, at.tolist()))), strict=True):
                     out[k].append(v)
             return {"doc_id": cols["doc_id"], **out}
 
         return work
 
-    return map_rows(pairs, build, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", rows=128)
+    return map_rows(pairs, build, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions string", rows=128)
