@@ -48,15 +48,18 @@ SUSTAINED = """kinds as (select 'brady' as kind union all select 'tachy'),
 sm as (select b.*, kind, case when rr_sec > 0 then (case kind when 'brady' then 60 / rr_sec < 50 else 60 / rr_sec > 160 end) else false end as hit from b, kinds),
 sg as (select *, sum(case when hit then 0 else 1 end) over (partition by recording_id, kind order by time_sec, beat_idx rows between unbounded preceding and current row) as k from sm),
 su as (select recording_id, kind, min_by(time_sec - rr_sec, beat_idx) as start_sec, max(time_sec) as end_sec from sg where hit group by recording_id, kind, k having count(*) >= 3)"""
-HOURS = """cut as (select quantile_cont(qrs_sec, 0.9) as cut from b), x as (select recording_id, time_sec as start_sec, time_sec + 600.0 as end_sec from b, cut where qrs_sec >= cut),
+REST = """rest as (select recording_id, any_value(3600.0 - (start_us % 3600000000) / 1e6) as f, max(time_sec) + cast(recording_id as bigint) % 4 * 2700.0 as duration_sec, any_value(start_us) as start_us, any_value(cast(recording_id as bigint)) as num from b group by recording_id)"""
+GRID = """bb as (select * from b where cast(recording_id as bigint) % 10 <> 0),
+ends as (select r.*, l.last, greatest(duration_sec, coalesce(last, 0)) as until from rest r left join (select recording_id, max(time_sec) as last from bb group by recording_id) l using (recording_id)),
+steps as (select *, unnest(range(0, 800)) as hour from ends), begun as (select *, case when hour = 0 then 0.0 else f + (hour - 1) * 3600.0 end as start_sec, f + hour * 3600.0 as stop from steps),
+grid as (select recording_id, hour, f, start_us, start_sec, least(stop, until) as end_sec from begun where start_sec < until or (start_sec = until and last = until))"""
+HOURS = """cut as (select quantile_cont(qrs_sec, 0.9) as cut from bb), x as (select recording_id, time_sec as start_sec, time_sec + 600.0 as end_sec from bb, cut where qrs_sec >= cut),
 y as (select *, max(end_sec) over (partition by recording_id order by start_sec, end_sec rows between unbounded preceding and 1 preceding) as reach from x),
 z as (select *, sum(case when start_sec - reach <= 30 then 0 else 1 end) over (partition by recording_id order by start_sec, end_sec rows between unbounded preceding and current row) as island from y),
 spans as (select recording_id, min(start_sec) as start_sec, max(end_sec) as end_sec from z group by recording_id, island),
-o as (select recording_id, any_value(3600.0 - (start_us % 3600000000) / 1e6) as f, max(time_sec) as until, any_value(start_us) as start_us from b group by recording_id),
-g as (select recording_id, f, until, start_us, unnest(range(0, (case when until < f then 0 else 1 + cast(floor((until - f) / 3600) as bigint) end) + 1)) as hour from o),
-hr as (select recording_id, hour, start_us, case when hour = 0 then 0.0 else f + (hour - 1) * 3600.0 end as start_sec, least(f + hour * 3600.0, until) as end_sec from g),
+hr as (select * from grid),
 ha as (select hr.recording_id, hr.hour, any_value(start_us) as start_us, any_value(hr.start_sec) as start_sec, any_value(hr.end_sec) as end_sec,
-  any_value(hr.end_sec) - any_value(hr.start_sec) - coalesce(sum(greatest(0.0, least(s.end_sec, hr.end_sec) - greatest(s.start_sec, hr.start_sec))), 0) as analyzed_sec from hr left join spans s using (recording_id) group by all)"""
+  any_value(hr.end_sec) - any_value(hr.start_sec) - coalesce(sum(greatest(0.0, least(s.end_sec, hr.end_sec) - greatest(s.start_sec, hr.start_sec))) filter (s.start_sec is not null), 0) as analyzed_sec from hr left join spans s using (recording_id) group by all)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -66,7 +69,79 @@ def oracle_sql() -> dict[str, str]:
     found["hourly_text"] = f"""with h as ({found["beats_hourly"]}), q as ({found["hourly_analyzed"]}), s as (select cast(user_id as varchar) as recording_id, min(epoch_us(ts)) as us0 from events group by all)
 select recording_id, hour, {clock("h.start_sec")} || '-' || {clock("h.end_sec")} as label, printf('%.1f', round_even(analyzed_sec / 60, 1)) as minutes, {rate("min_bpm")}, {rate("mean_bpm")}, {rate("max_bpm")},
   {", ".join(f"cast({c} as varchar) as {c}" for c in ("beats", "pvcs", "couplets", "runs", "escapes", "pauses"))} from h join q using (recording_id, hour) join s using (recording_id)"""
-    return found
+    return found | _more()
+
+
+SAMPLES = """v as (select cast(label as varchar) as recording_id, row_number() over (partition by label order by vec_id) - 1 as chunk, list_transform(embedding, lambda x: round(cast(x as double), 2)) as s from embeddings),
+p as (select recording_id, chunk * 64 + i - 1 as place, s[i] as x from v, range(1, 65) as q(i))"""
+CARDS = """e as (select user_id, cast(user_id as varchar) as path, epoch_us(ts) as us, event_id, event_type, row_number() over (partition by user_id order by epoch_us(ts), event_id) - 1 as i from events),
+c as (select *, user_id % 10 as fault, user_id % 1000 + (case when i >= 60 then 1 else 0 end) as seq, case when event_type = 'signup' then 1 + event_id % 4 else 0 end as press from e), k as (select * from c where i < 60)"""
+FINE = "fault not in (0, 1, 2, 3, 4)"
+DECODE = "[0, 1, 3, 6, 12, 21, 38, 70, 0, -70, -38, -21, -12, -6, -3, -1]"
+
+
+def _more() -> dict[str, str]:
+    """Labels, classes, waveforms, presses and cards."""
+    day = f"{DAY}, {REST}"
+    return {
+        "beats_labelled": f"""with recursive {FAST.removeprefix("with ")}, o as (select *, row_number() over {P} as i from b),
+w as (select recording_id, i, beat_idx, time_sec, rr_sec, qrs_sec, 'U' as label, cast(null as double) as rr_base, cast(null as double) as qrs_base, cast([] as double[]) as rs, cast([] as double[]) as qs from o where i = 1
+  union all select recording_id, i, beat_idx, time_sec, rr_sec, qrs_sec, label, rr_base, qrs_base, case when label = 'N' then list_append(rs, rr_sec)[-8:] else rs end, case when label = 'N' then list_append(qs, qrs_sec)[-8:] else qs end from (
+    select *, case when rr_sec is null or qrs_sec is null then 'U' when rr_base is null then 'N' when qrs_sec > 1.25 * qrs_base and qrs_sec - qrs_base >= 0.03 and rr_sec < 0.85 * rr_base then 'V'
+      when qrs_sec > 1.25 * qrs_base and qrs_sec - qrs_base >= 0.03 and rr_sec >= 1.5 * rr_base then 'E' else 'N' end as label from (
+      select o.recording_id, o.i, o.beat_idx, o.time_sec, o.rr_sec, o.qrs_sec, w.rs, w.qs, list_median(w.rs) as rr_base, list_median(w.qs) as qrs_base from w join o on o.recording_id = w.recording_id and o.i = w.i + 1)))
+select recording_id, beat_idx, round(time_sec, 6) as time_sec, round(rr_sec, 6) as rr_sec, round(qrs_sec, 6) as qrs_sec, label, round(rr_base, 6) as rr_base, round(qrs_base, 6) as qrs_base from w""",
+        "beats_class_rates": f"""{FAST}, cl as (select recording_id, [60, 50, 45][num % 3 + 1] as lo, [180, 160, 150][num % 3 + 1] as hi from (select distinct recording_id, cast(recording_id as bigint) as num from b)),
+{WINDOWS5}, kinds as (select 'brady' as kind union all select 'tachy'),
+sm as (select b.*, kind, case when rr_sec > 0 then (case kind when 'brady' then 60 / rr_sec < lo else 60 / rr_sec > hi end) else false end as hit from b join cl using (recording_id), kinds),
+sg as (select *, sum(case when hit then 0 else 1 end) over (partition by recording_id, kind order by time_sec, beat_idx rows between unbounded preceding and current row) as k from sm),
+su as (select recording_id, kind from sg where hit group by recording_id, kind, k having count(*) >= 3),
+ct as (select recording_id, count(*) filter (kind = 'brady') as brady_events, count(*) filter (kind = 'tachy') as tachy_events from su group by recording_id),
+rt as (select recording_id, count(*) filter (60 / rr < lo) as slow_windows, count(*) filter (60 / rr < 60) as under_60_windows, count(*) filter (60 / rr > hi) as fast_windows, count(*) as windows from f5 join cl using (recording_id) group by recording_id)
+select rt.*, coalesce(brady_events, 0) as brady_events, coalesce(tachy_events, 0) as tachy_events from rt left join ct using (recording_id)""",
+        "waveform_windows": f"""with {SAMPLES}, g as (select recording_id, place // 100 as window_idx, list(x order by place) as s from p group by all having count(*) = 100), t as (select *, list_transform(range(1, 100), lambda i: s[i + 1] - s[i]) as d from g)
+select recording_id, window_idx, round(s[1], 6) + 0.0 as first, round(list_max(s) - list_min(s), 6) as ptp, round(len(list_filter(d, lambda q: q = 0)) / 99, 6) as flat_share, round(case when list_var_pop(s) = 0 then 0 else list_var_pop(d) / list_var_pop(s) end, 6) as tone_ratio from t""",
+        "waveform_contract": f"""with {SAMPLES}, n as (select recording_id, max(chunk) + 1 as chunks from v group by all)
+select recording_id, case when cast(recording_id as int) % 3 = 0 and chunks > 1 then 'leads of unlike length' else 'a name for each lead is missing' end as reason from n where (cast(recording_id as int) % 3 = 0 and chunks > 1) or cast(recording_id as int) % 4 = 0""",
+        "waveform_trimmed": f"""with {SAMPLES}, c as (select recording_id, count(*) as total from p group by recording_id), n as (select recording_id, total, total / 20.0::double * (0.3::double + 0.05::double * cast(recording_id as int)) as dur from c), h as (select *, least(total, cast(round_even(dur * 20.0, 0) as bigint)) as keep from n)
+select recording_id, keep as n, (keep - 1) // 64 * 64 as last_chunk, cast(keep - (keep - 1) // 64 * 64 as int) as in_last from h""",
+        "recordings_assessed": f"""with {SAMPLES}, n as (select recording_id, count(*) / 20.0::double as dur from p group by all), g as (select recording_id, place // 100 as i, list(x order by place) as s from p group by all having count(*) = 100),
+t as (select *, list_transform(range(1, 100), lambda i: s[i + 1] - s[i]) as d from g), q as (select *, list_max(s) - list_min(s) as ptp, len(list_filter(d, lambda z: z = 0)) / 99 > 0.9 or list_var_pop(d) / list_var_pop(s) > 3 as isout from t),
+md as (select recording_id, median(ptp) filter (not isout) as mid from q group by all), bad as (select recording_id, i from q join md using (recording_id) where isout or ptp > 4 * mid or ptp < 0.1 * mid),
+x as (select recording_id, greatest(i * 5.0 - 2, 0) as a, least((i + 1) * 5.0 + 2, dur) as z from bad join n using (recording_id) union all select recording_id, 0, least(60, dur) from n union all select recording_id, greatest(dur - 60, 0), dur from n),
+y as (select *, max(z) over (partition by recording_id order by a, z rows between unbounded preceding and 1 preceding) as reach from x), ii as (select *, sum(case when a - reach <= 30 then 0 else 1 end) over (partition by recording_id order by a, z rows between unbounded preceding and current row) as k from y),
+sp as (select recording_id, min(a) as a, max(z) as z from ii group by recording_id, k), tot as (select recording_id, count(*) as spans, sum(z - a) as excluded_sec from sp group by all)
+select recording_id, round(dur, 6) as duration_sec, 0.0 as trimmed_sec, spans, round(excluded_sec, 6) as excluded_sec from n join tot using (recording_id)
+union all select 'short ' || recording_id, cast(length(recording_id) - 1 as double), 0.0, case when length(recording_id) > 1 then 1 else 0 end, cast(length(recording_id) - 1 as double) from n""",
+        "presses_kept": f"{FAST}, d as (select recording_id, max(time_sec) * 2 / 3 as dur from b group by all) select recording_id, beat_idx, round(time_sec, 6) as time_sec from b join d using (recording_id) where label = 'U' and time_sec < dur",
+        "events_presses": f"""{FAST}, d as (select recording_id, max(time_sec) as dur from b group by all), u as (select recording_id, time_sec as t, 'press ' || beat_idx as label from b where label = 'U'),
+n as (select *, row_number() over (partition by recording_id order by t, label) - 1 as position, count(*) over (partition by recording_id) as total from u), s as (select * from n where total <= 5 or exists (select 1 from range(5) as q(i) where round_even(i * (total - 1) / 4.0::double, 0) = position)),
+h as (select *, greatest(0.0, t - 3.0) as a from s join d using (recording_id))
+select recording_id, 'press' as kind, label, round(t, 6) as start_sec, round(t, 6) as end_sec, position, total, round(a, 6) as strip_start, round(least(dur, a + 6.0), 6) as strip_end from h""",
+        "labels_accepted": f"""{FAST}, tr as (select recording_id, time_sec from b where label = 'V'), fl as (select recording_id, time_sec + case when cast(recording_id as bigint) % 5 = 0 then 0.3 else 0.0 end as time_sec from b where label = 'V' and (beat_idx % 9 <> 0 or cast(recording_id as bigint) % 2 = 0)),
+h as (select recording_id, exists (select 1 from tr o where o.recording_id = fl.recording_id and (case when o.time_sec <= fl.time_sec then fl.time_sec - o.time_sec else o.time_sec - fl.time_sec end) <= 0.15) as hit from fl),
+f as (select recording_id, count(*) as flagged, bool_and(hit) as near from h group by all), t as (select recording_id, count(*) as truth from tr group by all)
+select recording_id, truth, coalesce(flagged, 0) as flagged, truth = coalesce(flagged, 0) and coalesce(near, true) as accepted from t left join f using (recording_id)""",
+        "windows_by_clock": f"""{day}, k as (select recording_id, case when num % 2 = 1 then num * 1.5 else ((num % 24 * 3600 + num % 60 * 60 + 7 - (start_us // 1000000) % 86400) % 86400 + 86400) % 86400 end as a from rest)
+select recording_id, 'seen' as strip_id, round(cast(a as double), 6) as strip_start, round(cast(a as double) + 30, 6) as strip_end from k""",
+        "strip_scales": f"""with {SAMPLES}, t as (select recording_id, chunk from v where chunk % 5 = 0), j as (select t.recording_id, chunk as strip_id, x * 12 as x from t join p on p.recording_id = t.recording_id and place >= chunk * 64 and place < chunk * 64 + 96)
+select recording_id, strip_id, '25 mm/s, ' || printf('%.0f', round_even(30 / greatest(3.0, ceil(max(x) - min(x) + 0.2)), 0)) || ' mm/mV' as scale from j group by all""",
+        "start_overrides": f"""{day}, k as (select recording_id, num, make_timestamp(start_us) as t, case num % 4 when 0 then printf('%d:%02d', num % 24, num % 60) when 1 then printf('2026-08-%02d 07:08:%02d', num % 28 + 1, num % 60) when 2 then 'soon' end as o from rest)
+select recording_id, case num % 4 when 0 then strftime(t, '%Y-%m-%d ') || printf('%02d:%02d:00', num % 24, num % 60) when 1 then o else strftime(t, '%Y-%m-%d %H:%M:%S') end as start_text, case when num % 4 = 2 then o end as rejected from k""",
+        "card_blocks": f"""with {CARDS} select path, i + 1 as block_idx, true as ecg, false as empty, case when fault = 0 and i = 2 then 'checksum' end as error, cast(seq as int) as sequence, cast(event_id % 7 as int) as detail, cast(press as int) as press, fault <> 2 as live from c
+union all select distinct path, 0, false, false, null, 0, 0, 0, false from c""",
+        "card_sessions": f"with {CARDS} select path, count(*) as blocks, max(i) + 1 as last_block, max(i) as last_ordinal from k group by path",
+        "card_headers": f"""with {CARDS}, h as (select path, any_value(fault) as fault, make_timestamp(min(us)) as t from c group by path)
+select path, case when fault <> 3 then '180' end as rate, case when fault = 4 then '13/45/10' else strftime(t, '%m/%d/%y') end as start_date, case when fault <> 4 then strftime(t, '%Y-%m-%d %H:%M:%S') end as start_text from h""",
+        "card_rejects": f"""with {CARDS}, h as (select path, any_value(fault) as fault, count(*) as n from k group by path)
+select path, case when fault = 0 then 'checksum' when fault = 1 then 'not contiguous' when fault = 2 then 'only markers' when fault = 3 then 'unsupported rate' else 'bad start date' end as reason from h where (fault = 0 and n > 2) or (fault = 1 and n > 3) or fault in (2, 3, 4)""",
+        "card_presses": f"""with {CARDS}, g as (select path, any_value(fault) as fault, count(*) as n from k group by path), good as (select path from g where not ((fault = 0 and n > 2) or (fault = 1 and n > 3) or fault in (2, 3, 4)))
+select path as recording_id, round(i * 304 / 180.0::double, 6) as time_sec, cast(press as int) as type_index, case press when 1 then 'Manual Event' when 2 then 'Chest Pain' when 3 then 'Cough' else 'Event type ' || press end as label, cast(event_id % 7 as int) as detail from k semi join good using (path) where press <> 0""",
+        "card_waveforms": f"""with {CARDS}, g as (select path, any_value(fault) as fault, count(*) as n from k group by path), good as (select path from g where not ((fault = 0 and n > 2) or (fault = 1 and n > 3) or fault in (2, 3, 4))),
+z as (select path, i, ch, pt, {DECODE}[(event_id + pt * (ch + 1) + i) % 16 + 1] as delta from k semi join good using (path), range(3) as a(ch), range(304) as t(pt)),
+s as (select path, i, ch, pt, 0.0125::double * sum(delta) over (partition by path, ch order by i, pt rows unbounded preceding) as x from z)
+select path as recording_id, cast(ch as int) as channel, i * 304 as first_sample, cast(count(*) as int) as n, round(arg_min(x, pt), 6) + 0.0 as first, round(arg_max(x, pt), 6) + 0.0 as last, round(min(x), 6) + 0.0 as lowest, round(max(x), 6) + 0.0 as highest from s group by path, ch, i""",
+    }
 
 
 def _oracle_sql() -> dict[str, str]:
@@ -93,17 +168,16 @@ select recording_id, arrests, round(l.d, 6) as longest_sec, round(-l.s, 6) + 0.0
         "beats_trend": f"""{DAY}, k as (select recording_id, cast(floor(time_sec / 60) as bigint) as bin, case when count(*) >= 2 then 60 / median(rr_sec) end as bpm from b where rr_sec <> 0 group by all),
 g as (select recording_id, unnest(range(0, max(bin) + 1)) as bin from k group by recording_id)
 select recording_id, (bin + 0.5) * 60.0 as centre_sec, round(bpm, 6) as bpm from g left join k using (recording_id, bin)""",
-        "beats_hourly": f"""{DAY.replace("), ", "), ", 1)}, {WINDOWS5}, o as (select recording_id, any_value(3600.0 - (start_us % 3600000000) / 1e6) as f, max(time_sec) as until from b group by recording_id),
-h as (select b.*, f, case when time_sec < f then 0 else 1 + cast(floor((time_sec - f) / 3600) as bigint) end as hour from b join o using (recording_id)),
+        "beats_hourly": f"""{DAY}, {REST}, {GRID}, {WINDOWS5.replace("from b where", "from bb where")},
+h as (select bb.*, f, case when time_sec < f then 0 else 1 + cast(floor((time_sec - f) / 3600) as bigint) end as hour from bb join rest using (recording_id)),
 n as (select recording_id, hour, count(*) as beats, count(*) filter (label = 'V') as pvcs, count(*) filter (label = 'E') as escapes, count(*) filter (rr_sec >= 2.5) as pauses, count(*) filter (rr_sec <> 0) as rrs, avg(rr_sec) filter (rr_sec <> 0) as rr from h group by all),
 m as (select *, case when label = 'V' and lag(label) over {P} = 'V' then 0 else 1 end as new from h), mm as (select *, sum(new) over {UPTO} as run from m),
 r1 as (select recording_id, run, min(hour) as hour, count(*) as n from mm where label = 'V' group by recording_id, run),
 r as (select recording_id, hour, count(*) filter (n = 2) as couplets, count(*) filter (n >= 3) as runs from r1 group by all),
-w as (select recording_id, case when time_sec < f then 0 else 1 + cast(floor((time_sec - f) / 3600) as bigint) end as hour, 60 / max(rr) as lo, 60 / min(rr) as hi from f5 join o using (recording_id) group by all),
-g as (select recording_id, f, until, unnest(range(0, (select max(hour) from h where h.recording_id = o.recording_id) + 1)) as hour from o)
-select recording_id, hour, round(case when hour = 0 then 0 else f + (hour - 1) * 3600 end, 6) as start_sec, round(least(f + hour * 3600, until), 6) as end_sec, coalesce(beats, 0) as beats, coalesce(pvcs, 0) as pvcs, coalesce(escapes, 0) as escapes,
+w as (select recording_id, case when time_sec < f then 0 else 1 + cast(floor((time_sec - f) / 3600) as bigint) end as hour, 60 / max(rr) as lo, 60 / min(rr) as hi from f5 join rest using (recording_id) group by all)
+select recording_id, hour, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, coalesce(beats, 0) as beats, coalesce(pvcs, 0) as pvcs, coalesce(escapes, 0) as escapes,
   coalesce(couplets, 0) as couplets, coalesce(runs, 0) as runs, coalesce(pauses, 0) as pauses, round(case when rrs >= 5 and lo is not null then lo end, 6) as min_bpm, round(case when rrs >= 5 and lo is not null then 60 / rr end, 6) as mean_bpm, round(case when rrs >= 5 and lo is not null then hi end, 6) as max_bpm
-from g left join n using (recording_id, hour) left join r using (recording_id, hour) left join w using (recording_id, hour)""",
+from grid left join n using (recording_id, hour) left join r using (recording_id, hour) left join w using (recording_id, hour)""",
         "beats_screening": f"""{FAST}, {RUNS}, {COUNTS}, a as (select recording_id, count(*) as total_beats, count(*) filter (label = 'V') as pvc_count, count(*) filter (rr_sec >= 2.5) as pauses, max(rr_sec) as l, max(time_sec) as s from b group by recording_id),
 j as (select a.recording_id, total_beats, pvc_count, pauses, a.l, s, coalesce(couplets, 0) as couplets, coalesce(triplets, 0) as triplets, coalesce(vt_runs, 0) as vt_runs, c.f.n as fast, case when s >= 72.0 then pvc_count * 86400.0 / s end as p from a left join c using (recording_id))
 select recording_id, total_beats, pvc_count, round(pvc_count / total_beats * 100, 6) as burden_pct, couplets, triplets, vt_runs, round(fast, 6) as fastest_bpm, pauses, round(l, 6) as longest_sec, round(s, 6) as analyzed_sec, round(p, 6) as pvc_per_24h,
@@ -149,7 +223,7 @@ select recording_id, hour, m.i as beat_idx, position, total from n where total <
         "detection_scores": f"""{FAST}, h as (select recording_id, time_sec, exists (select 1 from b o where o.recording_id = b.recording_id and o.label = 'E' and (case when o.time_sec <= b.time_sec then b.time_sec - o.time_sec else o.time_sec - b.time_sec end) <= 0.4) as hit from b where label = 'V'),
 t as (select recording_id, count(*) as truth, count(*) filter (hit) as hits from h group by recording_id), f as (select recording_id, count(*) as found from b where label = 'E' group by recording_id)
 select recording_id, truth, coalesce(found, 0) as found, hits, round(hits / truth, 6) as sensitivity, round(hits / greatest(1, coalesce(found, 0)), 6) as precision from t left join f using (recording_id)""",
-        "hourly_analyzed": f"{DAY}, {HOURS} select recording_id, hour, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, round(analyzed_sec, 6) as analyzed_sec from ha",
+        "hourly_analyzed": f"{DAY}, {REST}, {GRID}, {HOURS} select recording_id, hour, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, round(analyzed_sec, 6) as analyzed_sec from ha",
         "timeline_lanes": f"""{FAST}, {SUSTAINED}, l as (select recording_id, 'press' as lane, time_sec as start_sec, time_sec as end_sec from b where label = 'U' union all select recording_id, 'pvc', time_sec, time_sec from b where label = 'V'
   union all select recording_id, 'escape', time_sec, time_sec from b where label = 'E' union all select recording_id, 'pause', time_sec, time_sec from b where rr_sec >= 2.5 union all select recording_id, kind, start_sec, greatest(end_sec, start_sec + 5.0) from su)
 select recording_id, lane, round(start_sec, 6) + 0.0 as start_sec, round(end_sec, 6) as end_sec from l""",

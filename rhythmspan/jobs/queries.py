@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detection, evaluate, events, labels, quality, report, rhythm
-from ..sources import testbeds
-from .screening import screen, summarize
+from ..ordered import written
+from ..sources import cards, testbeds
+from . import archive
+from .screening import kept_presses, screen, summarize
 
 #: Seconds of the fast stand-in that count as enough analysed time, in hours.
 FAST_HOURS = 0.02
@@ -23,7 +25,7 @@ TOLERANCE = 0.4
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])  # + 0.0: no negative zeros
 
 
 def _durations(beats: DataFrame) -> DataFrame:
@@ -80,10 +82,13 @@ def beats_trend(spark, d):
     return _rounded(rhythm.trend(testbeds.beats(spark, d, 6e7)))
 
 
+def _day_beats(spark: SparkSession, d: str) -> DataFrame:
+    """The day-long stand-in; every tenth recording has lost its beats."""
+    return testbeds.beats(spark, d, 6e7).where("cast(recording_id as long) % 10 <> 0")
+
+
 def beats_hourly(spark, d):
-    b = testbeds.beats(spark, d, 6e7)
-    into = F.pmod(F.col("start_us"), F.lit(3_600_000_000)) / 1e6
-    return _rounded(rhythm.hourly(b, F.lit(3600.0) - into))
+    return _rounded(rhythm.hourly(_day_beats(spark, d), testbeds.recordings(spark, d)))
 
 
 def beats_screening(spark, d):
@@ -157,10 +162,9 @@ def detection_scores(spark, d):
 
 def _hours(spark: SparkSession, d: str) -> DataFrame:
     """Hours of the day-long stand-in with what is left of them outside the spans."""
-    b = testbeds.beats(spark, d, 6e7)
-    into = F.pmod(F.col("start_us"), F.lit(3_600_000_000)) / 1e6
+    b = _day_beats(spark, d)
     spans = quality.merge_spans(testbeds.spans(b, length=600.0))
-    return quality.analyzed_within(rhythm.hourly(b, F.lit(3600.0) - into), spans)
+    return quality.analyzed_within(rhythm.hourly(b, testbeds.recordings(spark, d)), spans)
 
 
 def hourly_analyzed(spark, d):
@@ -168,8 +172,7 @@ def hourly_analyzed(spark, d):
 
 
 def hourly_text(spark, d):
-    starts = testbeds.beats(spark, d, 6e7).groupBy("recording_id").agg(F.timestamp_micros(F.min("start_us")).cast("timestamp_ntz").alias("start_time"))
-    return report.hourly_table(_hours(spark, d).join(starts, "recording_id"))
+    return report.hourly_table(_hours(spark, d).join(testbeds.recordings(spark, d).select("recording_id", "start_time"), "recording_id"))
 
 
 def _sustained(beats: DataFrame) -> DataFrame:
@@ -209,11 +212,153 @@ def strip_waveforms(spark, d):
 
 
 def report_panels(spark, d):
-    b = testbeds.beats(spark, d)
+    """Panels of the fast stand-in; its recordings have the weight classes of the day-long one."""
+    b = written(testbeds.beats(spark, d), "beats")
     left = quality.analyzed_seconds(_merged(b), _durations(b))
-    starts = b.groupBy("recording_id").agg(F.timestamp_micros(F.min("start_us")).cast("timestamp_ntz").alias("start_time"))
-    kept = left.join(starts, "recording_id").withColumn("trimmed_sec", F.lit(0.0))
-    return report.panels(summarize(b, kept, b.where("label = 'U'"), BRADY, TACHY, FAST_HOURS))
+    of = testbeds.recordings(spark, d, 3e10).select("recording_id", "start_time", "weight_class")
+    kept = left.join(of, "recording_id").withColumn("trimmed_sec", F.lit(0.0))
+    return report.panels(summarize(b, kept, b.where("label = 'U'"), FAST_HOURS))
+
+
+def beats_class_rates(spark, d):
+    """Slow and fast stretches and windows by the limits of each recording's weight class."""
+    limited = testbeds.beats(spark, d).join(rhythm.limits(testbeds.recordings(spark, d)).select("recording_id", "brady_bpm", "tachy_bpm"), "recording_id")
+    stretches = rhythm.sustained(limited, "brady", F.col("brady_bpm")).unionByName(rhythm.sustained(limited, "tachy", F.col("tachy_bpm")))
+    counts = stretches.groupBy("recording_id").agg(F.count_if(F.col("kind") == "brady").alias("brady_events"), F.count_if(F.col("kind") == "tachy").alias("tachy_events"))
+    rates = rhythm.rate_stats(limited, "brady_bpm", "tachy_bpm").select("recording_id", "slow_windows", "under_60_windows", "fast_windows", "windows")
+    return rates.join(counts, "recording_id", "left").na.fill(0, ["brady_events", "tachy_events"])
+
+
+#: Samples a second of the stand-in waveforms where they are cut into windows of five seconds: 100 samples.
+CUT_RATE = 20.0
+
+
+def waveform_windows(spark, d):
+    """Windows cut across the chunks of the stand-in waveforms."""
+    got = quality.window_stats(quality.cut(_waveform(spark, d), CUT_RATE))
+    return _rounded(got.select("recording_id", "window_idx", F.col("samples")[0].alias("first"), "ptp", "flat_share", "tone_ratio"))
+
+
+def waveform_contract(spark, d):
+    """Two leads a recording, of which some have lost a chunk; every fourth recording lacks a name."""
+    w = _waveform(spark, d)
+    label = F.col("recording_id").cast("int")
+    second = w.withColumn("channel", F.lit(1)).where((label % 3 != 0) | (F.col("first_sample") != 64))
+    names = F.when(label % 4 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    return quality.contract(w.select("recording_id").distinct().withColumn("channel_names", names), w.unionByName(second), CUT_RATE)
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    label = F.col("recording_id").cast("int")
+    return quality.recorded(_waveform(spark, d), CUT_RATE).select("recording_id", (F.col("recorded_sec") * (0.3 + 0.05 * label)).alias("duration_sec"))
+
+
+def waveform_trimmed(spark, d):
+    """What is left of the stand-in waveforms up to a duration."""
+    got = report.trim(_waveform(spark, d), _lengths(spark, d), CUT_RATE)
+    return got.groupBy("recording_id").agg(F.sum(F.size("samples")).alias("n"), F.max("first_sample").alias("last_chunk"), F.max_by(F.size("samples"), "first_sample").alias("in_last"))
+
+
+def recordings_assessed(spark, d):
+    """Durations of the stand-in waveforms and of recordings without a full window, judged by the rules as they are."""
+    w = _waveform(spark, d)
+    sizes = quality.recorded(w, CUT_RATE).select("recording_id", "recorded_sec")
+    more = sizes.select(F.concat(F.lit("short "), "recording_id").alias("recording_id"), (F.col("recorded_sec") * 0 + F.length("recording_id") - 1).alias("recorded_sec"))
+    lengths, spans = quality.assess(quality.cut(w, CUT_RATE), sizes.unionByName(more))
+    total = spans.groupBy("recording_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("end_sec") - F.col("start_sec")).alias("excluded_sec"))
+    return _rounded(lengths.join(total, "recording_id", "left").na.fill(0))
+
+
+def presses_kept(spark, d):
+    """Presses (the U beats) before two thirds of the recording."""
+    b = testbeds.beats(spark, d)
+    lengths = _durations(b).withColumn("duration_sec", F.col("duration_sec") * 2 / 3)
+    return _rounded(kept_presses(b.where("label = 'U'").select("recording_id", "beat_idx", "time_sec"), lengths))
+
+
+def events_presses(spark, d):
+    b = testbeds.beats(spark, d)
+    rows = b.where("label = 'U'").select("recording_id", "time_sec", F.concat(F.lit("press "), "beat_idx").alias("label"))
+    return _rounded(events.press_strips(rows, _durations(b), 5))
+
+
+def labels_accepted(spark, d):
+    """Flagged (wide beats) against true ones (V beats)."""
+    b = testbeds.beats(spark, d)
+    return evaluate.labels_accepted(b.where("label = 'V'"), b.where("label = 'V' and (beat_idx % 9 <> 0 or cast(recording_id as long) % 2 = 0)").withColumn("time_sec", F.col("time_sec") + F.when(F.col("recording_id").cast("long") % 5 == 0, 0.3).otherwise(0.0)), 0.15)
+
+
+def windows_by_clock(spark, d):
+    """Named windows by offset and by the clock."""
+    of = testbeds.recordings(spark, d)
+    number = F.col("recording_id").cast("int")
+    clock = F.when(number % 2 == 0, F.format_string("%02d:%02d:07", number % 24, number % 60))
+    named = of.select("recording_id", F.lit("seen").alias("name"), F.when(number % 2 == 1, number * 1.5).alias("offset_sec"), clock.alias("clock"), F.lit(30.0).alias("length_sec"))
+    return _rounded(report.clock_windows(named, of.withColumn("start_time", F.date_trunc("second", "start_time").cast("timestamp_ntz"))))
+
+
+def strip_scales(spark, d):
+    """Speed and gain of the strips of the stand-in waveforms."""
+    w = testbeds.windows(spark, d).select("recording_id", "window_idx").where("window_idx % 5 = 0")
+    shown = w.select("recording_id", F.col("window_idx").alias("strip_id"), (F.col("window_idx") * 4.0).alias("strip_start"), (F.col("window_idx") * 4.0 + 6).alias("strip_end"))
+    tall = _waveform(spark, d).withColumn("samples", F.transform("samples", lambda x: x * 12))
+    got = report.strip_waveforms(shown, tall, 16.0)
+    return got.select("recording_id", "strip_id", report.scale_text(F.lit(6.0), F.col("range_mv")).alias("scale"))
+
+
+def start_overrides(spark, d):
+    """Starts under overrides: a clock time, a whole time, one that can't be read, or none."""
+    of = testbeds.recordings(spark, d).select("recording_id", "start_time")
+    number = F.col("recording_id").cast("int")
+    text = F.when(number % 4 == 0, F.format_string("%d:%02d", number % 24, number % 60)).when(number % 4 == 1, F.format_string("2026-08-%02d 07:08:%02d", number % 28 + 1, number % 60)).when(number % 4 == 2, F.lit("soon"))
+    got = report.start_times(of, of.select("recording_id", text.alias("text")).where("text is not null"))
+    return got.select("recording_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_text"), "rejected")
+
+
+def _opened(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = testbeds.cards(spark, d)
+    return found, written(cards.session(cards.blocks(found)), "blocks")
+
+
+def card_blocks(spark, d):
+    """What is on the cards, block by block, before the session is found."""
+    return cards.blocks(testbeds.cards(spark, d)).select("path", "block_idx", "ecg", "empty", "error", "sequence", "detail", "press", "live")
+
+
+def card_sessions(spark, d):
+    kept = _opened(spark, d)[1]
+    return kept.groupBy("path").agg(F.count_if("ecg").alias("blocks"), F.max("block_idx").alias("last_block"), F.max("ordinal").alias("last_ordinal"))
+
+
+def card_headers(spark, d):
+    got = cards.headers(_opened(spark, d)[1])
+    return got.select("path", F.try_element_at("fields", F.lit("SampleRate")).alias("rate"), F.try_element_at("fields", F.lit("start_date")).alias("start_date"), F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_text"))
+
+
+def card_rejects(spark, d):
+    return cards.rejects(*_opened(spark, d))
+
+
+def card_presses(spark, d):
+    return _rounded(archive.open_cards(testbeds.cards(spark, d))["presses"])
+
+
+def card_waveforms(spark, d):
+    """Measures of every decoded chunk of the cards that can be used."""
+    x = F.col("samples")
+    got = archive.open_cards(testbeds.cards(spark, d))["waveform"]
+    return _rounded(got.select("recording_id", "channel", "first_sample", F.size(x).alias("n"), x[0].alias("first"), x[303].alias("last"), F.array_min(x).alias("lowest"), F.array_max(x).alias("highest")))
+
+
+def card_tables(spark, d):
+    """Rows of each table of a whole job over the cards, from blocks to strips."""
+    opened = archive.open_cards(testbeds.cards(spark, d))
+    tables = archive.analyse(written(opened["waveform"], "waveform"), opened["recordings"], opened["presses"])
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def waveform_beats(spark, d):
@@ -227,5 +372,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         beats_trend, beats_hourly, beats_screening, beats_labelled, beats_typical, windows_bad, windows_islands, spans_merged, spans_analyzed, beats_excluded,
         windows_kept, events_catalogue, events_strips, events_extremes, events_hour_samples, detection_scores,
         hourly_analyzed, hourly_text, timeline_lanes, timeline_spans, strip_beats, strip_waveforms, report_panels, waveform_beats,
+        beats_class_rates, waveform_windows, waveform_contract, waveform_trimmed, recordings_assessed, presses_kept, events_presses, labels_accepted, windows_by_clock, strip_scales, start_overrides,
+        card_blocks, card_sessions, card_headers, card_rejects, card_presses, card_waveforms, card_tables,
     )
     return {f.__name__: f for f in found}

@@ -11,8 +11,11 @@ from ..operators import rhythm
 
 
 def screen(beats: DataFrame, min_hours: float = C.MIN_HOURS) -> DataFrame:
-    """Burden, runs, pauses and their bands; every part groups by recording, so one exchange of beats serves all."""
-    beats = beats.repartition("recording_id")
+    """Burden, runs, pauses and their bands, a row a recording.
+
+    Each part groups beats by recording. Parts read different columns, so Spark plans an exchange for
+    each of them rather than one for all; give a stored table, so that none is computed again.
+    """
     last = beats.groupBy("recording_id").agg(F.max("time_sec").alias("analyzed_sec"))
     out = rhythm.burden(beats).join(rhythm.run_counts(rhythm.runs(beats)), "recording_id", "left").join(rhythm.pauses(beats), "recording_id").join(last, "recording_id")
     scaled = bands.pvc_per_24h(F.col("pvc_count"), F.col("analyzed_sec"), min_hours)
@@ -25,22 +28,31 @@ def screen(beats: DataFrame, min_hours: float = C.MIN_HOURS) -> DataFrame:
     )
 
 
-def summarize(beats: DataFrame, recordings: DataFrame, presses: DataFrame, brady: float = C.BRADY_BPM["medium"], tachy: float = C.TACHY_BPM["medium"], min_hours: float = C.MIN_HOURS) -> DataFrame:
-    """One wide row for each of ``recordings`` (``recording_id, start_time, duration_sec, trimmed_sec, analyzed_sec``), beats or none.
+def kept_presses(presses: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Presses before the end of what is kept of their recording (``recording_id, duration_sec``)."""
+    return presses.join(lengths.select("recording_id", "duration_sec"), "recording_id").where("time_sec < duration_sec").drop("duration_sec")
+
+
+def summarize(beats: DataFrame, recordings: DataFrame, presses: DataFrame, min_hours: float = C.MIN_HOURS) -> DataFrame:
+    """One wide row for each of ``recordings`` (``recording_id, start_time, duration_sec, trimmed_sec, analyzed_sec, weight_class``), beats or none.
 
-    Unknown durations fall back to the last beat. Beats are shuffled once, on ``recording_id``.
+    The limits of slow and fast rates are those of the weight class. Unknown durations fall back to the
+    last beat; presses after a known duration don't count. Parts read different columns of the beats and
+    are exchanged one by one.
     """
-    beats = beats.repartition("recording_id")
+    recordings = rhythm.limits(recordings)
+    presses = presses.join(recordings.select("recording_id", "duration_sec"), "recording_id").where("duration_sec is null or time_sec < duration_sec")
+    beats = beats.join(recordings.select("recording_id", "brady_bpm", "tachy_bpm"), "recording_id")
     found = rhythm.runs(beats)
     rated = found.where("label = 'V' and bpm is not null").groupBy("recording_id").agg(
         F.max(F.struct("beats", (-F.col("start_sec")).alias("s"), "bpm")).alias("l"), F.max(F.struct("bpm", (-F.col("start_sec")).alias("s"), "beats")).alias("f")
     )
     runs = rated.select("recording_id", F.col("l.beats").alias("longest_beats"), F.col("l.bpm").alias("longest_bpm"), F.col("f.beats").alias("fastest_beats"), F.col("f.bpm").alias("fastest_bpm"))
-    events = lambda kind, bpm: rhythm.sustained(beats, kind, bpm).groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{kind}_events"))
+    events = lambda kind: rhythm.sustained(beats, kind, F.col(f"{kind}_bpm")).groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{kind}_events"))
     parts = [
         rhythm.burden(beats), rhythm.run_counts(found).select("recording_id", "couplets", "triplets", "vt_runs", "escape_couplets", "escape_runs"), runs,
-        rhythm.pauses(beats).withColumnRenamed("longest_sec", "longest_pause"), rhythm.rate_stats(beats, brady, tachy), rhythm.variability(beats),
-        rhythm.sinus_summary(rhythm.sinus_intervals(beats)).select("recording_id", "arrests", F.col("longest_sec").alias("longest_sinus")), events("brady", brady), events("tachy", tachy),
+        rhythm.pauses(beats).withColumnRenamed("longest_sec", "longest_pause"), rhythm.rate_stats(beats, "brady_bpm", "tachy_bpm"), rhythm.variability(beats),
+        rhythm.sinus_summary(rhythm.sinus_intervals(beats)).select("recording_id", "arrests", F.col("longest_sec").alias("longest_sinus")), events("brady"), events("tachy"),
         beats.groupBy("recording_id").agg(F.count_if(F.col("label") == "E").alias("escapes"), F.max("time_sec").alias("__last")), presses.groupBy("recording_id").agg(F.count(F.lit(1)).alias("presses")),
     ]
     out = recordings
@@ -49,4 +61,4 @@ def summarize(beats: DataFrame, recordings: DataFrame, presses: DataFrame, brady
     last = F.coalesce("__last", F.lit(0.0))
     out = out.withColumns({"duration_sec": F.coalesce("duration_sec", last), "analyzed_sec": F.coalesce("analyzed_sec", last), "trimmed_sec": F.coalesce("trimmed_sec", F.lit(0.0)), "burden_pct": F.coalesce("burden_pct", F.lit(0.0))})
     scaled = bands.pvc_per_24h(F.coalesce("pvc_count", F.lit(0)), F.col("analyzed_sec"), min_hours)
-    return out.withColumns({"pvc_per_24h": scaled, "brady_bpm": F.lit(brady), "tachy_bpm": F.lit(tachy)}).drop("__last")
+    return out.withColumn("pvc_per_24h", scaled).drop("__last")

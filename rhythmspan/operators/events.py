@@ -55,6 +55,16 @@ def even_sample(rows: DataFrame, cap: int, within: tuple[str, ...], order: tuple
     return ranked.where((F.col("total") <= cap) | taken)
 
 
+def press_strips(presses: DataFrame, recordings: DataFrame, cap: int = C.MAX_STRIPS) -> DataFrame:
+    """Presses of the diary button, evenly sampled, each with the strip around it; nothing on it is marked.
+
+    ``recording_id, kind, label, start_sec, end_sec, position, total, strip_start, strip_end``.
+    """
+    t = F.col("time_sec")
+    shown = even_sample(presses.select("recording_id", F.lit("press").alias("kind"), "label", t.alias("start_sec"), t.alias("end_sec")), cap, ("recording_id",), ("start_sec", "label"))
+    return strips(shown, recordings, margin=0.0)
+
+
 def hour_samples(beats: DataFrame, first_hour_sec: Column, cap: int = C.MAX_HOUR_STRIPS) -> DataFrame:
     """The first beat of every hour that has one, evenly sampled: ``recording_id, hour, time_sec, beat_idx, position, total``."""
     t = F.col("time_sec")

@@ -2,51 +2,61 @@
 
 from __future__ import annotations
 
-from collections import deque
-from statistics import median
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..ordered import walked
 
 LABELLED = "recording_id string, beat_idx long, time_sec double, rr_sec double, qrs_sec double, label string, rr_base double, qrs_base double"
 
 
-def label_one(rr: float | None, qrs: float | None, base: tuple[float, float] | None) -> str:
-    """U without both measures; N without a baseline; V if wide and early; E if wide and late; else N."""
-    if rr is None or qrs is None:
-        return "U"
-    if base is None:
-        return "N"
-    wide = qrs > C.WIDE_RATIO * base[1] and qrs - base[1] >= C.WIDE_MARGIN_SEC
-    if wide and rr < C.PREMATURE_RATIO * base[0]:
-        return "V"
-    return "E" if wide and rr >= C.LATE_RATIO * base[0] else "N"
-
-
-def label_recording(beats: pd.DataFrame) -> pd.DataFrame:
-    """Labels in time order; each N beat moves the baseline, so no frame of rows can express it."""
-    beats = beats.sort_values(["time_sec", "beat_idx"])
-    rrs, widths = deque(maxlen=C.BASELINE_BEATS), deque(maxlen=C.BASELINE_BEATS)
-    labels, rr_base, qrs_base = [], [], []
-    for rr, qrs in zip(beats["rr_sec"], beats["qrs_sec"], strict=True):
-        rr, qrs = (None if pd.isna(x) else float(x) for x in (rr, qrs))
-        base = (median(rrs), median(widths)) if rrs else None
-        labels.append(got := label_one(rr, qrs, base))
-        rr_base.append(base and base[0])
-        qrs_base.append(base and base[1])
-        if got == "N":
-            rrs.append(rr)
-            widths.append(qrs)
-    return beats.assign(label=labels, rr_base=pd.Series(rr_base, beats.index, dtype="float64"), qrs_base=pd.Series(qrs_base, beats.index, dtype="float64"))
+class _Baseline:
+    """Labels beats in order; each beat found normal moves the rhythm that the next ones are held against.
+
+    What is kept between beats is a table of the last normal intervals and widths, a column each.
+    """
+
+    def __init__(self, size: int = C.BASELINE_BEATS):
+        self.normal, self.size = np.empty((2, 0)), size
+
+    def _judge(self, rr: float, qrs: float, usual: np.ndarray) -> str:
+        if np.isnan(rr) or np.isnan(qrs):
+            return "U"
+        if np.isnan(usual).any():
+            return "N"
+        if qrs <= C.WIDE_RATIO * usual[1] or qrs - usual[1] < C.WIDE_MARGIN_SEC:
+            return "N"
+        return "V" if rr < C.PREMATURE_RATIO * usual[0] else "E" if rr >= C.LATE_RATIO * usual[0] else "N"
+
+    def take(self, rows: pd.DataFrame) -> pd.DataFrame:
+        measures = rows[["rr_sec", "qrs_sec"]].to_numpy(float)
+        bases, labels = np.full(measures.shape, np.nan), []
+        usual = np.median(self.normal, axis=1) if self.normal.size else np.full(2, np.nan)
+        for at, pair in enumerate(measures):
+            bases[at] = usual
+            labels.append(self._judge(*pair, usual))
+            if labels[-1] == "N":
+                self.normal = np.c_[self.normal, pair][:, -self.size :]
+                usual = np.median(self.normal, axis=1)
+        nulls = lambda v: pd.Series(v, rows.index).astype("Float64")
+        return rows.assign(rr_sec=nulls(measures[:, 0]), qrs_sec=nulls(measures[:, 1]), label=labels, rr_base=nulls(bases[:, 0]), qrs_base=nulls(bases[:, 1]))
+
+    def rest(self) -> None:
+        return None
 
 
 def label_beats(beats: DataFrame) -> DataFrame:
-    """``LABELLED``: one pass a recording (about 1e5 beats a day), all recordings side by side."""
+    """``LABELLED``: recordings side by side, each in time order and a batch of beats at a time.
+
+    U without both measures; N without a baseline; V if wide and early; E if wide and late; else N.
+    ``rr_base, qrs_base`` are medians of the last normal beats. No frame of rows can express it, since
+    labels decide what is in the frame.
+    """
     rows = beats.select("recording_id", "beat_idx", "time_sec", "rr_sec", "qrs_sec")
-    return rows.groupBy("recording_id").applyInPandas(label_recording, LABELLED)
+    return walked(rows, ("recording_id",), ("time_sec", "beat_idx"), _Baseline, LABELLED)
 
 
 def typical(beats: DataFrame, normal: int = 8, reach: int = 40) -> DataFrame:

@@ -58,7 +58,7 @@ def pauses(beats: DataFrame, pause: float = C.PAUSE_SEC, long_pause: float = C.L
     return beats.groupBy("recording_id").agg(F.count_if(rr >= pause).alias("pauses"), F.count_if(rr > long_pause).alias("long_pauses"), F.max(rr).alias("longest_sec"))
 
 
-def sustained(beats: DataFrame, kind: str, bpm: float, least: int = C.SUSTAINED_BEATS) -> DataFrame:
+def sustained(beats: DataFrame, kind: str, bpm: float | Column, least: int = C.SUSTAINED_BEATS) -> DataFrame:
     """Stretches of ``least`` or more beats slower ('brady') or faster ('tachy') than ``bpm``.
 
     ``recording_id, kind, start_sec, end_sec, beats``; an unusable or negative RR ends a stretch.
@@ -72,20 +72,25 @@ def sustained(beats: DataFrame, kind: str, bpm: float, least: int = C.SUSTAINED_
     return found.where(F.col("beats") >= least).select("recording_id", F.lit(kind).alias("kind"), (F.col("f.time_sec") - F.col("f.rr_sec")).alias("start_sec"), "end_sec", "beats")
 
 
-def rate_windows(beats: DataFrame) -> DataFrame:
-    """``recording_id, time_sec, rr_median``: medians of five usable RRs in a row, at the centre beat."""
+def rate_windows(beats: DataFrame, *carried: str) -> DataFrame:
+    """``recording_id, beat_idx, time_sec, rr_median``: medians of five usable RRs in a row, at the centre beat, with its ``carried`` columns."""
     near = [F.lag("rr_sec", 2).over(by()), F.lag("rr_sec", 1).over(by()), F.col("rr_sec"), F.lead("rr_sec", 1).over(by()), F.lead("rr_sec", 2).over(by())]
-    five = beats.where(usable(F.col("rr_sec"))).select("recording_id", "beat_idx", "time_sec", F.array(*near).alias("five"))
-    return five.where(F.col("five")[0].isNotNull() & F.col("five")[4].isNotNull()).select("recording_id", "beat_idx", "time_sec", F.sort_array("five")[2].alias("rr_median"))
+    five = beats.where(usable(F.col("rr_sec"))).select("recording_id", "beat_idx", "time_sec", *carried, F.array(*near).alias("five"))
+    return five.where(F.col("five")[0].isNotNull() & F.col("five")[4].isNotNull()).select("recording_id", "beat_idx", "time_sec", *carried, F.sort_array("five")[2].alias("rr_median"))
 
 
-def rate_stats(beats: DataFrame, brady: float = C.BRADY_BPM["medium"], tachy: float = C.TACHY_BPM["medium"]) -> DataFrame:
-    """Mean, slowest and fastest rate with their times (first on a tie), and shares of slow and fast windows."""
+def rate_stats(beats: DataFrame, brady: float | str = C.BRADY_BPM["medium"], tachy: float | str = C.TACHY_BPM["medium"]) -> DataFrame:
+    """Mean, slowest and fastest rate with their times (first on a tie), and shares of slow and fast windows.
+
+    A limit is a number, or names a column of ``beats`` (:func:`limits`).
+    """
     means = beats.where(usable(F.col("rr_sec"))).groupBy("recording_id").agg((60 / F.avg("rr_sec")).alias("mean_bpm"))
     rr, time = F.col("rr_median"), F.col("time_sec")
     slow, fast = F.max(F.struct(rr, -time)), F.min(F.struct(rr, time))
     bpm = 60 / rr
-    of = rate_windows(beats).groupBy("recording_id").agg(
+    carried = [c for c in (brady, tachy) if isinstance(c, str)]
+    brady, tachy = (F.col(c) if isinstance(c, str) else c for c in (brady, tachy))
+    of = rate_windows(beats, *carried).groupBy("recording_id").agg(
         (60 / slow["rr_median"]).alias("min_bpm"), (-slow["col2"]).alias("min_time"), (60 / fast["rr_median"]).alias("max_bpm"), fast["time_sec"].alias("max_time"),
         F.count_if(bpm < brady).alias("slow_windows"), F.count_if(bpm < 60).alias("under_60_windows"), F.count_if(bpm > tachy).alias("fast_windows"), F.count(F.lit(1)).alias("windows"),
     )
@@ -127,17 +132,50 @@ def trend(beats: DataFrame, bin_sec: float = 60.0) -> DataFrame:
     return grid.join(of, ["recording_id", "bin"], "left").select("recording_id", ((F.col("bin") + 0.5) * bin_sec).alias("centre_sec"), "bpm")
 
 
-def hourly(beats: DataFrame, first_hour_sec: Column, pause: float = C.PAUSE_SEC) -> DataFrame:
+def limits(recordings: DataFrame) -> DataFrame:
+    """``recordings`` (``recording_id, weight_class``) with ``brady_bpm, tachy_bpm`` of the class; unknown classes count as medium."""
+    rows = [(k, C.BRADY_BPM[k], C.TACHY_BPM[k]) for k in C.BRADY_BPM]
+    classes = recordings.sparkSession.createDataFrame(rows, "__class string, brady_bpm double, tachy_bpm double")
+    known = F.when(F.col("weight_class").isin(*C.BRADY_BPM), F.col("weight_class")).otherwise("medium")
+    return recordings.withColumn("__class", known).join(F.broadcast(classes), "__class").drop("__class")  # three rows
+
+
+def first_hour_sec(start: Column) -> Column:
+    """Seconds from a start (null: unknown) to the next full hour of the clock; an hour if the start is one, or is unknown."""
+    into = F.minute(start) * 60 + F.date_format(start, "s.SSSSSS").cast("double")
+    return F.lit(3600.0) - F.coalesce(into, F.lit(0.0))
+
+
+def _hour(t: Column) -> Column:
+    return F.when(t < F.col("first_hour_sec"), F.lit(0).cast("long")).otherwise(1 + F.floor((t - F.col("first_hour_sec")) / 3600))
+
+
+def hour_grid(recordings: DataFrame, beats: DataFrame) -> DataFrame:
+    """``recording_id, hour, start_sec, end_sec``: the hours of each recording, up to its duration or its last beat.
+
+    A beat that stands on the last boundary gets an hour of no length.
+    """
+    last = beats.groupBy("recording_id").agg(F.max("time_sec").alias("last"))
+    spans = recordings.select("recording_id", "duration_sec", "first_hour_sec").join(last, "recording_id", "left")
+    spans = spans.withColumn("until", F.greatest(F.coalesce("duration_sec", F.lit(0.0)), F.coalesce("last", F.lit(0.0))))
+    begin = lambda hour: F.when(hour == 0, F.lit(0.0)).otherwise(F.col("first_hour_sec") + (hour - 1) * 3600.0)
+    plain = F.when(F.col("until") > F.col("first_hour_sec"), F.ceil((F.col("until") - F.col("first_hour_sec")) / 3600)).otherwise(F.when(F.col("until") > 0, 0).otherwise(-1))
+    spans = spans.withColumn("n", plain.cast("long"))
+    ends_on_beat = F.coalesce(F.col("last") == F.col("until"), F.lit(False)) & (begin(F.col("n") + 1) == F.col("until"))
+    spans = spans.withColumn("n", F.col("n") + ends_on_beat.cast("long")).where("n >= 0")
+    hours = spans.select("recording_id", "first_hour_sec", "until", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("hour"))
+    return hours.select("recording_id", "hour", begin(F.col("hour")).alias("start_sec"), F.least(F.col("first_hour_sec") + F.col("hour") * 3600.0, F.col("until")).alias("end_sec"))
+
+
+def hourly(beats: DataFrame, recordings: DataFrame, pause: float = C.PAUSE_SEC) -> DataFrame:
     """One row an hour: ``recording_id, hour, start_sec, end_sec, beats, pvcs, escapes, couplets, runs, pauses, min_bpm, mean_bpm, max_bpm``.
 
-    The first row ends after ``first_hour_sec`` (the next full hour of the clock), the others after
-    3600 s; the last ends with the last beat, and has no length if that beat stands on its start.
+    ``recordings`` has ``recording_id, duration_sec, first_hour_sec``; those without beats have hours too.
+    The first row ends at the next full hour of the clock, the others after 3600 s (:func:`hour_grid`).
     """
-    rows = beats.withColumn("__first", first_hour_sec)
-    hour = lambda t: F.when(t < F.col("__first"), F.lit(0).cast("long")).otherwise(1 + F.floor((t - F.col("__first")) / 3600))
-    keyed = rows.withColumn("hour", hour(F.col("time_sec")))
-    rr = F.col("rr_sec")
-    v = F.col("label") == "V"
+    rows = beats.join(recordings.select("recording_id", "first_hour_sec"), "recording_id")
+    rr, v = F.col("rr_sec"), F.col("label") == "V"
+    keyed = rows.withColumn("hour", _hour(F.col("time_sec")))
     run = F.sum(F.when(v & (F.lag("label").over(by()) == "V"), 0).otherwise(1)).over(by().rowsBetween(Window.unboundedPreceding, 0))
     counts = keyed.groupBy("recording_id", "hour").agg(
         F.count(F.lit(1)).alias("beats"), F.count_if(v).alias("pvcs"), F.count_if(F.col("label") == "E").alias("escapes"), F.count_if(rr >= pause).alias("pauses"),
@@ -145,16 +183,12 @@ def hourly(beats: DataFrame, first_hour_sec: Column, pause: float = C.PAUSE_SEC)
     )
     of_run = keyed.withColumn("__run", run).where(v).groupBy("recording_id", "__run").agg(F.min("hour").alias("hour"), F.count(F.lit(1)).alias("n"))
     of_run = of_run.groupBy("recording_id", "hour").agg(F.count_if(F.col("n") == 2).alias("couplets"), F.count_if(F.col("n") >= 3).alias("runs"))
-    centre = rate_windows(rows).join(rows.select("recording_id", "__first", "beat_idx"), ["recording_id", "beat_idx"]).withColumn("hour", hour(F.col("time_sec")))
+    centre = rate_windows(rows, "first_hour_sec").withColumn("hour", _hour(F.col("time_sec")))
     rates = centre.groupBy("recording_id", "hour").agg((60 / F.max("rr_median")).alias("min_bpm"), (60 / F.min("rr_median")).alias("max_bpm"))
-    span = keyed.groupBy("recording_id").agg(F.max("hour").alias("last"), F.max("time_sec").alias("until"), F.first("__first").alias("__first"))
-    grid = span.select("recording_id", "until", "__first", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("hour"))
-    start = F.when(F.col("hour") == 0, F.lit(0.0)).otherwise(F.col("__first") + (F.col("hour") - 1) * 3600.0)
-    grid = grid.select("recording_id", "hour", start.alias("start_sec"), F.least(F.col("__first") + F.col("hour") * 3600.0, F.col("until")).alias("end_sec"))
     keys = ["recording_id", "hour"]
     rated = (F.col("__rrs") >= 5) & F.col("min_bpm").isNotNull()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return grid.join(counts, keys, "left").join(of_run, keys, "left").join(rates, keys, "left").select(
+    return hour_grid(recordings, beats).join(counts, keys, "left").join(of_run, keys, "left").join(rates, keys, "left").select(
         *keys, "start_sec", "end_sec", *[zero(c) for c in ("beats", "pvcs", "escapes", "couplets", "runs", "pauses")],
         F.when(rated, F.col("min_bpm")).alias("min_bpm"), F.when(rated, 60 / F.col("__rr")).alias("mean_bpm"), F.when(rated, F.col("max_bpm")).alias("max_bpm"),
     )

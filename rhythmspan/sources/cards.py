@@ -22,8 +22,9 @@ CHECKSUM, STEP, MARKER, MILLIVOLTS = 0x4CB31, 1216, 8, 0.0125
 DELTAS = (0, 1, 3, 6, 12, 21, 38, 70, 0, -70, -38, -21, -12, -6, -3, -1)
 
 BLOCKS = (
-    "path string, block_idx long, ecg boolean, empty boolean, error string, position long, sequence int, serial int, detail int, press int, body binary"
+    "path string, block_idx long, ecg boolean, empty boolean, error string, position long, sequence int, serial int, detail int, press int, live boolean, body binary"
 )
+CHANNEL_NAMES = ("Ch 1", "Ch 2", "Ch 3")
 PARTS = "path string, ordinal long, channel int, counts array<int>, total long, first_at int, first_count int, last_at int, last_count int"
 WAVEFORM = "path string, channel int, chunk_idx long, first_sample long, samples array<double>"
 BATCH = 4096
@@ -56,12 +57,12 @@ def _cut(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "path": path, "block_idx": np.arange(at, at + len(rows)), "ecg": ecg, "empty": empty, "error": np.select([c for c, _ in checks], [n for _, n in checks], None),
-                "position": number(6, 10), "sequence": number(466, 468), "serial": number(468, 470), "detail": rows[:, 470].astype(int), "press": rows[:, 471].astype(int), "body": body,
+                "position": number(6, 10), "sequence": number(466, 468), "serial": number(468, 470), "detail": rows[:, 470].astype(int), "press": rows[:, 471].astype(int), "live": ecg & ~marks.all(axis=(1, 2)), "body": body,
             }
         )
     rest = content[whole * BLOCK :]
     if rest.strip(b"\0"):
-        yield pd.DataFrame([{"path": path, "block_idx": whole, "ecg": False, "empty": False, "error": "truncated", "position": 0, "sequence": 0, "serial": 0, "detail": 0, "press": 0, "body": rest}])
+        yield pd.DataFrame([{"path": path, "block_idx": whole, "ecg": False, "empty": False, "error": "truncated", "position": 0, "sequence": 0, "serial": 0, "detail": 0, "press": 0, "live": False, "body": rest}])
 
 
 def nibbles(body: np.ndarray) -> np.ndarray:
@@ -113,24 +114,29 @@ def start_clock(date: Column, time: Column) -> Column:
 def rejects(cards: DataFrame, kept: DataFrame) -> DataFrame:
     """``path, reason`` of the native cards that can't be used; the first bad block gives the reason."""
     by = Window.partitionBy("path").orderBy("block_idx")
-    thin = kept.select("path", "block_idx", "ecg", "empty", "error", "position")
+    thin = kept.select("path", "block_idx", "ecg", "empty", "error", "position", "live")
     padded = F.max(F.col("empty")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     judged = thin.withColumn("reason", F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("empty") & padded, "data after padding"))
     step = F.col("position") - F.lag("position").over(by) != STEP
     gaps = thin.where("ecg").withColumn("gap", step).where("gap").select("path", "block_idx", F.lit("not contiguous").alias("reason"))
     first = judged.where("reason is not null").select("path", "block_idx", "reason").unionByName(gaps).groupBy("path").agg(F.min_by("reason", "block_idx").alias("reason"))
-    counts = thin.groupBy("path").agg(F.count_if("ecg").alias("n"))
+    counts = thin.groupBy("path").agg(F.count_if("ecg").alias("n"), F.count_if("live").alias("live"))
     fields = headers(kept).select("path", "fields", "start_time")
     whole = cards.where("kind = 'native'").select("path").join(counts, "path", "left").join(fields, "path", "left").join(first, "path", "left")
     get = F.col("fields")
     reason = (
         F.when(F.col("n").isNull(), "empty").when(F.col("reason").isNotNull(), F.col("reason")).when(get.isNull(), "no metadata")
         .when(~F.coalesce(get["SampleStorageFormat"] == "1", F.lit(False)), "unsupported mode").when(~F.coalesce(F.expr("try_cast(fields['SampleRate'] as double)") == RATE, F.lit(False)), "unsupported rate")
-        .when(F.col("n") == 0, "no ECG blocks").when(get["start_date"].isNotNull() & get["start_time"].isNotNull() & F.col("start_time").isNull(), "bad start date")
+        .when(F.col("n") == 0, "no ECG blocks").when(F.col("live") == 0, "only markers").when(get["start_date"].isNotNull() & get["start_time"].isNotNull() & F.col("start_time").isNull(), "bad start date")
     )
     return whole.select("path", reason.alias("reason")).where("reason is not null")
 
 
+def usable(kept: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The blocks of cards without a reason to reject them."""
+    return kept.join(rejected.select("path"), "path", "left_anti")
+
+
 def presses(kept: DataFrame) -> DataFrame:
     """``path, time_sec, type_index, label, detail`` of the diary button, labelled by the card's own list."""
     names = F.filter(F.transform(F.split(F.col("fields")["DiaryText"], r"\^"), lambda x: F.trim(x)), lambda x: x != "")
@@ -178,7 +184,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def waveform(kept: DataFrame) -> DataFrame:
-    """``WAVEFORM`` in millivolts: one chunk a block and channel, of cards without :func:`rejects`."""
+    """``WAVEFORM`` in millivolts: one chunk a block and channel. Leave out the cards of :func:`rejects` first (:func:`usable`)."""
     parts = kept.where("ecg").select("path", "ordinal", "body").mapInPandas(_unpack, PARTS)
     by = Window.partitionBy("path", "channel").orderBy("ordinal")
     thin = parts.drop("counts").withColumn("carry", F.coalesce(F.sum("total").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

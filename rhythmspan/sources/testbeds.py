@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rhythm import first_hour_sec
+
 
 def beats(spark: SparkSession, sf_dir: str, divisor: float = 3e10) -> DataFrame:
     """``BEATS`` plus ``start_time``: a user's events as one recording, time shrunk by the divisor (microseconds to seconds)."""
@@ -24,6 +26,61 @@ def beats(spark: SparkSession, sf_dir: str, divisor: float = 3e10) -> DataFrame:
     )
 
 
+def recordings(spark: SparkSession, sf_dir: str, divisor: float = 6e7) -> DataFrame:
+    """``recording_id, start_time, first_hour_sec, last_sec, duration_sec, weight_class`` of the users; up to three hours go on after the last event."""
+    of = beats(spark, sf_dir, divisor).groupBy("recording_id").agg(F.min("start_us").alias("us"), F.max("time_sec").alias("last_sec"))
+    user = F.col("recording_id").cast("long")
+    weight = F.element_at(F.array(F.lit("small"), F.lit("medium"), F.lit("large")), (user % 3 + 1).cast("int"))
+    start = F.timestamp_micros("us").cast("timestamp_ntz")
+    return of.select("recording_id", start.alias("start_time"), first_hour_sec(start).alias("first_hour_sec"), "last_sec", (F.col("last_sec") + user % 4 * 2700.0).alias("duration_sec"), weight.alias("weight_class"))
+
+
+#: Of each ten cards made from users these have a fault: a checksum, a gap, markers alone, no rate, no date.
+FAULTS = {0: "checksum", 1: "gap", 2: "markers", 3: "rate", 4: "date"}
+STALE = 60
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content, kind``: an image of a card for each user, a block an event; from the 60th on blocks are of an older recording.
+
+    Codes, presses and faults follow from ids, so that SQL can say what is on a card.
+    """
+    import struct
+
+    import numpy as np
+    import pandas as pd
+
+    from .cards import CHANNELS, CHECKSUM, POINTS, STEP
+
+    def sealed(block: bytearray, fault: bool = False) -> bytes:
+        block[508:512] = struct.pack("<I", CHECKSUM - sum(block[:508]) + fault)
+        return bytes(block)
+
+    def image(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["us", "event_id"])
+        user = int(rows["user_id"].iloc[0])
+        fault = FAULTS.get(user % 10)
+        clock = rows["us"].iloc[0] // 1_000_000
+        day = pd.Timestamp(clock, unit="s")
+        text = f"{'Rate' if fault == 'rate' else 'SampleRate'}=180\nSampleStorageFormat=1\nstart_time={day:%H:%M:%S}\nstart_date={'13/45/10' if fault == 'date' else f'{day:%m/%d/%y}'}\nDiaryText=Manual Event^ Chest Pain ^^Cough^\n".encode()
+        head = bytearray(512)
+        head[: 6 + len(text)] = struct.pack("<I", 512) + b" \n" + text
+        out = [sealed(head)]
+        point, channel = np.arange(POINTS)[:, None], np.arange(CHANNELS)[None, :]
+        for i, (event, kind) in enumerate(zip(rows["event_id"].tolist(), rows["event_type"].tolist(), strict=True)):
+            codes = (event + point * (channel + 1) + i) % 16
+            codes = np.where(fault == "markers", 8, np.where(codes == 8, 0, codes)).astype(np.uint8).ravel()
+            block = bytearray(512)
+            block[:10] = struct.pack("<IHI", 512, 0x1E, 5900 + i * STEP + (fault == "gap" and i >= 3))
+            block[10:466] = (codes[0::2] | (codes[1::2] << 4)).tobytes()
+            block[466:472] = struct.pack("<HHBB", user % 1000 + (i >= STALE), 52837, event % 7, 1 + event % 4 if kind == "signup" else 0)
+            out.append(sealed(block, fault == "checksum" and i == 2))
+        return pd.DataFrame([{"path": str(user), "content": b"".join(out), "kind": "native"}])
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type")
+    return events.groupBy("user_id").applyInPandas(image, "path string, content binary, kind string")
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``recording_id, window_idx, samples``: each embedding as one window of samples."""
     order = Window.partitionBy("label").orderBy("vec_id")
@@ -33,5 +90,5 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spans(rows: DataFrame, share: float = 0.9, length: float = 2.0) -> DataFrame:
     """``SPANS``: the stretch after each beat whose QRS is in the top share of all."""
-    cut = rows.agg(F.percentile("qrs_sec", share).alias("cut"))
+    cut = rows.agg(F.percentile("qrs_sec", share).alias("cut"))  # exact, so that SQL can be held against it; a stand-in only
     return rows.join(F.broadcast(cut), F.col("qrs_sec") >= F.col("cut")).select("recording_id", F.col("time_sec").alias("start_sec"), (F.col("time_sec") + length).alias("end_sec"))

@@ -30,7 +30,8 @@ def test_rate_shares(spark):
 def test_hours_from_a_known_start(spark):
     n = 14400
     beats = spark.range(n + 1).select(F.lit("r").alias("recording_id"), F.col("id").alias("beat_idx"), (F.col("id") * 0.5).alias("time_sec"), F.when(F.col("id") > 0, 0.5).alias("rr_sec"), F.lit(0.08).alias("qrs_sec"), F.lit("N").alias("label"))
-    got = rhythm.hourly(beats, F.lit(2471.0)).orderBy("hour").collect()
+    recordings = spark.createDataFrame([("r", 0.0, 2471.0)], "recording_id string, duration_sec double, first_hour_sec double")
+    got = rhythm.hourly(beats, recordings).orderBy("hour").collect()
     assert [(r.start_sec, r.end_sec) for r in got] == [(0, 2471), (2471, 6071), (6071, 7200)]
     assert [r.beats for r in got] == [4942, 7200, 2259]
 
@@ -82,3 +83,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], schemas.BEATS)
     assert rhythm.burden(none).count() == rhythm.runs(none).count() == rhythm.rate_stats(none).count() == 0
     assert labels.label_beats(none).count() == 0
+
+
+@pytest.mark.parametrize(("duration", "first", "times"), [(0.0, 3600.0, []), (0.0, 3600.0, [0.0]), (10.0, 3600.0, []), (3600.0, 3600.0, [3600.0]), (3600.0, 3600.0, [3599.0]), (9000.0, 1000.0, [4600.0]), (0.0, 700.0, [700.0]), (4300.0, 700.0, [4300.0])])
+def test_hours_go_on_to_the_end_of_the_recording(spark, duration, first, times):
+    beats = spark.createDataFrame([("r", i, t, None, 0.08, "N") for i, t in enumerate(times)], schemas.BEATS)
+    recordings = spark.createDataFrame([("r", duration, first)], "recording_id string, duration_sec double, first_hour_sec double")
+    end, start, step, want = max([duration, *times]), 0.0, first, []
+    while start < end or (start == end and times and times[-1] == end):
+        want.append((start, min(start + step, end), sum(start <= t < start + step for t in times)))
+        start, step = start + step, 3600.0
+    assert [(r.start_sec, r.end_sec, r.beats) for r in rhythm.hourly(beats, recordings).orderBy("hour").collect()] == want
+
+
+def test_limits_follow_the_weight_class(spark):
+    rows = spark.createDataFrame([("a", "small"), ("b", "large"), ("c", None), ("d", "giant")], "recording_id string, weight_class string")
+    assert {r.recording_id: (r.brady_bpm, r.tachy_bpm) for r in rhythm.limits(rows).collect()} == {"a": (60, 180), "b": (45, 150), "c": (50, 160), "d": (50, 160)}
