@@ -35,7 +35,9 @@ SHINGLE, NUMERATOR, DENOMINATOR, RADIUS = 5, 4, 5, 24
 #: Buckets that shingles are counted in for the order (any order gives the same links; a good one gives small shards).
 BUCKETS = 1 << 18
 #: Shingles to a 64-bit word of a sketch; texts in a tree; pairs of two components that are tested at first.
-SHINGLES_A_WORD, TREE, NEAREST = 8, 4096, 4
+SHINGLES_A_WORD, TREE, NEAREST = 64, 4096, 4
+#: Pairs whose sets are picked out by a broadcast of their ids (16 bytes a pair); more are joined by shuffles.
+FEW_PAIRS = 100_000
 
 
 def text_hash(text: str = "text") -> Column:
@@ -180,9 +182,16 @@ def _passing(pairs: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``u, v`` (distinct) whose exact Jaccard is high enough."""
+    """Those of ``u, v`` (distinct, written) whose Jaccard is high enough.
+
+    Shingles are told apart by 32 bits here, which halves what is shuffled: of two texts of n shingles
+    with a chance of n^2 / 2^32 one shingle too many counts as common.
+    """
+    hashes = sets.select("set", "hashes")
+    if pairs.count() <= FEW_PAIRS:
+        hashes = hashes.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()), "set", "left_semi")
     for c in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("set").alias(c), F.col("hashes").alias(f"h_{c}")).hint("merge"), c)
+        pairs = pairs.join(hashes.select(F.col("set").alias(c), F.col("hashes").alias(f"h_{c}")).hint("merge"), c)
     both = F.size(F.array_intersect("h_u", "h_v"))
     return pairs.withColumn("both", both).where(F.col("both") * DENOMINATOR >= (F.size("h_u") + F.size("h_v") - F.col("both")) * NUMERATOR).select("u", "v")
 
@@ -283,23 +292,23 @@ def groups(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS) -> Da
         def work(cols):
             starts, h = shingles(cols["text"], words_in)
             own = np.split(h, starts[1:-1])
-            return {"set": cols["set"], "fp": np.array([fingerprint(o) for o in own], np.uint64).view(np.int64), "n": np.diff(starts), "sketch": [sketch(o).view(np.int64) for o in own], "hashes": [o.view(np.int64) for o in own]}
+            return {"set": cols["set"], "fp": np.array([fingerprint(o) for o in own], np.uint64).view(np.int64), "n": np.diff(starts), "sketch": [sketch(o).view(np.int64) for o in own], "hashes": [(o >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in own]}
 
         return work
 
     # one text of each set that meets another one
     one = prints.groupBy("set").agg(F.min("text_hash").alias("text_hash")).join(shards.select("set").distinct().hint("merge"), "set", "left_semi")
-    texts = docs.select("text_hash", "text").join(one.hint("merge"), "text_hash").groupBy("set").agg(F.first("text").alias("text"))
-    sets = staged(map_rows(texts, build, "set long, fp long, n long, sketch array<long>, hashes array<long>", rows=64), "sets")
+    texts = docs.select("text_hash", "text").join(one.hint("merge"), "text_hash").groupBy("text_hash").agg(F.first("set").alias("set"), F.first("text").alias("text")).select("set", "text")
+    sets = staged(map_rows(texts, build, "set long, fp long, n long, sketch array<long>, hashes array<int>", rows=64), "sets")
 
     pairs = shards.where("set <> hub").select(F.least("set", "hub").alias("u"), F.greatest("set", "hub").alias("v")).distinct()
-    links = staged(_confirmed(_passing(pairs, sets, radius), sets), "confirmed")
+    links = staged(_confirmed(staged(_passing(pairs, sets, radius), "passing"), sets), "confirmed")
     roots = connected_components(links)
     nearest = NEAREST
     while True:
         spread = _spread(shards, roots, sets).repartition(2 * partitions(spark), "key", "part")
         found = staged(spread.mapInArrow(_apart(radius, nearest), "u long, v long, more boolean"), "apart")
-        more = staged(_confirmed(found.select("u", "v").distinct(), sets), "confirmed")
+        more = staged(_confirmed(staged(found.select("u", "v").distinct(), "asked"), sets), "confirmed")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = connected_components(links)
