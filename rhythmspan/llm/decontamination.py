@@ -30,11 +30,15 @@ from ._common import map_rows, partitions
 from ._words import Words, runs
 
 WIDTH, RANK, OVERSAMPLE = 1 << 18, 96, 8
-#: Items that share a latent space; the rank keeps most of what so many rare words say.
-ITEMS_IN_BLOCK = 256
+#: Items that share a latent space (the rank keeps most of what so many rare words say), and
+#: latent spaces that documents meet in one reading of them: together some 8 MB a block.
+ITEMS_IN_BLOCK, BLOCKS_IN_PASS = 256, 16
 #: Least latent cosine of a candidate, least share of the item's words in common order, and the
 #: lower share that suffices if this share of the answer (the item's last words) is there too.
 COSINE, COMMON, COMMON_WITH_ANSWER, ANSWER, ANSWER_WORDS = 0.35, 0.8, 0.6, 0.6, 5
+#: In the comparison a window's norm counts as at most so many times the item's, so that words which
+#: an edit puts in, however rare, can't outweigh what it leaves.
+HEAVIEST = 1.3
 #: Words in a cell; windows are whole cells, their lengths grow by this factor, and items get the
 #: first that holds 1.25 times their words. A window starts every third of its length.
 CELL, FIRST_WINDOW, WINDOW_GROWTH, STEPS = 4, 12, 1.4, 3
@@ -208,98 +212,115 @@ def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, commo
     idf = np.log((1.0 + n_docs) / (1.0 + df)).astype(np.float32) + np.float32(1e-3)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for block in range(blocks):
-        part = _search(rows, ids.where(F.pmod(F.xxhash64("item_id", "ids"), F.lit(blocks)) == block), idf, cosine, common)
+    for first in range(0, blocks, BLOCKS_IN_PASS):
+        in_pass = [ids.where(F.pmod(F.xxhash64("item_id", "ids"), F.lit(blocks)) == b) for b in range(first, min(first + BLOCKS_IN_PASS, blocks))]
+        part = _search(rows, [_block_model(items, idf) for items in in_pass], idf, cosine, common)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("common", "cosine", (-F.col("start_word")).alias("back"), "n_words", "answer")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.back")).alias("start_word"), "b.n_words", F.round("b.cosine", 4).alias("cosine"), F.round("b.common", 4).alias("common"), F.round("b.answer", 4).alias("answer"))
 
 
-def _search(rows: DataFrame, items: DataFrame, idf: np.ndarray, cosine: float, common: float) -> DataFrame:
-    spark = rows.sparkSession
+class BlockModel:
+    """What a task needs to search for the items of one block, in arrays.
+
+    ``words`` is the latent vector of each word of the vocabulary times its idf, with a row of
+    zeros at the end for all words that are in no item; ``by_window`` has the items by the length
+    of the window that is searched for them.
+    """
+
+    def __init__(self, item_ids: list[int], ids: list[list[int]], hashes: list[list[int]], basis: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray):
+        self.item_ids, self.sequences, self.runs = item_ids, hashes, Runs(hashes)
+        self.place = np.full(len(idf), -1, np.int32)
+        self.place[vocabulary] = np.arange(len(vocabulary))
+        latent = np.zeros((len(ids), basis.shape[1]))
+        for i, own in enumerate(ids):
+            words, w = tfidf(np.array(own, np.int64), idf)
+            latent[i] = (w @ basis[self.place[words]]) if len(words) else 0
+        norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
+        self.latent, self.most = (latent / norm[:, None]).astype(np.float32), (HEAVIEST * norm).astype(np.float32)
+        self.words = np.concatenate([basis * idf[vocabulary][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        windows = np.array([window_of(len(i)) for i in ids], np.int64)
+        self.by_window = {int(w): np.flatnonzero(windows == w) for w in np.unique(windows)}
+
+    def candidates(self, seq: np.ndarray, mass_of: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, float]]:
+        """(first word, last word + 1, item, cosine) over the joined words of some documents."""
+        n = -(-len(seq) // CELL)
+        padded = np.full(n * CELL, -1)
+        padded[: len(seq)] = self.place[seq]
+        cells = np.zeros((n + 1, self.words.shape[1]))
+        for at in range(0, n, 4096):
+            part = self.words[padded[at * CELL : (at + 4096) * CELL]]
+            cells[at + 1 : at + 1 + len(part) // CELL] = part.reshape(-1, CELL, part.shape[1]).sum(1)
+        np.cumsum(cells, axis=0, out=cells)
+        mass = np.zeros(n * CELL)
+        mass[: len(seq)] = mass_of[seq]
+        whole = np.r_[0, np.cumsum(mass.reshape(-1, CELL).sum(1))]
+        inside = np.r_[0, np.cumsum(np.where(padded >= 0, mass, 0).reshape(-1, CELL).sum(1))]
+        for w, which in self.by_window.items():
+            size = w // CELL
+            at = np.arange(0, max(1, n - size + size // STEPS + 1), max(1, size // STEPS))
+            to = np.minimum(at + size, n)
+            total = whole[to] - whole[at]
+            bound = (inside[to] - inside[at]) >= cosine**2 * np.minimum(total, self.most[which].min() ** 2)
+            at, to = at[bound], to[bound]
+            norm = np.sqrt(np.maximum(total[bound], 1e-9)).astype(np.float32)
+            common = (cells[to] - cells[at]).astype(np.float32) @ self.latent[which].T
+            for i, k in zip(*np.nonzero(common >= cosine * np.minimum(norm[:, None], self.most[which])), strict=True):
+                yield int(at[i]) * CELL, min(int(to[i]) * CELL, len(seq)), int(which[k]), float(common[i, k] / norm[i])
+
+    def by_runs(self, split: Words, seq: np.ndarray, mass_of: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """As ``candidates``, for all places of a run of an item; windows have the item in their middle."""
+        which, start = self.runs.places(split)
+        if not len(which):
+            return
+        sizes = np.array([window_of(n) for n in self.runs.lengths.tolist()], np.int64)[which]
+        # nearby starts share a window: what is checked reaches half a window further to both sides
+        kept = np.unique(np.stack([which, start // (sizes // 4)]), axis=1, return_index=True)[1]
+        for k, at, w in zip(which[kept].tolist(), start[kept].tolist(), sizes[kept].tolist(), strict=True):
+            a = at - (w - int(self.runs.lengths[k])) // 2
+            a, b = max(0, a), min(len(seq), a + w)
+            score = self.words[self.place[seq[a:b]]].sum(0) @ self.latent[k] / np.sqrt(max(mass_of[seq[a:b]].sum(), 1e-9))
+            yield a, b, k, float(score)
+
+
+def _block_model(items: DataFrame, idf: np.ndarray) -> BlockModel:
     own = items.orderBy("item_id").toArrow()  # a block: bounded
-    sequences = own["ids"].to_pylist()
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(s, np.int64) for s in sequences)])).astype(np.int64)
+    ids = own["ids"].to_pylist()
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(s, np.int64) for s in ids)])).astype(np.int64)
     basis = randomised_svd(items, idf, vocabulary) if len(vocabulary) else np.zeros((0, 0))
-    place = np.full(len(idf), -1, np.int32)
-    place[vocabulary] = np.arange(len(vocabulary))
-    latent = np.zeros((len(sequences), basis.shape[1]))
-    for i, s in enumerate(sequences):
-        words, w = tfidf(np.array(s, np.int64), idf)
-        latent[i] = (w @ basis[place[words]]) if len(words) else 0
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    lengths: dict[int, list[int]] = {}
-    for i, s in enumerate(sequences):
-        lengths.setdefault(window_of(len(s)), []).append(i)
-    # a row of zeros at the end stands for all words that are in no item
-    weighted = np.concatenate([basis * idf[vocabulary][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    model = (own["item_id"].to_pylist(), sequences, place, weighted, {w: (np.array(i), latent[i].astype(np.float32)) for w, i in lengths.items()}, idf, Runs(own["words"].to_pylist()), latent.astype(np.float32))
-    shared = spark.sparkContext.broadcast(model)
+    return BlockModel(own["item_id"].to_pylist(), ids, own["words"].to_pylist(), basis, vocabulary, idf)
+
+
+def _search(rows: DataFrame, blocks: list[BlockModel], idf: np.ndarray, cosine: float, common: float) -> DataFrame:
+    """The items of all the blocks in one reading of the documents."""
+    shared = rows.sparkSession.sparkContext.broadcast((blocks, idf))
 
     def build():
-        item_ids, sequences, place, words, by_window, idf, item_runs, latent_of = shared.value
+        blocks, idf = shared.value
         mass_of = idf.astype(np.float64) ** 2
 
-        def candidates(seq: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-            """(first word, last word + 1, item, cosine) over the joined words of some documents."""
-            n = -(-len(seq) // CELL)
-            padded = np.full(n * CELL, -1)
-            padded[: len(seq)] = place[seq]
-            cells = np.zeros((n + 1, words.shape[1]))
-            for at in range(0, n, 4096):
-                part = words[padded[at * CELL : (at + 4096) * CELL]]
-                cells[at + 1 : at + 1 + len(part) // CELL] = part.reshape(-1, CELL, part.shape[1]).sum(1)
-            np.cumsum(cells, axis=0, out=cells)
-            mass = np.zeros(n * CELL)
-            mass[: len(seq)] = mass_of[seq]
-            whole = np.r_[0, np.cumsum(mass.reshape(-1, CELL).sum(1))]
-            inside = np.r_[0, np.cumsum(np.where(padded >= 0, mass, 0).reshape(-1, CELL).sum(1))]
-            for w, (which, latent) in by_window.items():
-                size = w // CELL
-                at = np.arange(0, max(1, n - size + size // STEPS + 1), max(1, size // STEPS))
-                to = np.minimum(at + size, n)
-                total = whole[to] - whole[at]
-                bound = (inside[to] - inside[at]) >= cosine * cosine * total
-                at, to, total = at[bound], to[bound], total[bound]
-                scores = (cells[to] - cells[at]).astype(np.float32) @ latent.T / np.sqrt(np.maximum(total, 1e-9))[:, None]
-                for i, k in zip(*np.nonzero(scores >= cosine), strict=True):
-                    yield int(at[i]) * CELL, min(int(to[i]) * CELL, len(seq)), int(which[k]), float(scores[i, k])
-
-        def by_runs(split: Words, seq: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-            """As ``candidates``, for all places of a run of an item; windows have the item in their middle."""
-            which, start = item_runs.places(split)
-            if not len(which):
-                return
-            sizes = np.array([window_of(n) for n in item_runs.lengths.tolist()], np.int64)[which]
-            # nearby starts share a window: what is checked reaches half a window further to both sides
-            kept = np.unique(np.stack([which, start // (sizes // 4)]), axis=1, return_index=True)[1]
-            for k, at, w in zip(which[kept].tolist(), start[kept].tolist(), sizes[kept].tolist(), strict=True):
-                a = at - (w - int(item_runs.lengths[k])) // 2
-                a, b = max(0, a), min(len(seq), a + w)
-                score = words[place[seq[a:b]]].sum(0) @ latent_of[k] / np.sqrt(max(mass_of[seq[a:b]].sum(), 1e-9))
-                yield a, b, k, float(score)
-
         def search(doc_ids: list, texts: list) -> Iterator[tuple]:
             split = Words(texts, plain=True).without_repeats()
             ends = np.cumsum(split.counts)
-            seq = split.ids(WIDTH)
-            if not len(seq) or not by_window:
+            seq, hashes = split.ids(WIDTH), split.hashes.view(np.int64)
+            if not len(seq):
                 return
-            for a, b, k, score in chain(candidates(seq), by_runs(split, seq)):
-                item = sequences[k]
-                reach = (b - a) // 2
-                # a window may touch several documents: each is checked by itself
-                for d in range(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, b - 1, side="right")) + 1):
-                    start = int(ends[d] - split.counts[d])
-                    region = seq[max(start, a - reach) : min(int(ends[d]), b + reach)].tolist()
-                    share = common_subsequence(item, region) / len(item)
-                    if share < min(common, COMMON_WITH_ANSWER):
-                        continue
-                    tail = item[-ANSWER_WORDS:]
-                    answer = common_subsequence(tail, region) / len(tail)
-                    if share >= common or answer >= ANSWER:
-                        first = max(start, a) - start
-                        yield doc_ids[d], item_ids[k], first, min(b - start, int(split.counts[d])) - first, score, share, answer
+            for block in blocks:
+                for a, b, k, score in chain(block.candidates(seq, mass_of, cosine), block.by_runs(split, seq, mass_of)):
+                    item = block.sequences[k]
+                    reach = (b - a) // 2
+                    # a window may touch several documents: each is checked by itself
+                    for d in range(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, b - 1, side="right")) + 1):
+                        start = int(ends[d] - split.counts[d])
+                        region = hashes[max(start, a - reach) : min(int(ends[d]), b + reach)].tolist()
+                        share = common_subsequence(item, region) / len(item)
+                        if share < min(common, COMMON_WITH_ANSWER):
+                            continue
+                        tail = item[-ANSWER_WORDS:]
+                        answer = common_subsequence(tail, region) / len(tail)
+                        if share >= common or answer >= ANSWER:
+                            first = max(start, a) - start
+                            yield doc_ids[d], block.item_ids[k], first, min(b - start, int(split.counts[d])) - first, score, share, answer
 
         def work(cols):
             found = list(search(cols["doc_id"], cols["text"]))
