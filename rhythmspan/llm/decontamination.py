@@ -293,7 +293,7 @@ def _block_model(items: DataFrame, idf: np.ndarray) -> BlockModel:
 
 def _search(rows: DataFrame, blocks: list[BlockModel], idf: np.ndarray, cosine: float, common: float) -> DataFrame:
     """The items of all the blocks in one reading of the documents."""
-    shared = rows.sparkSession.sparkContext.broadcast((blocks, idf))
+    shared = rows.sparkSession.sparkContext.broadcast(([b for b in blocks if b.sequences], idf))
 
     def build():
         blocks, idf = shared.value
