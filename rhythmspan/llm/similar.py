@@ -214,8 +214,8 @@ def _spread(shards: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _apart(radius: int, nearest: int):
-    """Pairs of texts of one part and different components that may be alike: of two components the ``nearest`` ones; ``more``: there were more."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
+    """Pairs of texts of one part and different components that may be alike, with their ``key``: of two components the ``nearest`` ones; ``more``: there were more."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_()), ("key", pa.int64())])
 
     def pairs(own: np.ndarray, root: np.ndarray, fp: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], asks: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
         known, asking = np.flatnonzero(held), np.flatnonzero(asks)
@@ -267,8 +267,9 @@ def _apart(radius: int, nearest: int):
         for a, b in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist(), strict=True):
             i = order[a:b]
             if b - a > 1 and asks[i].any() and held[i].any():
-                out.append(pairs(own[i], root[i], fp[i].view(np.uint64), n[i], [flat[begins[k] : ends[k]] for k in i.tolist()], asks[i], held[i]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+                u, v, more = pairs(own[i], root[i], fp[i].view(np.uint64), n[i], [flat[begins[k] : ends[k]] for k in i.tolist()], asks[i], held[i])
+                out.append((u, v, more, np.full(len(u), key[i[0]])))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, t.type.to_pandas_dtype()) for t in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
     return run
@@ -307,15 +308,17 @@ def groups(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS) -> Da
     nearest = NEAREST
     while True:
         spread = _spread(shards, roots, sets).repartition(2 * partitions(spark), "key", "part")
-        found = staged(spread.mapInArrow(_apart(radius, nearest), "u long, v long, more boolean"), "apart")
+        found = staged(spread.mapInArrow(_apart(radius, nearest), "u long, v long, more boolean, key long"), "apart")
         more = staged(_confirmed(staged(found.select("u", "v").distinct(), "asked"), sets), "confirmed")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = connected_components(links)
-        # pairs of components that had more pairs than were tested, and are still two
+        # shards with pairs of components that had more pairs than were tested, and are still two; in the others all are tested
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("merge")
-        open_ = found.where("more")
-        if open_.isEmpty() or open_.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).isEmpty():
+        apart = found.where("more").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+        open_ = staged(apart.select("key").distinct(), "open")
+        if open_.isEmpty():
             break
+        shards = shards.join(open_.hint("merge"), "key", "left_semi")
         nearest *= 16
     return prints.select("doc_id", "text_hash", "set").join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("component"))
