@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, quality, rollup, sharding, simhash, suffix_dedup, toxicity, winnowing
+from . import decontamination, divergence, language, mixing, packing, quality, rollup, sharding, simhash, suffix_dedup, toxicity, whitening, winnowing
 from ._common import shared_dir, staged, table
 
 SHARDS = 40
@@ -77,8 +77,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), *paths)
+    return packed.withColumn("length", packed["length"].cast("long"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_token_counts, op7_mixing, op8_toxicity, op9_quality, op10_language, op11_best_fit_packing, op12_whitening, op13_source_divergence)}
 
 
 #: Words as the operators count them.
@@ -115,5 +131,26 @@ select doc_id, size, cast(source_size as bigint) as source_size, target, cast(ta
 """
 
 
+OP13_SQL = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+w as (select lang, source, id, unnest(words) as term from d),
+k as (select lang, term from w group by all having count(distinct id) >= 30),
+n as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by all),
+l as (select lang, term, sum(n) as n from n group by all),
+lt as (select lang, sum(n) as n, count(*) as v from l group by all),
+gt as (select lang, source, sum(n) as n from n group by all),
+g as (select lang, source, coalesce(gt.n, 0) + 5 * coalesce(v, 0) as total, coalesce(lt.n, 0) + 5 * coalesce(v, 0) as lang_total
+      from (select distinct lang, source from d) left join gt using (lang, source) left join lt using (lang)),
+p as (select lang, source, term, coalesce(n.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n.n, 0) + 5)) // total as p, 1 + (1000000000::hugeint * (l.n + 5)) // lang_total as q
+      from g join l using (lang) left join n using (lang, source, term)),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce((select sum(abs(x.p - y.p)) from p x join p y using (lang, term) where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source
+      union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from o)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_token_counts": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op6_token_counts": OP6_SQL, "op7_mixing": OP7_SQL, "op13_source_divergence": OP13_SQL}
