@@ -1,12 +1,13 @@
-"""From cards or waveforms to the tables of a screening: windows, trimming, beats, labels, summaries, strips, sinks."""
+"""From cards or waveforms to the tables of a screening: windows, trimming, beats, labels, summaries, strips, and an archive that grows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import detection, events, labels, quality, report, rhythm
+from ..operators import detection, events, labels, measures, quality, report, rhythm
 from ..ordered import written
 from ..sources import cards
 from .screening import kept_presses, summarize
@@ -33,8 +34,9 @@ def open_cards(found: DataFrame) -> dict[str, DataFrame]:
 def analyse(waveform: DataFrame, recordings: DataFrame, presses: DataFrame, rate: float = float(cards.RATE), min_hours: float = C.MIN_HOURS) -> dict[str, DataFrame]:
     """The tables of all recordings (``recording_id, start_time``, and ``weight_class`` where known) of one sample rate.
 
-    ``quality, spans, beats, presses, summary, panels, hours, events, strips, waveforms``. Recordings whose leads
-    don't fit together are in ``rejects`` and nowhere else.
+    ``quality, spans, beats, presses, summary, panels, hours, hours_text, trend, lanes, timeline, events,
+    extremes, strips, strip_beats, waveforms``. Recordings whose leads don't fit together are in ``rejects``
+    and nowhere else. Strips are those of all sections of a report (:func:`events.sections`).
     """
     if "weight_class" not in recordings.columns:
         recordings = recordings.withColumn("weight_class", F.lit("medium"))
@@ -50,28 +52,84 @@ def analyse(waveform: DataFrame, recordings: DataFrame, presses: DataFrame, rate
     presses = kept_presses(presses, lengths)
     summary = written(summarize(beats, of, presses, min_hours), "summary")
     grid = of.select("recording_id", "start_time", "duration_sec", rhythm.first_hour_sec(F.col("start_time")).alias("first_hour_sec"))
-    hours = quality.analyzed_within(rhythm.hourly(beats, grid), spans).join(grid.select("recording_id", "start_time"), "recording_id")
-    flagged = events.catalogue(beats)
-    shown = events.even_sample(flagged.where("kind <> 'escape' or label = 'E'"), C.MAX_STRIPS, ("recording_id", "label"), ("start_sec",))
-    columns = ("recording_id", "kind", "start_sec", "end_sec", "strip_start", "strip_end")
-    strips = events.strips(shown, lengths).select(*columns).unionByName(events.press_strips(presses, lengths).select(*columns))
-    strips = written(strips.withColumn("strip_id", F.concat_ws(" ", "kind", F.format_string("%.3f", "start_sec"))), "strips")
+    hours = quality.analyzed_within(measures.hourly(beats, grid), spans).join(grid.select("recording_id", "start_time"), "recording_id")
+    hours = written(hours, "hours")
+    flagged, extremes = events.catalogue(beats), events.extremes(beats)
+    shown = events.sections(flagged, extremes, presses, beats, grid)
+    name = F.concat_ws(" ", "section", F.format_string("%.3f", "start_sec"), "kind")
+    marks = F.when(F.col("marked"), F.array("start_sec", "end_sec")).otherwise(F.array().cast("array<double>"))
+    strips = written(events.strips(shown, lengths).withColumns({"strip_id": name, "marks": marks}).drop("marked"), "strips")
+    limits = rhythm.limits(of.select("recording_id", "weight_class")).select("recording_id", "brady_bpm", "tachy_bpm")
+    limited = beats.join(limits, "recording_id")
+    sustained = rhythm.sustained(limited, "brady", F.col("brady_bpm")).unionByName(rhythm.sustained(limited, "tachy", F.col("tachy_bpm")))
     return {
         "rejects": sizes.where("rejected is not null"), "quality": lengths.join(left, "recording_id"), "spans": spans, "beats": beats, "presses": presses, "summary": summary, "panels": report.panels(summary),
-        "hours": hours, "events": flagged, "strips": strips, "waveforms": report.strip_waveforms(strips, kept, rate),
+        "hours": hours, "hours_text": report.hourly_table(hours), "trend": rhythm.trend(beats), "lanes": report.lanes(beats, sustained, presses), "timeline": report.spans(lengths.select("recording_id", "duration_sec"), beats, sustained),
+        "events": flagged, "extremes": extremes, "strips": strips, "strip_beats": report.strip_beats(strips, beats), "waveforms": report.strip_waveforms(strips, kept, rate),
     }
 
 
-def save(tables: dict[str, DataFrame], folder: str, parts: int = 64) -> None:
-    """Write each table as Parquet, in folders by a hash of the recording, so that one recording is read from one folder."""
-    for name, rows in tables.items():
-        rows.withColumn("part", F.pmod(F.xxhash64("recording_id"), F.lit(parts)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
+class Archive:
+    """Tables under a folder, added to commit by commit; a recording counts as its last published commit has it.
+
+    A commit first writes its own folders, which no reader looks at, and then publishes one file that
+    names its recordings; that a job dies in between, or is run again, changes nothing for readers. One
+    job commits at a time.
+    """
+
+    published = "recording_id string, commit string, seq long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def manifest(self) -> DataFrame:
+        """``recording_id, commit, seq`` of everything published."""
+        try:
+            return self.spark.read.schema(self.published).parquet(f"{self.folder}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.published)
+
+    def write(self, tables: dict[str, DataFrame], commit: str) -> None:
+        """Write the commit's own folders, in files of even size with a recording's rows side by side."""
+        for name, rows in tables.items():
+            rows.hint("rebalance", "recording_id").sortWithinPartitions("recording_id").write.mode("overwrite").parquet(f"{self.folder}/tables/{name}/commit={commit}")
+
+    def publish(self, tables: dict[str, DataFrame], commit: str) -> None:
+        """Name the commit's recordings, those of its ``summary`` and ``rejects``, in one file."""
+        seq = (self.manifest().agg(F.max("seq")).first()[0] or 0) + 1
+        folders = [f"{self.folder}/tables/{name}/commit={commit}" for name in ("summary", "rejects") if name in tables]
+        ids = [self.spark.read.parquet(f).select("recording_id") for f in folders]
+        names = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
+        names.distinct().select("recording_id", F.lit(seq).cast("long").alias("seq")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/commit={commit}")
+
+    def commit(self, tables: dict[str, DataFrame], commit: str) -> bool:
+        """Add the tables under a commit's name; False, and nothing is written, if it was published before."""
+        if not commit.replace("-", "").isalnum():
+            raise ValueError(f"commits are named by letters, digits and dashes: {commit!r}")
+        if not self.manifest().where(F.col("commit") == commit).isEmpty():
+            return False
+        self.write(tables, commit)
+        self.publish(tables, commit)
+        return True
+
+    def read(self, name: str) -> DataFrame:
+        """A table as published, with ``commit``: of each recording the rows of its last commit."""
+        newest = Window.partitionBy("recording_id").orderBy(F.desc("seq"), F.desc("commit"))
+        last = self.manifest().withColumn("__at", F.row_number().over(newest)).where("__at = 1").select("recording_id", "commit")
+        return self.spark.read.parquet(f"{self.folder}/tables/{name}").join(last, ["recording_id", "commit"], "left_semi")
 
 
-def run(spark: SparkSession, folder: str, out: str) -> None:
-    """Cards of a folder to the tables of ``out``."""
-    opened = open_cards(cards.read_cards(spark, folder))
+def run(spark: SparkSession, folder: str, out: str, commit: str | None = None) -> bool:
+    """Add the cards of a folder to the archive of ``out``; without a name, the commit is named by what the folder holds."""
+    found = written(cards.read_cards(spark, folder), "cards")
+    archive = Archive(spark, out)
+    commit = commit or f"{found.agg(F.coalesce(F.hex(F.bit_xor(F.xxhash64('path', 'length'))), F.lit('none'))).first()[0]}"
+    if not archive.manifest().where(F.col("commit") == commit).isEmpty():
+        return False
+    opened = open_cards(found)
     waveform = written(opened["waveform"], "waveform")
     tables = analyse(waveform, opened["recordings"], opened["presses"])
     bad = opened["rejects"].select(F.col("path").alias("recording_id"), "reason")
-    save(tables | {"rejects": bad.unionByName(tables["rejects"].select("recording_id", F.col("rejected").alias("reason")))}, out)
+    return archive.commit(tables | {"rejects": bad.unionByName(tables["rejects"].select("recording_id", F.col("rejected").alias("reason")))}, commit)

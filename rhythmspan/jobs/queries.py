@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection, evaluate, events, labels, quality, report, rhythm
+from ..operators import detection, evaluate, events, labels, measures, quality, report, rhythm
 from ..ordered import written
 from ..sources import cards, testbeds
 from . import archive
@@ -88,7 +88,7 @@ def _day_beats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def beats_hourly(spark, d):
-    return _rounded(rhythm.hourly(_day_beats(spark, d), testbeds.recordings(spark, d)))
+    return _rounded(measures.hourly(_day_beats(spark, d), testbeds.recordings(spark, d)))
 
 
 def beats_screening(spark, d):
@@ -164,7 +164,7 @@ def _hours(spark: SparkSession, d: str) -> DataFrame:
     """Hours of the day-long stand-in with what is left of them outside the spans."""
     b = _day_beats(spark, d)
     spans = quality.merge_spans(testbeds.spans(b, length=600.0))
-    return quality.analyzed_within(rhythm.hourly(b, testbeds.recordings(spark, d)), spans)
+    return quality.analyzed_within(measures.hourly(b, testbeds.recordings(spark, d)), spans)
 
 
 def hourly_analyzed(spark, d):
@@ -211,13 +211,37 @@ def strip_waveforms(spark, d):
     return _rounded(got.select("recording_id", "strip_id", "channel", F.size(x).alias("n"), F.array_min(x).alias("lowest"), F.array_max(x).alias("highest"), x[0].alias("first"), "range_mv"))
 
 
-def report_panels(spark, d):
-    """Panels of the fast stand-in; its recordings have the weight classes of the day-long one."""
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    """Summary of the fast stand-in; its recordings have the weight classes of the day-long one."""
     b = written(testbeds.beats(spark, d), "beats")
     left = quality.analyzed_seconds(_merged(b), _durations(b))
     of = testbeds.recordings(spark, d, 3e10).select("recording_id", "start_time", "weight_class")
-    kept = left.join(of, "recording_id").withColumn("trimmed_sec", F.lit(0.0))
-    return report.panels(summarize(b, kept, b.where("label = 'U'"), FAST_HOURS))
+    kept = written(left.join(of, "recording_id").withColumn("trimmed_sec", F.col("excluded_sec") * (F.col("recording_id").cast("long") % 2)).drop("excluded_sec"), "recordings")
+    return summarize(b, kept, written(b.where("label = 'U'").select("recording_id", "time_sec"), "presses"), FAST_HOURS)
+
+
+def recordings_summary(spark, d):
+    """The wide summary row of every recording."""
+    return _rounded(_summary(spark, d).drop("start_time", "duration_sec", "trimmed_sec", "analyzed_sec", "weight_class"))
+
+
+def report_panels(spark, d):
+    return report.panels(_summary(spark, d))
+
+
+def strip_sections(spark, d):
+    """Strips of the six sections of a report, each with its own even sample."""
+    b = testbeds.beats(spark, d)
+    hours = testbeds.recordings(spark, d, 3e10).select("recording_id", F.lit(7.5).alias("first_hour_sec"))
+    flagged = events.catalogue(b)
+    shown = events.sections(flagged, events.extremes(b), b.where("label = 'U'"), b, hours)
+    return _rounded(events.strips(shown, _durations(b)).drop("marked"))
+
+
+def waveform_planted(spark, d):
+    """Beats found in planted pulse trains: times to a tenth of a second, wide ones told from narrow ones."""
+    found = detection.detect(testbeds.pulses(spark, d), float(testbeds.PULSE_RATE))
+    return found.select("recording_id", "beat_idx", F.round("time_sec", 1).alias("time_sec"), F.round("rr_sec", 1).alias("rr_sec"), (F.col("qrs_sec") > 0.16).alias("wide"))
 
 
 def beats_class_rates(spark, d):
@@ -371,7 +395,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         beats_burden, beats_runs, beats_run_counts, beats_pauses, beats_sustained, beats_rate_stats, beats_variability, beats_sinus_intervals, beats_sinus_summary,
         beats_trend, beats_hourly, beats_screening, beats_labelled, beats_typical, windows_bad, windows_islands, spans_merged, spans_analyzed, beats_excluded,
         windows_kept, events_catalogue, events_strips, events_extremes, events_hour_samples, detection_scores,
-        hourly_analyzed, hourly_text, timeline_lanes, timeline_spans, strip_beats, strip_waveforms, report_panels, waveform_beats,
+        hourly_analyzed, hourly_text, timeline_lanes, timeline_spans, strip_beats, strip_waveforms, recordings_summary, report_panels, strip_sections, waveform_beats, waveform_planted,
         beats_class_rates, waveform_windows, waveform_contract, waveform_trimmed, recordings_assessed, presses_kept, events_presses, labels_accepted, windows_by_clock, strip_scales, start_overrides,
         card_blocks, card_sessions, card_headers, card_rejects, card_presses, card_waveforms, card_tables,
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import bands
-from ..operators import rhythm
+from ..operators import measures, rhythm
 
 
 def screen(beats: DataFrame, min_hours: float = C.MIN_HOURS) -> DataFrame:
@@ -37,28 +37,14 @@ def summarize(beats: DataFrame, recordings: DataFrame, presses: DataFrame, min_h
     """One wide row for each of ``recordings`` (``recording_id, start_time, duration_sec, trimmed_sec, analyzed_sec, weight_class``), beats or none.
 
     The limits of slow and fast rates are those of the weight class. Unknown durations fall back to the
-    last beat; presses after a known duration don't count. Parts read different columns of the beats and
-    are exchanged one by one.
+    last beat; presses after a known duration don't count. Beats, recordings and presses are read and
+    exchanged once each (:mod:`measures`).
     """
-    recordings = rhythm.limits(recordings)
-    presses = presses.join(recordings.select("recording_id", "duration_sec"), "recording_id").where("duration_sec is null or time_sec < duration_sec")
-    beats = beats.join(recordings.select("recording_id", "brady_bpm", "tachy_bpm"), "recording_id")
-    found = rhythm.runs(beats)
-    rated = found.where("label = 'V' and bpm is not null").groupBy("recording_id").agg(
-        F.max(F.struct("beats", (-F.col("start_sec")).alias("s"), "bpm")).alias("l"), F.max(F.struct("bpm", (-F.col("start_sec")).alias("s"), "beats")).alias("f")
-    )
-    runs = rated.select("recording_id", F.col("l.beats").alias("longest_beats"), F.col("l.bpm").alias("longest_bpm"), F.col("f.beats").alias("fastest_beats"), F.col("f.bpm").alias("fastest_bpm"))
-    events = lambda kind: rhythm.sustained(beats, kind, F.col(f"{kind}_bpm")).groupBy("recording_id").agg(F.count(F.lit(1)).alias(f"{kind}_events"))
-    parts = [
-        rhythm.burden(beats), rhythm.run_counts(found).select("recording_id", "couplets", "triplets", "vt_runs", "escape_couplets", "escape_runs"), runs,
-        rhythm.pauses(beats).withColumnRenamed("longest_sec", "longest_pause"), rhythm.rate_stats(beats, "brady_bpm", "tachy_bpm"), rhythm.variability(beats),
-        rhythm.sinus_summary(rhythm.sinus_intervals(beats)).select("recording_id", "arrests", F.col("longest_sec").alias("longest_sinus")), events("brady"), events("tachy"),
-        beats.groupBy("recording_id").agg(F.count_if(F.col("label") == "E").alias("escapes"), F.max("time_sec").alias("__last")), presses.groupBy("recording_id").agg(F.count(F.lit(1)).alias("presses")),
-    ]
-    out = recordings
-    for part in parts:
-        out = out.join(part, "recording_id", "left")
-    last = F.coalesce("__last", F.lit(0.0))
-    out = out.withColumns({"duration_sec": F.coalesce("duration_sec", last), "analyzed_sec": F.coalesce("analyzed_sec", last), "trimmed_sec": F.coalesce("trimmed_sec", F.lit(0.0)), "burden_pct": F.coalesce("burden_pct", F.lit(0.0))})
-    scaled = bands.pvc_per_24h(F.coalesce("pvc_count", F.lit(0)), F.col("analyzed_sec"), min_hours)
-    return out.withColumn("pvc_per_24h", scaled).drop("__last")
+    known = rhythm.limits(recordings)
+    met = known.join(presses.select("recording_id", F.col("time_sec").alias("__at")), "recording_id", "left")
+    within = F.col("__at").isNotNull() & (F.col("duration_sec").isNull() | (F.col("__at") < F.col("duration_sec")))
+    out = measures.summary(met.groupBy(*known.columns).agg(F.count_if(within).alias("presses")), beats)
+    last = F.coalesce("last_sec", F.lit(0.0))
+    out = out.withColumns({"duration_sec": F.coalesce("duration_sec", last), "analyzed_sec": F.coalesce("analyzed_sec", last), "trimmed_sec": F.coalesce("trimmed_sec", F.lit(0.0))})
+    scaled = bands.pvc_per_24h(F.col("pvc_count"), F.col("analyzed_sec"), min_hours)
+    return out.withColumn("pvc_per_24h", scaled).drop("last_sec")

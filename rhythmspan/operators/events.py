@@ -41,20 +41,47 @@ def catalogue(beats: DataFrame) -> DataFrame:
     )
 
 
-def even_sample(rows: DataFrame, cap: int, within: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+def even_sample(rows: DataFrame, cap: int | Column, within: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """Up to ``cap`` rows of each group spread evenly over its order, first and last included; adds ``position, total``.
 
-    A report shows this many and says of how many; half positions round to even.
+    A report shows this many and says of how many; half positions round to even. A cap that is a
+    column is constant in a group.
     """
-    if cap < 2:
-        raise ValueError("cap must be 2 or more")
+    if isinstance(cap, int):
+        if cap < 2:
+            raise ValueError("cap must be 2 or more")
+        cap = F.lit(cap)
     by = Window.partitionBy(*within)
     ranked = rows.withColumn("position", F.row_number().over(by.orderBy(*order)) - 1).withColumn("total", F.count(F.lit(1)).over(by))
-    step = (F.col("total") - 1) / F.lit(float(cap - 1))
-    taken = F.exists(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.bround(i * step) == F.col("position"))
+    step = (F.col("total") - 1) / (cap - 1).cast("double")
+    taken = F.exists(F.sequence(F.lit(0), cap - 1), lambda i: F.bround(i * step) == F.col("position"))
     return ranked.where((F.col("total") <= cap) | taken)
 
 
+#: Sections of strips in the order of a report, and how many of each it shows at most.
+SECTIONS = {"extremes": C.MAX_STRIPS, "presses": C.MAX_STRIPS, "runs": C.MAX_STRIPS, "isolated": C.MAX_STRIPS, "escapes": C.MAX_STRIPS, "hours": C.MAX_HOUR_STRIPS}
+
+
+def sections(flagged: DataFrame, found: DataFrame, presses: DataFrame, beats: DataFrame, first_hours: DataFrame) -> DataFrame:
+    """What a report shows strips of: ``recording_id, section, kind, start_sec, end_sec, marked, position, total``.
+
+    ``flagged`` is the :func:`catalogue` (runs of V, isolated V and escapes are sections of their own,
+    so many of one take no strip from another), ``found`` the :func:`extremes`, ``presses`` the diary's,
+    ``first_hours`` (``recording_id, first_hour_sec``) where the hours begin. Each section is sampled
+    evenly, all in one window; ``total`` says of how many. Hours and presses have no beats marked.
+    """
+    columns = ("recording_id", "section", "kind", "start_sec", "end_sec", "marked")
+    section = F.when(F.col("label") == "E", "escapes").when(F.col("beats") > 1, "runs").otherwise("isolated")
+    t = F.col("time_sec")
+    hour = F.when(t < F.col("first_hour_sec"), F.lit(0).cast("long")).otherwise(1 + F.floor((t - F.col("first_hour_sec")) / 3600))
+    first = beats.join(first_hours.select("recording_id", "first_hour_sec"), "recording_id").groupBy("recording_id", hour.alias("hour")).agg(F.min("time_sec").alias("time_sec"))
+    of = lambda rows, section, kind, marked, begin="start_sec", end="end_sec": rows.select("recording_id", F.lit(section).alias("section") if isinstance(section, str) else section.alias("section"), kind.alias("kind"), F.col(begin).alias("start_sec"), F.col(end).alias("end_sec"), F.lit(marked).alias("marked"))
+    rows = of(flagged, section, F.col("kind"), True).unionByName(of(found, "extremes", F.col("kind"), True))
+    rows = rows.unionByName(of(presses, "presses", F.lit("press"), False, "time_sec", "time_sec")).unionByName(of(first, "hours", F.concat(F.lit("hour "), "hour"), False, "time_sec", "time_sec"))
+    cap = F.coalesce(*(F.when(F.col("section") == name, n) for name, n in SECTIONS.items()))
+    return even_sample(rows.select(*columns), cap, ("recording_id", "section"), ("start_sec", "end_sec", "kind"))
+
+
 def press_strips(presses: DataFrame, recordings: DataFrame, cap: int = C.MAX_STRIPS) -> DataFrame:
     """Presses of the diary button, evenly sampled, each with the strip around it; nothing on it is marked.
 

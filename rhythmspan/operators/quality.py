@@ -112,15 +112,18 @@ def analyzed_seconds(spans: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def exclude_beats(beats: DataFrame, spans: DataFrame) -> DataFrame:
-    """Drop beats in a span (ends included); a kept beat whose gap to the kept one before holds a span loses its RR."""
-    arrays = spans.groupBy("recording_id").agg(F.collect_list(F.struct("start_sec", "end_sec")).alias("__spans"))
-    rows = beats.join(arrays, "recording_id", "left").withColumn("__spans", F.coalesce("__spans", F.array().cast("array<struct<start_sec:double,end_sec:double>>")))
-    t = F.col("time_sec")
-    kept = rows.where(~F.exists("__spans", lambda s: t.between(s["start_sec"], s["end_sec"])))
-    before = F.lag("time_sec").over(Window.partitionBy("recording_id").orderBy("time_sec", "beat_idx"))
-    kept = kept.withColumn("__before", before)
-    cut = F.exists("__spans", lambda s: (s["start_sec"] < t) & (s["end_sec"] > F.col("__before")))
-    return kept.withColumn("rr_sec", F.when(~F.coalesce(cut, F.lit(False)), F.col("rr_sec"))).drop("__spans", "__before")
+    """Drop beats in a span (ends included); a kept beat whose gap to the kept one before holds a span loses its RR.
+
+    Beats and spans of a recording go by in one order of time; the latest end of the spans begun so
+    far says whether a beat is in one, and whether one lies behind it. Spans may overlap.
+    """
+    begun = spans.select("recording_id", F.col("start_sec").alias("__t"), F.lit(0).alias("__kind"), F.col("end_sec").alias("__end"))
+    rows = begun.unionByName(beats.withColumns({"__t": F.col("time_sec"), "__kind": F.lit(1)}), allowMissingColumns=True)
+    order = Window.partitionBy("recording_id").orderBy("__t", "__kind", "beat_idx")
+    reach = F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows.withColumn("__reach", reach).where("__kind = 1 and (__reach is null or __reach < __t)")
+    cut = F.coalesce(F.col("__reach") > F.lag("__t").over(order), F.lit(False))
+    return kept.withColumn("rr_sec", F.when(~cut, F.col("rr_sec"))).select(*beats.columns)
 
 
 def kept_windows(flags: DataFrame, least: int = C.TAIL_WINDOWS, share: float = C.TAIL_SHARE, gap: int = C.REMOVAL_WINDOWS) -> DataFrame:

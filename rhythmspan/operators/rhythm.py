@@ -1,7 +1,7 @@
 """Rhythm aggregates over labelled beats: windows and grouped aggregates keyed by recording.
 
-All windows share one ordering, so a plan has one exchange on ``recording_id`` and the groupings
-that lead with it reuse the partitioning.
+All windows share one ordering, so each operator here has one exchange on ``recording_id``, and its
+groupings that lead with it reuse the partitioning. For many measures at once see :mod:`measures`.
 """
 
 from __future__ import annotations
@@ -146,49 +146,21 @@ def first_hour_sec(start: Column) -> Column:
     return F.lit(3600.0) - F.coalesce(into, F.lit(0.0))
 
 
-def _hour(t: Column) -> Column:
+def hour_of(t: Column) -> Column:
+    """The row of the hourly table that a time falls in: 0 up to the first full hour of the clock."""
     return F.when(t < F.col("first_hour_sec"), F.lit(0).cast("long")).otherwise(1 + F.floor((t - F.col("first_hour_sec")) / 3600))
 
 
-def hour_grid(recordings: DataFrame, beats: DataFrame) -> DataFrame:
-    """``recording_id, hour, start_sec, end_sec``: the hours of each recording, up to its duration or its last beat.
+def grid_of_hours(spans: DataFrame, *carried: str) -> DataFrame:
+    """``recording_id, hour, start_sec, end_sec``: the hours of each of ``spans`` (``recording_id, duration_sec, first_hour_sec, last``).
 
-    A beat that stands on the last boundary gets an hour of no length.
+    They go on to the duration or the last beat. A beat that stands on the last boundary gets an hour of no length.
     """
-    last = beats.groupBy("recording_id").agg(F.max("time_sec").alias("last"))
-    spans = recordings.select("recording_id", "duration_sec", "first_hour_sec").join(last, "recording_id", "left")
     spans = spans.withColumn("until", F.greatest(F.coalesce("duration_sec", F.lit(0.0)), F.coalesce("last", F.lit(0.0))))
     begin = lambda hour: F.when(hour == 0, F.lit(0.0)).otherwise(F.col("first_hour_sec") + (hour - 1) * 3600.0)
     plain = F.when(F.col("until") > F.col("first_hour_sec"), F.ceil((F.col("until") - F.col("first_hour_sec")) / 3600)).otherwise(F.when(F.col("until") > 0, 0).otherwise(-1))
     spans = spans.withColumn("n", plain.cast("long"))
     ends_on_beat = F.coalesce(F.col("last") == F.col("until"), F.lit(False)) & (begin(F.col("n") + 1) == F.col("until"))
     spans = spans.withColumn("n", F.col("n") + ends_on_beat.cast("long")).where("n >= 0")
-    hours = spans.select("recording_id", "first_hour_sec", "until", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("hour"))
-    return hours.select("recording_id", "hour", begin(F.col("hour")).alias("start_sec"), F.least(F.col("first_hour_sec") + F.col("hour") * 3600.0, F.col("until")).alias("end_sec"))
-
-
-def hourly(beats: DataFrame, recordings: DataFrame, pause: float = C.PAUSE_SEC) -> DataFrame:
-    """One row an hour: ``recording_id, hour, start_sec, end_sec, beats, pvcs, escapes, couplets, runs, pauses, min_bpm, mean_bpm, max_bpm``.
-
-    ``recordings`` has ``recording_id, duration_sec, first_hour_sec``; those without beats have hours too.
-    The first row ends at the next full hour of the clock, the others after 3600 s (:func:`hour_grid`).
-    """
-    rows = beats.join(recordings.select("recording_id", "first_hour_sec"), "recording_id")
-    rr, v = F.col("rr_sec"), F.col("label") == "V"
-    keyed = rows.withColumn("hour", _hour(F.col("time_sec")))
-    run = F.sum(F.when(v & (F.lag("label").over(by()) == "V"), 0).otherwise(1)).over(by().rowsBetween(Window.unboundedPreceding, 0))
-    counts = keyed.groupBy("recording_id", "hour").agg(
-        F.count(F.lit(1)).alias("beats"), F.count_if(v).alias("pvcs"), F.count_if(F.col("label") == "E").alias("escapes"), F.count_if(rr >= pause).alias("pauses"),
-        F.count_if(usable(rr)).alias("__rrs"), F.avg(F.when(usable(rr), rr)).alias("__rr"),
-    )
-    of_run = keyed.withColumn("__run", run).where(v).groupBy("recording_id", "__run").agg(F.min("hour").alias("hour"), F.count(F.lit(1)).alias("n"))
-    of_run = of_run.groupBy("recording_id", "hour").agg(F.count_if(F.col("n") == 2).alias("couplets"), F.count_if(F.col("n") >= 3).alias("runs"))
-    centre = rate_windows(rows, "first_hour_sec").withColumn("hour", _hour(F.col("time_sec")))
-    rates = centre.groupBy("recording_id", "hour").agg((60 / F.max("rr_median")).alias("min_bpm"), (60 / F.min("rr_median")).alias("max_bpm"))
-    keys = ["recording_id", "hour"]
-    rated = (F.col("__rrs") >= 5) & F.col("min_bpm").isNotNull()
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return hour_grid(recordings, beats).join(counts, keys, "left").join(of_run, keys, "left").join(rates, keys, "left").select(
-        *keys, "start_sec", "end_sec", *[zero(c) for c in ("beats", "pvcs", "escapes", "couplets", "runs", "pauses")],
-        F.when(rated, F.col("min_bpm")).alias("min_bpm"), F.when(rated, 60 / F.col("__rr")).alias("mean_bpm"), F.when(rated, F.col("max_bpm")).alias("max_bpm"),
-    )
+    hours = spans.select("recording_id", "first_hour_sec", "until", *carried, F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("hour"))
+    return hours.select("recording_id", "hour", begin(F.col("hour")).alias("start_sec"), F.least(F.col("first_hour_sec") + F.col("hour") * 3600.0, F.col("until")).alias("end_sec"), *carried)

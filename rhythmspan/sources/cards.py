@@ -1,15 +1,17 @@
 """Waveforms from images of recorder cards, many cards in one job.
 
-A card is a row of 512-byte blocks. Blocks are cut and unpacked map-side; only thin rows (keys, sums
-of deltas) meet in windows, so a long card is not decoded in one task. What is wrong with a card is
-a row of :func:`rejects`, not an exception that ends the job.
-
-A whole card must fit in one row of the binary source (2 GB), which one task reads.
+Cards on disk are read by ranges of 512-byte blocks, so a card of any size is the work of several
+tasks, and of what an older recording has left on it no task reads more than a block. Blocks are
+cut and unpacked map-side; only thin rows (keys, sums of deltas) meet in windows, so a long card
+is not decoded in one task. What is wrong with a card is a row of :func:`rejects`, not an exception
+that ends the job. Images that are columns of a table (``content``) are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -27,20 +29,79 @@ BLOCKS = (
 CHANNEL_NAMES = ("Ch 1", "Ch 2", "Ch 3")
 PARTS = "path string, ordinal long, channel int, counts array<int>, total long, first_at int, first_count int, last_at int, last_count int"
 WAVEFORM = "path string, channel int, chunk_idx long, first_sample long, samples array<double>"
-BATCH = 4096
+#: Blocks that are in memory at once, and that one task reads of a card (64 MB).
+BATCH, RANGE = 4096, 131_072
 
 
-def read_cards(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, content, kind``: 'native' or 'unsupported', by name and by how the content begins. Spark lists no empty files."""
-    rows = spark.read.format("binaryFile").load(folder).select("path", "content")
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    head = F.substring("content", 1, BLOCK)
-    begins = (F.hex(F.substring("content", 1, 4)) == "00020000") & (F.instr(F.decode(head, "ISO-8859-1"), "SampleRate=") > 0)
-    return rows.withColumn("kind", F.when((name == "flash.dat") | (name.endswith(".dat") & begins), "native").otherwise("unsupported"))
+def _kind(path: Column, head: Column) -> Column:
+    """'native' or 'unsupported', by name and by how the content begins."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    begins = (F.hex(F.substring(head, 1, 4)) == "00020000") & (F.instr(F.decode(head, "ISO-8859-1"), "SampleRate=") > 0)
+    return F.when((name == "flash.dat") | (name.endswith(".dat") & begins), "native").otherwise("unsupported")
+
+
+def _opened(path: str) -> BinaryIO:
+    """A file of the shared storage, opened for reading at any place."""
+    if path.startswith("file:") or "://" not in path:
+        return open(unquote(urlparse(path).path) if path.startswith("file:") else path, "rb")
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
 
+def read_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length, kind`` of the files of a folder (or pattern); of each no more than a block is read. Spark lists no empty files."""
 
-def _cut(path: str, content: bytes) -> Iterator[pd.DataFrame]:
-    """Blocks of one card, so many at a time; a rest shorter than a block is an error unless it is zeros."""
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                with _opened(path) as card:
+                    found.append(card.read(BLOCK))
+            yield batch.assign(head=found)
+
+    listed = spark.read.format("binaryFile").load(folder).select("path", "length")  # names and sizes; no content
+    return listed.mapInPandas(heads, "path string, length long, head binary").select("path", "length", _kind(F.col("path"), F.col("head")).alias("kind"))
+
+
+def ranges(cards: DataFrame, blocks_each: int = RANGE) -> DataFrame:
+    """``path, from_block, to_block`` of native cards (``path, length, kind``), spread over tasks; a rest shorter than a block counts as one."""
+    n = F.ceil(F.col("length") / BLOCK)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), F.lit(blocks_each).cast("long")))
+    rows = cards.where("kind = 'native' and length > 0").select("path", n.alias("__n"), starts.alias("from_block"))
+    rows = rows.select("path", "from_block", F.least(F.col("from_block") + blocks_each, F.col("__n")).alias("to_block"))
+    return rows.repartition("path", "from_block")
+
+
+def session_key(block: bytes) -> bytes | None:
+    """Sequence and serial of an ECG block."""
+    return block[466:470] if len(block) == BLOCK and block[4:6] == b"\x1e\0" else None
+
+
+def _read(path: str, first: int, after: int) -> Iterator[pd.DataFrame]:
+    """Blocks of a range, so many at a time, up to the first ECG block of another recording than the card's first one, which is the last one given."""
+    with _opened(path) as card:
+        card.seek(BLOCK)
+        own = session_key(card.read(BLOCK))
+        card.seek(first * BLOCK)
+        at, step = first, 1 if first else BATCH  # a later range looks at one block before it reads on
+        while at < after:
+            content = card.read(min(step, after - at) * BLOCK)
+            whole = len(content) // BLOCK
+            keys = [session_key(content[i * BLOCK : (i + 1) * BLOCK]) for i in range(whole)]
+            foreign = next((i for i, k in enumerate(keys) if own and k and k != own), None)
+            if foreign is not None:
+                yield from _cut(path, content[: (foreign + 1) * BLOCK], at)
+                return
+            yield from _cut(path, content, at)
+            if len(content) < min(step, after - at) * BLOCK:
+                return
+            at, step = at + whole, BATCH
+
+
+def _cut(path: str, content: bytes, first: int = 0) -> Iterator[pd.DataFrame]:
+    """Blocks of one card from its ``first`` on, so many at a time; a rest shorter than a block is an error unless it is zeros."""
     whole = len(content) // BLOCK
     image = np.frombuffer(content, dtype=np.uint8, count=whole * BLOCK).reshape(-1, BLOCK)
     for at in range(0, whole, BATCH):
@@ -56,13 +117,13 @@ def _cut(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         body = [bytes(r[10:466] if e else r[6:508]) for r, e in zip(rows, ecg, strict=True)]
         yield pd.DataFrame(
             {
-                "path": path, "block_idx": np.arange(at, at + len(rows)), "ecg": ecg, "empty": empty, "error": np.select([c for c, _ in checks], [n for _, n in checks], None),
+                "path": path, "block_idx": np.arange(first + at, first + at + len(rows)), "ecg": ecg, "empty": empty, "error": np.select([c for c, _ in checks], [n for _, n in checks], None),
                 "position": number(6, 10), "sequence": number(466, 468), "serial": number(468, 470), "detail": rows[:, 470].astype(int), "press": rows[:, 471].astype(int), "live": ecg & ~marks.all(axis=(1, 2)), "body": body,
             }
         )
     rest = content[whole * BLOCK :]
     if rest.strip(b"\0"):
-        yield pd.DataFrame([{"path": path, "block_idx": whole, "ecg": False, "empty": False, "error": "truncated", "position": 0, "sequence": 0, "serial": 0, "detail": 0, "press": 0, "live": False, "body": rest}])
+        yield pd.DataFrame([{"path": path, "block_idx": first + whole, "ecg": False, "empty": False, "error": "truncated", "position": 0, "sequence": 0, "serial": 0, "detail": 0, "press": 0, "live": False, "body": rest}])
 
 
 def nibbles(body: np.ndarray) -> np.ndarray:
@@ -71,14 +132,25 @@ def nibbles(body: np.ndarray) -> np.ndarray:
 
 
 def blocks(cards: DataFrame) -> DataFrame:
-    """``BLOCKS`` of the native cards; ``body`` is the packed ECG, or the text of another block."""
+    """``BLOCKS`` of the native cards (``path, kind`` and ``length``, or ``content`` of images in a table).
+
+    ``body`` is the packed ECG, or the text of another block. Of a card on disk each range ends with the
+    first block of another recording, if it holds one.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 yield from _cut(path, bytes(content))
 
-    return cards.where("kind = 'native'").select("path", "content").mapInPandas(cut, BLOCKS)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                yield from _read(r.path, r.from_block, r.to_block)
+
+    if "content" in cards.columns:
+        return cards.where("kind = 'native'").select("path", "content").mapInPandas(cut, BLOCKS)
+    return ranges(cards).mapInPandas(read, BLOCKS)
 
 
 def session(rows: DataFrame) -> DataFrame:

@@ -34,14 +34,15 @@ def saved(spark, tmp_path_factory):
     for name, content in (("a", image), ("broken", image[: 5 * 512 + 480] + b"\7" + image[5 * 512 + 481 :])):
         (folder / name).mkdir()
         (folder / name / "flash.dat").write_bytes(content)
-    archive.run(spark, f"{folder}/*", f"{out}")
-    return {name: spark.read.parquet(f"{out}/{name}") for name in ("rejects", "quality", "beats", "summary", "panels", "hours", "presses", "strips", "waveforms")}
+    assert archive.run(spark, f"{folder}/*", f"{out}") and not archive.run(spark, f"{folder}/*", f"{out}")
+    names = ("rejects", "quality", "beats", "summary", "panels", "hours", "hours_text", "presses", "trend", "lanes", "timeline", "strips", "strip_beats", "waveforms")
+    return {name: archive.Archive(spark, f"{out}").read(name) for name in names}
 
 
 def test_a_broken_card_is_rejected_and_the_other_one_goes_through(saved):
     assert [r.reason for r in saved["rejects"].collect()] == ["checksum"]
     summary = saved["summary"].collect()
-    assert len(summary) == 1 and "part" in saved["summary"].columns
+    assert len(summary) == 1
     kept = saved["quality"].first()
     assert kept.duration_sec == pytest.approx(int(400 * 180) // 304 * 304 / 180) and kept.analyzed_sec == pytest.approx(kept.duration_sec - 120)
 
@@ -58,9 +59,11 @@ def test_beats_of_the_card(saved):
 def test_presses_have_strips_of_every_lead(saved):
     presses = saved["presses"].orderBy("time_sec").collect()
     assert [(p.label, round(p.time_sec, 1)) for p in presses] == [("Chest Pain", 101.3), ("Chest Pain", 152.0)]
+    assert {r.section for r in saved["strips"].collect()} == {"extremes", "presses", "hours"}
+    assert saved["strip_beats"].count() > 20 and saved["trend"].count() == 6 and saved["timeline"].first().span_sec > 390
     strips = saved["strips"].where("kind = 'press'").orderBy("start_sec").collect()
     assert [s.strip_end - s.strip_start for s in strips] == pytest.approx([6, 6])
-    shown = saved["waveforms"].where("strip_id like 'press%'").collect()
+    shown = saved["waveforms"].where("strip_id like 'presses%'").collect()
     assert len(shown) == 6 and all(len(r.samples) == 1080 for r in shown)
 
 
@@ -72,3 +75,20 @@ def test_windows_and_contract(spark):
     names = spark.createDataFrame([("r", ["a", "b"]), ("s", ["a"]), ("t", ["a"]), ("u", ["a"]), ("v", None)], "recording_id string, channel_names array<string>")
     reasons = {r.recording_id: r.reason for r in quality.contract(names, waveform, 20.0).collect()}
     assert reasons == {"r": "leads of unlike length", "u": "samples missing", "v": "no samples"}
+
+
+def test_an_archive_grows_and_a_job_that_dies_changes_nothing(spark, tmp_path):
+    of = lambda **values: {"summary": spark.createDataFrame(list(values.items()), "recording_id string, n int"), "rejects": spark.createDataFrame([], "recording_id string, reason string")}
+    kept = archive.Archive(spark, str(tmp_path / "a"))
+    state = lambda: {(r.recording_id, r.n) for r in kept.read("summary").collect()}
+    assert kept.commit(of(a=1, b=2), "first") and state() == {("a", 1), ("b", 2)}
+    kept.write(of(b=9, c=9), "second")  # and dies here
+    assert state() == {("a", 1), ("b", 2)}
+    files = sorted((tmp_path / "a" / "tables" / "summary" / "commit=first").glob("*.parquet"))
+    before = [f.stat().st_mtime_ns for f in files]
+    assert kept.commit(of(b=3, c=4), "second") and state() == {("a", 1), ("b", 3), ("c", 4)}
+    assert not kept.commit(of(a=7), "first") and state() == {("a", 1), ("b", 3), ("c", 4)}
+    assert [f.stat().st_mtime_ns for f in files] == before
+    with pytest.raises(ValueError):
+        kept.commit(of(a=1), "../x")
+    assert archive.Archive(spark, str(tmp_path / "none")).manifest().count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rhythmspan import schemas
-from rhythmspan.operators import labels, quality, rhythm
+from rhythmspan.operators import labels, measures, quality, rhythm
 
 
 def chain(spark, rrs, names=None, first=0.0, widths=None):
@@ -31,7 +31,7 @@ def test_hours_from_a_known_start(spark):
     n = 14400
     beats = spark.range(n + 1).select(F.lit("r").alias("recording_id"), F.col("id").alias("beat_idx"), (F.col("id") * 0.5).alias("time_sec"), F.when(F.col("id") > 0, 0.5).alias("rr_sec"), F.lit(0.08).alias("qrs_sec"), F.lit("N").alias("label"))
     recordings = spark.createDataFrame([("r", 0.0, 2471.0)], "recording_id string, duration_sec double, first_hour_sec double")
-    got = rhythm.hourly(beats, recordings).orderBy("hour").collect()
+    got = measures.hourly(beats, recordings).orderBy("hour").collect()
     assert [(r.start_sec, r.end_sec) for r in got] == [(0, 2471), (2471, 6071), (6071, 7200)]
     assert [r.beats for r in got] == [4942, 7200, 2259]
 
@@ -93,7 +93,7 @@ def test_hours_go_on_to_the_end_of_the_recording(spark, duration, first, times):
     while start < end or (start == end and times and times[-1] == end):
         want.append((start, min(start + step, end), sum(start <= t < start + step for t in times)))
         start, step = start + step, 3600.0
-    assert [(r.start_sec, r.end_sec, r.beats) for r in rhythm.hourly(beats, recordings).orderBy("hour").collect()] == want
+    assert [(r.start_sec, r.end_sec, r.beats) for r in measures.hourly(beats, recordings).orderBy("hour").collect()] == want
 
 
 def test_limits_follow_the_weight_class(spark):
