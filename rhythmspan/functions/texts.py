@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, places: int = 0) -> Column:
-    return F.format_string(f"%.{places}f", F.bround(value, places))
+    """Null stays null; Spark would format it as text."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.bround(value, places)))
 
 
 def duration(sec: Column) -> Column:

@@ -51,8 +51,9 @@ su as (select recording_id, kind, min_by(time_sec - rr_sec, beat_idx) as start_s
 REST = """rest as (select recording_id, any_value(3600.0 - (start_us % 3600000000) / 1e6) as f, max(time_sec) + cast(recording_id as bigint) % 4 * 2700.0 as duration_sec, any_value(start_us) as start_us, any_value(cast(recording_id as bigint)) as num from b group by recording_id)"""
 GRID = """bb as (select * from b where cast(recording_id as bigint) % 10 <> 0),
 ends as (select r.*, l.last, greatest(duration_sec, coalesce(last, 0)) as until from rest r left join (select recording_id, max(time_sec) as last from bb group by recording_id) l using (recording_id)),
-steps as (select *, unnest(range(0, 800)) as hour from ends), begun as (select *, case when hour = 0 then 0.0 else f + (hour - 1) * 3600.0 end as start_sec, f + hour * 3600.0 as stop from steps),
-grid as (select recording_id, hour, f, start_us, start_sec, least(stop, until) as end_sec from begun where start_sec < until or (start_sec = until and last = until))"""
+full as (select *, case when until > f then cast(ceil((until - f) / 3600.0) as bigint) else 0 end as before from ends where until > 0 or last = until),
+rows as (select *, unnest(range(0, before + 1 + case when last = until and until = f + before * 3600.0 then 1 else 0 end)) as hour from full),
+grid as (select recording_id, hour, f, start_us, case hour when 0 then 0.0 else f + (hour - 1) * 3600.0 end as start_sec, least(f + hour * 3600.0, until) as end_sec from rows)"""
 HOURS = """cut as (select quantile_cont(qrs_sec, 0.9) as cut from bb), x as (select recording_id, time_sec as start_sec, time_sec + 600.0 as end_sec from bb, cut where qrs_sec >= cut),
 y as (select *, max(end_sec) over (partition by recording_id order by start_sec, end_sec rows between unbounded preceding and 1 preceding) as reach from x),
 z as (select *, sum(case when start_sec - reach <= 30 then 0 else 1 end) over (partition by recording_id order by start_sec, end_sec rows between unbounded preceding and current row) as island from y),
@@ -69,7 +70,8 @@ def oracle_sql() -> dict[str, str]:
     found["hourly_text"] = f"""with h as ({found["beats_hourly"]}), q as ({found["hourly_analyzed"]}), s as (select cast(user_id as varchar) as recording_id, min(epoch_us(ts)) as us0 from events group by all)
 select recording_id, hour, {clock("h.start_sec")} || '-' || {clock("h.end_sec")} as label, printf('%.1f', round_even(analyzed_sec / 60, 1)) as minutes, {rate("min_bpm")}, {rate("mean_bpm")}, {rate("max_bpm")},
   {", ".join(f"cast({c} as varchar) as {c}" for c in ("beats", "pvcs", "couplets", "runs", "escapes", "pauses"))} from h join q using (recording_id, hour) join s using (recording_id)"""
-    return found | _more()
+    found |= _more()
+    return found | _reports(found)
 
 
 SAMPLES = """v as (select cast(label as varchar) as recording_id, row_number() over (partition by label order by vec_id) - 1 as chunk, list_transform(embedding, lambda x: round(cast(x as double), 2)) as s from embeddings),
@@ -138,8 +140,12 @@ select path, case when fault = 0 then 'checksum' when fault = 1 then 'not contig
         "card_presses": f"""with {CARDS}, g as (select path, any_value(fault) as fault, count(*) as n from k group by path), good as (select path from g where not ((fault = 0 and n > 2) or (fault = 1 and n > 3) or fault in (2, 3, 4)))
 select path as recording_id, round(i * 304 / 180.0::double, 6) as time_sec, cast(press as int) as type_index, case press when 1 then 'Manual Event' when 2 then 'Chest Pain' when 3 then 'Cough' else 'Event type ' || press end as label, cast(event_id % 7 as int) as detail from k semi join good using (path) where press <> 0""",
         "card_waveforms": f"""with {CARDS}, g as (select path, any_value(fault) as fault, count(*) as n from k group by path), good as (select path from g where not ((fault = 0 and n > 2) or (fault = 1 and n > 3) or fault in (2, 3, 4))),
-z as (select path, i, ch, pt, {DECODE}[(event_id + pt * (ch + 1) + i) % 16 + 1] as delta from k semi join good using (path), range(3) as a(ch), range(304) as t(pt)),
-s as (select path, i, ch, pt, 0.0125::double * sum(delta) over (partition by path, ch order by i, pt rows unbounded preceding) as x from z)
+z as (select path, i, ch, pt, user_id % 10 = 5 and ((i % 3 = 1 and pt = 303) or (i % 3 = 2 and pt < 2)) as mark, case when mark then 0 else {DECODE}[(event_id + pt * (ch + 1) + i) % 16 + 1] end as delta from k semi join good using (path), range(3) as a(ch), range(304) as t(pt)),
+y as (select path, i, ch, pt, mark, 0.0125::double * sum(delta) over w as x, i * 304 + pt as place from z window w as (partition by path, ch order by i, pt rows unbounded preceding)),
+o as (select *, last_value(case when not mark then place end ignore nulls) over w as p0, last_value(case when not mark then x end ignore nulls) over w as x0,
+  first_value(case when not mark then place end ignore nulls) over v as p1, first_value(case when not mark then x end ignore nulls) over v as x1 from y
+  window w as (partition by path, ch order by place rows unbounded preceding), v as (partition by path, ch order by place rows between current row and 5 following)),
+s as (select path, i, ch, pt, case when not mark then x when p1 is null then x0 else x0 + (x1 - x0) * (place - p0) / (p1 - p0) end as x from o)
 select path as recording_id, cast(ch as int) as channel, i * 304 as first_sample, cast(count(*) as int) as n, round(arg_min(x, pt), 6) + 0.0 as first, round(arg_max(x, pt), 6) + 0.0 as last, round(min(x), 6) + 0.0 as lowest, round(max(x), 6) + 0.0 as highest from s group by path, ch, i""",
     }
 
@@ -239,3 +245,75 @@ p as (select recording_id, window_idx * 64 + i - 1 as place, s[i] as x from v, r
 m as (select recording_id, strip_id, count(*) as n, min(x) as lo, max(x) as hi, arg_min(x, place) as f, median(x) as m from j group by all)
 select recording_id, strip_id, 0 as channel, cast(n as int) as n, round(lo - m, 6) as lowest, round(hi - m, 6) as highest, round(f - m, 6) + 0.0 as first, greatest(3.0, ceil(hi - lo + 0.2)) as range_mv from m""",
     }
+
+
+def _reports(of: dict[str, str]) -> dict[str, str]:
+    """The summary, its panels, the strips of a report, planted beats: put together from the SQL of their parts."""
+    parts = {"bu": "beats_burden", "rc": "beats_run_counts", "pa": "beats_pauses", "va": "beats_variability", "si": "beats_sinus_summary", "rs": "beats_rate_stats", "cr": "beats_class_rates", "ru": "beats_runs"}
+    whole = f"""with {", ".join(f"{k} as ({of[v]})" for k, v in parts.items())}, {FAST.removeprefix("with ")}, {SPANS},
+sp as (select recording_id, any_value(duration_sec) as duration_sec, sum(s.end_sec - s.start_sec) as excluded_sec, any_value(duration_sec) - sum(s.end_sec - s.start_sec) as analyzed_sec from d join spans s using (recording_id) group by all),
+lr as (select recording_id, max(struct_pack(n := beats, s := -start_sec, b := bpm)) as l, max(struct_pack(b := bpm, s := -start_sec, n := beats)) as f from ru where label = 'V' and bpm is not null group by all),
+dd as (select recording_id, max(time_sec) as last, count(*) filter (label = 'E') as escapes, min(start_us) as us0 from b group by all),
+pr as (select recording_id, count(*) as presses from b join dd using (recording_id) where label = 'U' and time_sec < last group by all),
+su as (select bu.recording_id, us0, sp.duration_sec, sp.analyzed_sec, sp.excluded_sec * (cast(recording_id as bigint) % 2) as trimmed_sec, cast([60, 50, 45][cast(recording_id as bigint) % 3 + 1] as double) as brady_bpm, cast([180, 160, 150][cast(recording_id as bigint) % 3 + 1] as double) as tachy_bpm,
+  coalesce(presses, 0) as presses, total_beats, pvc_count, escapes, burden_pct, coalesce(couplets, 0) as couplets, coalesce(triplets, 0) as triplets, coalesce(vt_runs, 0) as vt_runs, coalesce(escape_couplets, 0) as escape_couplets, coalesce(escape_runs, 0) as escape_runs,
+  pauses, long_pauses, pa.longest_sec as longest_pause, mean_bpm, min_bpm, min_time, max_bpm, max_time, cr.slow_windows, cr.under_60_windows, cr.fast_windows, cr.windows, nn, sdnn_ms, rmssd_ms, pnn50_pct,
+  coalesce(arrests, 0) as arrests, si.longest_sec as longest_sinus, coalesce(brady_events, 0) as brady_events, coalesce(tachy_events, 0) as tachy_events, lr.l.n as longest_beats, lr.l.b as longest_bpm, lr.f.n as fastest_beats, lr.f.b as fastest_bpm,
+  case when sp.analyzed_sec >= 72 then round(pvc_count * 86400.0 / sp.analyzed_sec, 6) end as pvc_per_24h
+  from bu left join rc using (recording_id) left join pa using (recording_id) left join va using (recording_id) left join si using (recording_id) left join rs using (recording_id) left join cr using (recording_id)
+  left join sp using (recording_id) left join lr using (recording_id) join dd using (recording_id) left join pr using (recording_id))"""
+    fixed = lambda c, n=0: f"printf('%.{n}f', round_even({c}, {n}))"
+    hours = lambda c: f"printf('%dh %dm', cast(floor(({c}) / 3600) as bigint), cast(floor(({c}) % 3600 / 60) as bigint))"
+    text = lambda c: f"cast({c} as varchar)"
+    rate = lambda v, at: f"{fixed(v)} || ' bpm at ' || strftime(make_timestamp(us0 + cast(round({at} * 1e6) as bigint)), '%H:%M:%S')"
+    share = lambda n: f"case when windows > 0 then {n} || ' (' || {fixed(f'100.0::double * {n} / windows')} || '%)' else '0 (0%)' end"
+    run = lambda n, b: f"coalesce({n} || ' beats, ' || {fixed(b)} || ' bpm', 'none')"
+    gap = lambda c: f"case when {c} is null or {c} < 2.5 then 'ok' when {c} <= 5 then 'caution' else 'alert' end"
+    sec = lambda c: f"coalesce({fixed(c, 2)} || ' s', 'n/a')"
+    none = lambda c: f"case when {c} = 0 then 'ok' else 'alert' end"
+    rated, varied, day = "mean_bpm is not null", "sdnn_ms is not null", "case when pvc_per_24h < 50 then 'ok' when pvc_per_24h <= 300 then 'caution' when pvc_per_24h is not null then 'alert' end"
+    panels = {
+        "Recording": [
+            ("'Start'", "strftime(make_timestamp(us0), '%Y-%m-%d %H:%M:%S')"), ("'Duration'", hours("duration_sec")), ("'Recorder ran'", hours("duration_sec + trimmed_sec"), "'time worn and time after it'", "null", "trimmed_sec > 0"),
+            ("'Analyzed'", f"{hours('analyzed_sec')} || ' (' || {fixed('100 * analyzed_sec / duration_sec')} || '%)'", "'20 h or more'", "case when analyzed_sec >= 72000 then 'ok' else 'caution' end"), ("'Excluded'", hours("duration_sec - analyzed_sec")), ("'Total beats'", text("total_beats")), ("'Diary events'", text("presses")),
+        ],
+        "Heart rate": [
+            ("'Mean'", f"{fixed('mean_bpm')} || ' bpm'", "null", "null", rated), ("'Slowest'", rate("min_bpm", "min_time"), "'5-beat median'", "null", rated), ("'Fastest'", rate("max_bpm", "max_time"), "'5-beat median'", "null", rated), ("'Under 60 bpm'", share("under_60_windows"), "'5-beat median'", "null", rated),
+            (f"'Under ' || {fixed('brady_bpm')} || ' bpm'", share("slow_windows"), "'5-beat median'", "null", f"{rated} and brady_bpm <> 60"), (f"'Over ' || {fixed('tachy_bpm')} || ' bpm'", share("fast_windows"), "'5-beat median'", "null", rated), ("'Heart rate'", "'not computed'", "null", "null", f"not ({rated})"),
+            ("'Brady events'", text("brady_events"), "'3 beats or more'"), ("'Tachy events'", text("tachy_events"), "'3 beats or more'"),
+        ],
+        "Ventricular ectopy": [
+            ("'PVCs'", f"pvc_count || ' (' || {fixed('burden_pct', 2)} || '%)'"), ("'PVCs per 24 h'", f"coalesce({fixed('pvc_per_24h')}, 'n/a')", "'under 50 / to 300 / over'", day),
+            *[(f"'{label}'", text(c), "'0'", none(c)) for label, c in (("Couplets", "couplets"), ("Triplets", "triplets"), ("VT runs (4+)", "vt_runs"))], *[(f"'{label}'", text(c)) for label, c in (("Escape beats", "escapes"), ("Escape couplets", "escape_couplets"), ("Escape runs (3+)", "escape_runs"))],
+            ("'Longest run'", run("longest_beats", "longest_bpm")), ("'Fastest run'", run("fastest_beats", "fastest_bpm"), "'180 bpm'", "case when fastest_bpm is null then 'ok' when fastest_bpm >= 180 then 'alert' else 'caution' end"),
+        ],
+        "Supraventricular ectopy": [("'SVPBs'", "'not assessed'")],
+        "Pauses": [
+            ("'Pauses'", text("pauses"), "'>= 2.5 s'"), ("'Long pauses'", text("long_pauses"), "'> 5 s'"), ("'Longest'", sec("longest_pause"), "'2.5 s / 5 s'", gap("longest_pause")),
+            ("'Sinus interval'", sec("longest_sinus"), "null", f"case when longest_sinus is not null then {gap('longest_sinus')} end"), ("'Sinus arrests'", text("arrests"), "'bridged by escape beats'"),
+        ],
+        "RR variability": [
+            ("'SDNN'", f"{fixed('sdnn_ms')} || ' ms'", "nn || ' NN intervals'", "null", varied), ("'RMSSD'", f"{fixed('rmssd_ms')} || ' ms'", "null", "null", varied), ("'pNN50'", f"{fixed('pnn50_pct')} || '%'", "null", "null", varied), ("'RR variability'", "'not computed'", "null", "null", f"not ({varied})"),
+        ],
+    }
+    rows = [
+        f"select recording_id, cast({p} as int) as panel_no, '{panel}' as panel, cast({r} as int) as row_no, {label} as label, {value} as value, cast({(*rest, 'null')[0]} as varchar) as reference, cast({(*rest, 'null', 'null')[1]} as varchar) as status from su where {rest[2] if len(rest) > 2 else 'true'}"
+        for p, (panel, lines) in enumerate(panels.items()) for r, (label, value, *rest) in enumerate(lines)
+    ]
+    plain = lambda sql: sql.replace("round(start_sec, 6)", "start_sec").replace("round(end_sec, 6)", "end_sec")
+    caps = "case section when 'extremes' then 24 when 'presses' then 4 when 'isolated' then 5 when 'escapes' then 3 else 2 end"
+    return {
+        "recordings_summary": f"{whole} select * exclude (us0, duration_sec, analyzed_sec, trimmed_sec) from su",
+        "report_panels": f"{whole} {' union all '.join(rows)}",
+        "strip_sections": f"""with ca as ({plain(of["events_catalogue"])}), ex as ({plain(of["events_extremes"])}), {FAST.removeprefix("with ")}, d as (select recording_id, max(time_sec) as duration_sec from b group by all),
+x as (select recording_id, case when label = 'E' then 'escapes' when beats > 1 then 'runs' else 'isolated' end as section, kind, start_sec, end_sec from ca union all select recording_id, 'extremes', kind, start_sec, end_sec from ex
+  union all select recording_id, 'presses', 'press', time_sec, time_sec from b where label = 'U'
+  union all select recording_id, 'hours', 'hour ' || case when time_sec < 7.5 then 0 else 1 + cast(floor((time_sec - 7.5) / 3600) as bigint) end as kind, min(time_sec), min(time_sec) from b group by recording_id, kind),
+n as (select *, row_number() over (partition by recording_id, section order by start_sec, end_sec, kind) - 1 as position, count(*) over (partition by recording_id, section) as total, {caps} as cap from x),
+s as (select * from n where total <= cap or exists (select 1 from range(24) as q(i) where i < cap and round_even(i * (total - 1) / (cap - 1)::double, 0) = position)),
+w as (select *, greatest(6.0, end_sec - start_sec + 2.0) / 2 as half from s join d using (recording_id)), v as (select *, greatest(0.0, (start_sec + end_sec) / 2 - half) as strip_start from w)
+select recording_id, section, kind, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, position, total, round(strip_start, 6) as strip_start, round(least(duration_sec, strip_start + 2 * half), 6) as strip_end from v""",
+        "waveform_planted": """with p as (select cast(user_id as varchar) as recording_id, event_type, 540 + sum((event_id % 4 + 7) * 18) over (partition by user_id order by epoch_us(ts), event_id) as place from events),
+n as (select *, row_number() over w - 1 as beat_idx, place - lag(place) over w as gap from p where event_type <> 'signup' window w as (partition by recording_id order by place))
+select recording_id, beat_idx, round(place / 180.0::double, 1) as time_sec, round(gap / 180.0::double, 1) as rr_sec, event_type = 'purchase' as wide from n""",
+    }

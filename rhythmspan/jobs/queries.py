@@ -16,6 +16,8 @@ from .screening import kept_presses, screen, summarize
 #: Seconds of the fast stand-in that count as enough analysed time, in hours.
 FAST_HOURS = 0.02
 BRADY, TACHY = 50.0, 160.0
+#: Caps that trip on the fast stand-in.
+SECTION_CAPS = {"extremes": 24, "presses": 4, "runs": 2, "isolated": 5, "escapes": 3, "hours": 2}
 #: Limits that trip on the stand-in windows and spans.
 WINDOW_LIMITS = {"flat": 0.05, "tone": 2.0, "high": 1.2, "low": 0.85}
 GAP_SEC = 0.5
@@ -234,13 +236,13 @@ def strip_sections(spark, d):
     b = testbeds.beats(spark, d)
     hours = testbeds.recordings(spark, d, 3e10).select("recording_id", F.lit(7.5).alias("first_hour_sec"))
     flagged = events.catalogue(b)
-    shown = events.sections(flagged, events.extremes(b), b.where("label = 'U'"), b, hours)
+    shown = events.sections(flagged, events.extremes(b), b.where("label = 'U'"), b, hours, SECTION_CAPS)
     return _rounded(events.strips(shown, _durations(b)).drop("marked"))
 
 
 def waveform_planted(spark, d):
     """Beats found in planted pulse trains: times to a tenth of a second, wide ones told from narrow ones."""
-    found = detection.detect(testbeds.pulses(spark, d), float(testbeds.PULSE_RATE))
+    found = detection.detect(written(testbeds.pulses(spark, d), "pulses"), float(testbeds.PULSE_RATE))
     return found.select("recording_id", "beat_idx", F.round("time_sec", 1).alias("time_sec"), F.round("rr_sec", 1).alias("rr_sec"), (F.col("qrs_sec") > 0.16).alias("wide"))
 
 

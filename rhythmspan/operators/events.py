@@ -62,7 +62,7 @@ def even_sample(rows: DataFrame, cap: int | Column, within: tuple[str, ...], ord
 SECTIONS = {"extremes": C.MAX_STRIPS, "presses": C.MAX_STRIPS, "runs": C.MAX_STRIPS, "isolated": C.MAX_STRIPS, "escapes": C.MAX_STRIPS, "hours": C.MAX_HOUR_STRIPS}
 
 
-def sections(flagged: DataFrame, found: DataFrame, presses: DataFrame, beats: DataFrame, first_hours: DataFrame) -> DataFrame:
+def sections(flagged: DataFrame, found: DataFrame, presses: DataFrame, beats: DataFrame, first_hours: DataFrame, caps: dict[str, int] = SECTIONS) -> DataFrame:
     """What a report shows strips of: ``recording_id, section, kind, start_sec, end_sec, marked, position, total``.
 
     ``flagged`` is the :func:`catalogue` (runs of V, isolated V and escapes are sections of their own,
@@ -78,7 +78,7 @@ def sections(flagged: DataFrame, found: DataFrame, presses: DataFrame, beats: Da
     of = lambda rows, section, kind, marked, begin="start_sec", end="end_sec": rows.select("recording_id", F.lit(section).alias("section") if isinstance(section, str) else section.alias("section"), kind.alias("kind"), F.col(begin).alias("start_sec"), F.col(end).alias("end_sec"), F.lit(marked).alias("marked"))
     rows = of(flagged, section, F.col("kind"), True).unionByName(of(found, "extremes", F.col("kind"), True))
     rows = rows.unionByName(of(presses, "presses", F.lit("press"), False, "time_sec", "time_sec")).unionByName(of(first, "hours", F.concat(F.lit("hour "), "hour"), False, "time_sec", "time_sec"))
-    cap = F.coalesce(*(F.when(F.col("section") == name, n) for name, n in SECTIONS.items()))
+    cap = F.coalesce(*(F.when(F.col("section") == name, n) for name, n in caps.items()))
     return even_sample(rows.select(*columns), cap, ("recording_id", "section"), ("start_sec", "end_sec", "kind"))
 
 

@@ -42,7 +42,7 @@ def marked(rows: DataFrame, brady: Column | float = C.BRADY_BPM["medium"], tachy
         }
     )
     member = (F.col("__n") > 1) & label.eqNullSafe(F.col("__last"))
-    rate = lambda limit, slow: F.coalesce((rr > 0) & ((60 / rr < limit) if slow else (60 / rr > limit)), F.lit(False))
+    rate = lambda limit, slow: F.coalesce(F.when(rr > 0, 60 / rr < limit if slow else 60 / rr > limit), F.lit(False))
     rows = rows.withColumns({"__member": member, "__slow": rate(brady, True), "__fast": rate(tachy, False), "nn": F.when((label == "N") & (F.col("__last") == "N"), F.col("good_rr") * 1000)})
     inside = F.when(F.col("__member"), F.col("good_rr"))
     rows = rows.withColumns(
