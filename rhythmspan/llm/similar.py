@@ -2,15 +2,20 @@
 
 A SimHash radius that reaches a similarity of 0.8 (about 9 bits of 64 on average, up to 20) leaves
 no blocks that select, so the shards are of shingles: with all shingles in one order, rare ones
-first, two sets of Jaccard >= 4/5 share one of their first n - ceil(4n/5) + 1 shingles. That
-holds without exception, so no pair is lost by sharding. In the shards:
+first, two sets of Jaccard >= 4/5 share one of their first n - ceil(4n/5) + 1 shingles. Their first
+common shingle also stands so far ahead that what follows it suffices for the overlap, and in the
+smaller set within its first n / 9 (a set that has the shard's shingle there *leads*). Both hold without
+exception, so no pair is lost by sharding, and by looking only at pairs of which one set leads: of a
+family of texts that are less alike than that, none leads in the shards of what they have in common,
+since what is their own is rarer and comes first. In the shards:
 
 1. every text is held against one text of each of its shards (another one in each), which takes
    time linear in the shards; what links is joined to components;
 2. texts of a shard that are in different components by then meet a BK-tree over the SimHash of the
-   shard's texts. A large shard is cut into trees of bounded size, and the texts outside its largest
-   component are sent to each of them. Of each two components the nearest few pairs are tested
-   first, and more of them only where those fail.
+   shard's texts (of its leading texts alone, if they do not lead). A large shard is cut into trees of
+   bounded size, and the texts outside its largest component are sent to each of them. What a tree
+   gives is sifted as it comes. Of each two components the nearest few pairs are tested first, and
+   more of them only where those fail.
 
 Before its exact Jaccard is taken, a pair has to pass SimHash and a parity sketch: one bit for an
 odd number of shingles in a bucket. Two sketches differ in no more bits than the sets differ in
@@ -36,6 +41,8 @@ SHINGLE, NUMERATOR, DENOMINATOR, RADIUS = 5, 4, 5, 24
 BUCKETS = 1 << 18
 #: Shingles to a 64-bit word of a sketch; texts in a tree; pairs of two components that are tested at first.
 SHINGLES_A_WORD, TREE, NEAREST = 64, 4096, 4
+#: Rows of shards that a task holds, about; pairs that are sifted at a time.
+ROWS_A_TASK, SIFTED = 500_000, 1 << 19
 #: Pairs whose sets are picked out by a broadcast of their ids (16 bytes a pair); more are joined by shuffles.
 FEW_PAIRS = 100_000
 
@@ -124,9 +131,8 @@ def _counts(docs: DataFrame, words_in: int) -> np.ndarray:
     return out
 
 
-def _prints(docs: DataFrame, words_in: int) -> DataFrame:
-    """``doc_id, text_hash, set, keys``: the hash of the shingle set; its first shingles, once for each set and task."""
-    shared = docs.sparkSession.sparkContext.broadcast(_counts(docs, words_in))
+def _prints(docs: DataFrame, words_in: int, shared) -> DataFrame:
+    """``doc_id, text_hash, set, n, keys``: the hash of the shingle set, its size and, once for each set and task, its first shingles in order."""
 
     def build():
         counts, done = shared.value, set()
@@ -141,28 +147,29 @@ def _prints(docs: DataFrame, words_in: int) -> DataFrame:
             starts, h = shingles(cols["text"], words_in)
             own = np.split(h, starts[1:-1])
             names = [_set_hash(o) for o in own]
-            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "set": np.array(names, np.uint64).view(np.int64), "keys": [first(o, n).view(np.int64) for o, n in zip(own, names, strict=True)]}
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "set": np.array(names, np.uint64).view(np.int64), "n": np.diff(starts), "keys": [first(o, n).view(np.int64) for o, n in zip(own, names, strict=True)]}
 
         return work
 
-    return map_rows(docs, build, "doc_id long, text_hash long, set long, keys array<long>", rows=64)
+    return map_rows(docs, build, "doc_id long, text_hash long, set long, n long, keys array<long>", rows=64)
 
 
 def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (key, set) of keys with more than one set, with a set of the key (another one for each key); a task holds all rows of its keys."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    """Distinct (key, set) of keys with more than one set of which one leads, with a leading set of the key (another one for each key); a task holds all rows of its keys."""
+    parts = [[b.column(c).to_numpy() for c in ("key", "set", "place", "n")] for b in batches if b.num_rows]
     if not parts:
         return
-    key, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    key, own, place, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    leads = place * (DENOMINATOR + NUMERATOR) <= n * (DENOMINATOR - NUMERATOR)
     by = (key.view(np.uint64) ^ own.view(np.uint64)) * np.uint64(BASE)
-    order = np.lexsort((own, by, key))
-    key, own = key[order], own[order]
+    order = np.lexsort((own, by, ~leads, key))
+    key, own, place, leads = key[order], own[order], place[order], leads[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
-    key, own = key[new], own[new]
+    key, own, place, leads = key[new], own[new], place[new], leads[new]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    hub, shared = np.repeat(own[starts], sizes), np.repeat(sizes > 1, sizes)
-    yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (key, own, hub)], names=["key", "set", "hub"])
+    hub, shared = np.repeat(own[starts], sizes), np.repeat((sizes > 1) & leads[starts], sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (key, own, hub, place, leads)], names=["key", "set", "hub", "place", "leads"])
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -197,12 +204,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _spread(shards: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """``key, part, set, root, fp, n, sketch, asks, held``: shards of several components, cut into parts.
+    """``key, part, set, root, place, leads, fp, n, sketch, asks, held``: shards of several components, cut into parts.
 
     A text is held by one part of its shard. It asks all parts, unless it is of the shard's largest
     component: of two texts in different components one at least asks.
     """
-    own = shards.select("key", "set").join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+    own = shards.select("key", "set", "place", "leads").join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").select("key", "set", "place", "leads", F.coalesce("root", "set").alias("root"))
     own = staged(own, "roots")
     sizes = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("texts"), F.max(F.struct("n", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("roots"))
     split = own.join(sizes.where("roots > 1").drop("roots").hint("merge"), "key")
@@ -210,20 +217,19 @@ def _spread(shards: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     home = F.pmod(F.xxhash64("set"), parts).cast("int")
     rows = split.withColumn("asks", F.col("root") != F.col("top")).withColumn("home", home)
     rows = rows.withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("home"))))
-    return rows.join(sets.select("set", "fp", "n", "sketch").hint("merge"), "set").select("key", "part", "set", "root", "fp", "n", "sketch", "asks", (F.col("part") == F.col("home")).alias("held"))
+    return rows.join(sets.select("set", "fp", "n", "sketch").hint("merge"), "set").select("key", "part", "set", "root", "place", "leads", "fp", "n", "sketch", "asks", (F.col("part") == F.col("home")).alias("held"))
 
 
 def _apart(radius: int, nearest: int):
     """Pairs of texts of one part and different components that may be alike, with their ``key``: of two components the ``nearest`` ones; ``more``: there were more."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_()), ("key", pa.int64())])
 
-    def pairs(own: np.ndarray, root: np.ndarray, fp: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], asks: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
-        known, asking = np.flatnonzero(held), np.flatnonzero(asks)
-        found = [(known[m], asking[q]) for m, q in BKTree(fp[known]).search(radius, fp[asking]) if len(q)]
-        a = np.concatenate([np.full(len(q), m) for m, q in found] or [np.zeros(0, np.int64)])
-        b = np.concatenate([q for _, q in found] or [np.zeros(0, np.int64)])
+    def sifted(a: np.ndarray, b: np.ndarray, root: np.ndarray, place: np.ndarray, n: np.ndarray, sketches: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Pairs of different components that sizes, places of the shard's shingle and sketches let pass, and bits of the sketches in which they differ."""
+        whole = n[a] + n[b]
         apart = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR)
-        a, b = a[apart], b[apart]
+        apart &= np.minimum(n[a] - place[a], n[b] - place[b]) * (DENOMINATOR + NUMERATOR) >= whole * NUMERATOR
+        a, b, whole = a[apart], b[apart], whole[apart]
         differ = np.zeros(len(a), np.int64)
         size = np.array([len(s) for s in sketches])
         both = np.minimum(size[a], size[b])
@@ -235,14 +241,37 @@ def _apart(radius: int, nearest: int):
                 folded[i] = s if len(s) == words else s[:words] ^ s[words:]
             at = {i: k for k, i in enumerate(folded)}
             table = np.stack(list(folded.values()))
-            slot = np.zeros(len(own), np.int64)
+            slot = np.zeros(len(sketches), np.int64)
             slot[list(at)] = list(at.values())
             step = max(1, (1 << 20) // words)
             for i in range(0, len(of), step):
                 part = of[i : i + step]
                 differ[part] = np.bitwise_count(table[slot[a[part]]] ^ table[slot[b[part]]]).sum(1)
-        few = differ * (DENOMINATOR + NUMERATOR) <= (n[a] + n[b]) * (DENOMINATOR - NUMERATOR)
-        a, b, differ = a[few], b[few], differ[few]
+        few = differ * (DENOMINATOR + NUMERATOR) <= whole * (DENOMINATOR - NUMERATOR)
+        return a[few], b[few], differ[few]
+
+    def pairs(own: np.ndarray, root: np.ndarray, place: np.ndarray, leads: np.ndarray, fp: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], asks: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+        kept, open_, waiting = [], [], 0
+
+        def sift() -> None:
+            a, b = (np.concatenate(x) for x in zip(*open_, strict=True))
+            kept.append(sifted(a, b, root, place, n, sketches))
+            open_.clear()
+
+        # leading texts ask all, the others the leading ones
+        for known, asking in ((np.flatnonzero(held), np.flatnonzero(asks & leads)), (np.flatnonzero(held & leads), np.flatnonzero(asks & ~leads))):
+            if not len(known) or not len(asking):
+                continue
+            for m, q in BKTree(fp[known]).search(radius, fp[asking]):
+                if len(q):
+                    open_.append((np.full(len(q), known[m]), asking[q]))
+                    waiting += len(q)
+                    if waiting >= SIFTED:
+                        sift()
+                        waiting = 0
+        if open_:
+            sift()
+        a, b, differ = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else [np.zeros(0, np.int64)] * 3
         low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
         order = np.lexsort((differ, high, low))
         a, b, low, high = a[order], b[order], low[order], high[order]
@@ -257,7 +286,7 @@ def _apart(radius: int, nearest: int):
         if not rows:
             return
         whole = pa.Table.from_batches(rows)
-        key, part, own, root, fp, n, asks, held = (whole[c].to_numpy() for c in ("key", "part", "set", "root", "fp", "n", "asks", "held"))
+        key, part, own, root, place, leads, fp, n, asks, held = (whole[c].to_numpy() for c in ("key", "part", "set", "root", "place", "leads", "fp", "n", "asks", "held"))
         words = whole["sketch"].combine_chunks()
         flat, ends = words.flatten().to_numpy().view(np.uint64), np.cumsum(np.diff(words.offsets.to_numpy()))
         order = np.lexsort((part, key))
@@ -267,7 +296,7 @@ def _apart(radius: int, nearest: int):
         for a, b in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist(), strict=True):
             i = order[a:b]
             if b - a > 1 and asks[i].any() and held[i].any():
-                u, v, more = pairs(own[i], root[i], fp[i].view(np.uint64), n[i], [flat[begins[k] : ends[k]] for k in i.tolist()], asks[i], held[i])
+                u, v, more = pairs(own[i], root[i], place[i], leads[i], fp[i].view(np.uint64), n[i], [flat[begins[k] : ends[k]] for k in i.tolist()], asks[i], held[i])
                 out.append((u, v, more, np.full(len(u), key[i[0]])))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, t.type.to_pandas_dtype()) for t in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
@@ -286,8 +315,13 @@ def groups(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS) -> Da
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    prints = staged(_prints(docs, words_in), "prints")
-    shards = staged(prints.select(F.explode("keys").alias("key"), "set").repartition(2 * partitions(spark), "key").mapInArrow(_with_hub, "key long, set long, hub long"), "shards")
+    shared = spark.sparkContext.broadcast(_counts(docs, words_in))
+    prints = staged(_prints(docs, words_in, shared), "prints")
+    shared.destroy()
+    rows = prints.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    tasks = max(2 * partitions(spark), rows // ROWS_A_TASK)
+    met = prints.select("set", "n", F.posexplode("keys").alias("place", "key")).select("key", "set", F.col("place").cast("long").alias("place"), "n")
+    shards = staged(met.repartition(tasks, "key").mapInArrow(_with_hub, "key long, set long, hub long, place long, leads boolean"), "shards")
 
     def build():
         def work(cols):
@@ -307,7 +341,7 @@ def groups(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS) -> Da
     roots = connected_components(links)
     nearest = NEAREST
     while True:
-        spread = _spread(shards, roots, sets).repartition(2 * partitions(spark), "key", "part")
+        spread = _spread(shards, roots, sets).repartition(tasks, "key", "part")
         found = staged(spread.mapInArrow(_apart(radius, nearest), "u long, v long, more boolean, key long"), "apart")
         more = staged(_confirmed(staged(found.select("u", "v").distinct(), "asked"), sets), "confirmed")
         if not more.isEmpty():
