@@ -1,16 +1,18 @@
 """Token counts as delta-maintained rollups.
 
-Totals by source, language and tokenizer version are sums of signed deltas. A batch is
-aggregated to one row a group and committed under its id; committing an id again replaces the
-same folder, so a replay after a lost driver or executor changes nothing. Totals are the sum
-over all batches.
+Totals by source, language and tokenizer version are sums of signed deltas. A batch is aggregated
+to one row a group, written to a folder of its own and then named in a log, by one small file: a
+driver or executor lost before that leaves the totals as they were. Of the commits of a batch id the
+last one named counts, so a replay changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD
@@ -43,23 +45,50 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals under a folder that driver and executors share, one sub-folder a batch."""
+    """Totals under a folder that driver and executors share. One job commits at a time.
 
-    schema = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
+    Null sources, languages and tokenizers are groups of their own. Repeated delta rows add up. Other
+    columns of the deltas are ignored. A batch without rows counts as committed and adds nothing; before
+    any commit there are no totals.
+    """
+
+    deltas = "source string, lang string, tokenizer string, docs long, tokens long, commit string"
+    log = "batch string, commit string, seq long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch: str, *deltas: DataFrame) -> None:
-        """Commit signed deltas under a batch id; a repeat of the id replaces it, so each id counts once."""
+    def _read(self, schema: str, folder: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def write(self, batch: str, *deltas: DataFrame) -> str:
+        """Write signed deltas, summed by group, where no reader looks yet; returns the commit's name."""
         if not batch.replace("-", "").isalnum():
             raise ValueError(f"batch ids are letters, digits and dashes: {batch!r}")
-        whole = reduce(DataFrame.unionByName, deltas)
+        whole = reduce(DataFrame.unionByName, (d.select(*KEYS, "docs", "tokens") for d in deltas))
         # a hot source is summed map-side first; one row a group is left
         sums = whole.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        commit = f"{batch}-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/deltas/commit={commit}")
+        return commit
+
+    def publish(self, batch: str, commit: str) -> None:
+        """From now on the batch is what this commit wrote."""
+        seq = (self._read(self.log, "log").agg(F.max("seq")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(batch, commit, seq)], self.log).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def commit(self, batch: str, *deltas: DataFrame) -> None:
+        """Commit signed deltas under a batch id; a repeat of the id replaces it, so each id counts once."""
+        self.publish(batch, self.write(batch, *deltas))
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, docs, tokens`` of all groups that still have documents or tokens."""
-        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        last = Window.partitionBy("batch").orderBy(F.desc("seq"))
+        counts = self._read(self.log, "log").withColumn("at", F.row_number().over(last)).where("at = 1").select("commit")
+        rows = self._read(self.deltas, "deltas").join(counts, "commit", "left_semi")
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")

@@ -171,6 +171,22 @@ def test_decontamination(spark):
     assert none.count() == 0
 
 
+def test_a_commit_that_dies_leaves_the_totals(spark):
+    """Before any commit, after a batch of no rows, after deltas that were written and never named, and after a replay."""
+    row = lambda docs, tokens: spark.createDataFrame([("a", None, "t", docs, tokens, "x"), (None, "en", "t", 0, 0, "y"), ("a", None, "t", docs, tokens, "x")], "source string, lang string, tokenizer string, docs long, tokens long, commit string")
+    totals = rollup.TokenRollup(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    assert totals.totals().collect() == []
+    totals.commit("none", row(1, 1).limit(0))
+    assert totals.totals().collect() == []
+    totals.commit("1", row(1, 10))
+    totals.write("1", row(9, 90))  # and dies here
+    assert [tuple(r) for r in totals.totals().collect()] == [("a", None, "t", 2, 20)]
+    totals.commit("1", row(3, 30))
+    totals.commit("2", row(-1, -5))
+    totals.commit("2", row(-1, -5))
+    assert [tuple(r) for r in totals.totals().collect()] == [("a", None, "t", 4, 50)]
+
+
 def test_rollup(spark, texts):
     docs = table(spark, texts, sources=[None if i % 4 == 0 else f"s{i % 3}" for i in range(len(texts))])
     counts = rollup.count_tokens(docs)
