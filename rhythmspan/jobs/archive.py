@@ -31,22 +31,25 @@ def open_cards(found: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def analyse(waveform: DataFrame, recordings: DataFrame, presses: DataFrame, rate: float = float(cards.RATE), min_hours: float = C.MIN_HOURS) -> dict[str, DataFrame]:
-    """The tables of all recordings (``recording_id, start_time``, and ``weight_class`` where known) of one sample rate.
+def analyse(waveform: DataFrame, recordings: DataFrame, presses: DataFrame, rate: float | None = float(cards.RATE), min_hours: float = C.MIN_HOURS) -> dict[str, DataFrame]:
+    """The tables of all recordings (``recording_id, start_time``, and ``weight_class`` where known).
+
+    ``rate`` is the sample rate of all of them; if it is None, ``waveform`` has a ``rate`` column.
 
     ``quality, spans, beats, presses, summary, panels, hours, hours_text, trend, lanes, timeline, events,
     extremes, strips, strip_beats, waveforms``. Recordings whose leads don't fit together are in ``rejects``
     and nowhere else. Strips are those of all sections of a report (:func:`events.sections`).
     """
+    waveform = quality.with_rate(waveform, rate)
     if "weight_class" not in recordings.columns:
         recordings = recordings.withColumn("weight_class", F.lit("medium"))
-    sizes = written(quality.recorded(waveform, rate), "recorded")
+    sizes = written(quality.recorded(waveform), "recorded")
     good = sizes.where("rejected is null").select("recording_id", "recorded_sec")
     waveform = waveform.join(good.select("recording_id"), "recording_id", "left_semi")
-    lengths, spans = quality.assess(quality.cut(waveform, rate), good)
+    lengths, spans = quality.assess(quality.cut(waveform), good)
     lengths, spans = written(lengths, "lengths"), written(spans, "spans")
-    kept = report.trim(waveform, lengths, rate)
-    beats = written(labels.label_beats(quality.exclude_beats(detection.detect(kept, rate), spans)).drop("rr_base", "qrs_base"), "beats")
+    kept = report.trim(waveform, lengths)
+    beats = written(labels.label_beats(quality.exclude_beats(detection.detect(kept), spans)).drop("rr_base", "qrs_base"), "beats")
     left = quality.analyzed_seconds(spans, lengths.select("recording_id", "duration_sec")).select("recording_id", "analyzed_sec")
     of = lengths.join(left, "recording_id").join(recordings, "recording_id")
     presses = kept_presses(presses, lengths)
@@ -65,7 +68,7 @@ def analyse(waveform: DataFrame, recordings: DataFrame, presses: DataFrame, rate
     return {
         "rejects": sizes.where("rejected is not null"), "quality": lengths.join(left, "recording_id"), "spans": spans, "beats": beats, "presses": presses, "summary": summary, "panels": report.panels(summary),
         "hours": hours, "hours_text": report.hourly_table(hours), "trend": rhythm.trend(beats), "lanes": report.lanes(beats, sustained, presses), "timeline": report.spans(lengths.select("recording_id", "duration_sec"), beats, sustained),
-        "events": flagged, "extremes": extremes, "strips": strips, "strip_beats": report.strip_beats(strips, beats), "waveforms": report.strip_waveforms(strips, kept, rate),
+        "events": flagged, "extremes": extremes, "strips": strips, "strip_beats": report.strip_beats(strips, beats), "waveforms": report.strip_waveforms(strips, kept),
     }
 
 
@@ -82,6 +85,16 @@ class Archive:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    @staticmethod
+    def _named(commit: str) -> str:
+        """The commit as its folders are named: never a number or a date, which readers would take for one."""
+        if not commit.replace("-", "").isalnum():
+            raise ValueError(f"commits are named by letters, digits and dashes: {commit!r}")
+        return f"c-{commit}"
+
+    def published_before(self, commit: str) -> bool:
+        return not self.manifest().where(F.col("commit") == self._named(commit)).isEmpty()
+
     def manifest(self) -> DataFrame:
         """``recording_id, commit, seq`` of everything published."""
         try:
@@ -94,21 +107,19 @@ class Archive:
     def write(self, tables: dict[str, DataFrame], commit: str) -> None:
         """Write the commit's own folders, in files of even size with a recording's rows side by side."""
         for name, rows in tables.items():
-            rows.hint("rebalance", "recording_id").sortWithinPartitions("recording_id").write.mode("overwrite").parquet(f"{self.folder}/tables/{name}/commit={commit}")
+            rows.hint("rebalance", "recording_id").sortWithinPartitions("recording_id").write.mode("overwrite").parquet(f"{self.folder}/tables/{name}/commit={self._named(commit)}")
 
     def publish(self, tables: dict[str, DataFrame], commit: str) -> None:
         """Name the commit's recordings, those of its ``summary`` and ``rejects``, in one file."""
         seq = (self.manifest().agg(F.max("seq")).first()[0] or 0) + 1
-        folders = [f"{self.folder}/tables/{name}/commit={commit}" for name in ("summary", "rejects") if name in tables]
+        folders = [f"{self.folder}/tables/{name}/commit={self._named(commit)}" for name in ("summary", "rejects") if name in tables]
         ids = [self.spark.read.parquet(f).select("recording_id") for f in folders]
         names = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
-        names.distinct().select("recording_id", F.lit(seq).cast("long").alias("seq")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/commit={commit}")
+        names.distinct().select("recording_id", F.lit(seq).cast("long").alias("seq")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/commit={self._named(commit)}")
 
     def commit(self, tables: dict[str, DataFrame], commit: str) -> bool:
         """Add the tables under a commit's name; False, and nothing is written, if it was published before."""
-        if not commit.replace("-", "").isalnum():
-            raise ValueError(f"commits are named by letters, digits and dashes: {commit!r}")
-        if not self.manifest().where(F.col("commit") == commit).isEmpty():
+        if self.published_before(commit):
             return False
         self.write(tables, commit)
         self.publish(tables, commit)
@@ -126,7 +137,7 @@ def run(spark: SparkSession, folder: str, out: str, commit: str | None = None) -
     found = written(cards.read_cards(spark, folder), "cards")
     archive = Archive(spark, out)
     commit = commit or f"{found.agg(F.coalesce(F.hex(F.bit_xor(F.xxhash64('path', 'length'))), F.lit('none'))).first()[0]}"
-    if not archive.manifest().where(F.col("commit") == commit).isEmpty():
+    if archive.published_before(commit):
         return False
     opened = open_cards(found)
     waveform = written(opened["waveform"], "waveform")

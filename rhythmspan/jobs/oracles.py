@@ -313,6 +313,8 @@ n as (select *, row_number() over (partition by recording_id, section order by s
 s as (select * from n where total <= cap or exists (select 1 from range(24) as q(i) where i < cap and round_even(i * (total - 1) / (cap - 1)::double, 0) = position)),
 w as (select *, greatest(6.0, end_sec - start_sec + 2.0) / 2 as half from s join d using (recording_id)), v as (select *, greatest(0.0, (start_sec + end_sec) / 2 - half) as strip_start from w)
 select recording_id, section, kind, round(start_sec, 6) as start_sec, round(end_sec, 6) as end_sec, position, total, round(strip_start, 6) as strip_start, round(least(duration_sec, strip_start + 2 * half), 6) as strip_end from v""",
+        "archive_grown": f"with q as ({of['beats_burden']}) select recording_id, case when cast(recording_id as bigint) % 3 = 0 then pvc_count + 100 else pvc_count end as pvc_count, case when cast(recording_id as bigint) % 3 = 0 then 'c-2' else 'c-1' end as commit from q",
+        "card_kinds": "select cast(user_id as varchar) as path, case when user_id % 4 = 0 or (user_id % 4 <> 1 and user_id % 10 <> 3) then 'native' else 'unsupported' end as kind from events group by user_id",
         "waveform_planted": """with p as (select cast(user_id as varchar) as recording_id, event_type, 540 + sum((event_id % 4 + 7) * 18) over (partition by user_id order by epoch_us(ts), event_id) as place from events),
 n as (select *, row_number() over w - 1 as beat_idx, place - lag(place) over w as gap from p where event_type <> 'signup' window w as (partition by recording_id order by place))
 select recording_id, beat_idx, round(place / 180.0::double, 1) as time_sec, round(gap / 180.0::double, 1) as rr_sec, event_type = 'purchase' as wide from n""",

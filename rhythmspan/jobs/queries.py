@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detection, evaluate, events, labels, measures, quality, report, rhythm
-from ..ordered import written
+from ..ordered import shared_folder, written
 from ..sources import cards, testbeds
 from . import archive
 from .screening import kept_presses, screen, summarize
@@ -346,6 +347,25 @@ def _opened(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return found, written(cards.session(cards.blocks(found)), "blocks")
 
 
+def card_kinds(spark, d):
+    """What a card is by its name and its first block: some have the fixed name, some another ending."""
+    user = F.col("path").cast("long")
+    name = F.when(user % 4 == 0, "Flash.DAT").when(user % 4 == 1, "copy.bin").otherwise(F.concat("path", F.lit(".dat")))
+    images = testbeds.cards(spark, d).select("path", F.concat(F.lit("in/"), "path", F.lit("/"), name).alias("file"), F.substring("content", 1, cards.BLOCK).alias("head"))
+    return images.select("path", cards.kind_of(F.col("file"), F.col("head")).alias("kind"))
+
+
+def archive_grown(spark, d):
+    """An archive after two commits, the second with every third recording anew, a replay of the first, and one that was never published."""
+    grown = archive.Archive(spark, f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}")
+    found = rhythm.burden(testbeds.beats(spark, d)).select("recording_id", "pvc_count")
+    grown.commit({"summary": found}, "1")
+    grown.commit({"summary": found.where("cast(recording_id as long) % 3 = 0").withColumn("pvc_count", F.col("pvc_count") + 100)}, "2")
+    grown.commit({"summary": found.withColumn("pvc_count", F.col("pvc_count") - 1)}, "1")
+    grown.write({"summary": found.withColumn("pvc_count", -F.col("pvc_count"))}, "3")
+    return grown.read("summary")
+
+
 def card_blocks(spark, d):
     """What is on the cards, block by block, before the session is found."""
     return cards.blocks(testbeds.cards(spark, d)).select("path", "block_idx", "ecg", "empty", "error", "sequence", "detail", "press", "live")
@@ -399,6 +419,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         windows_kept, events_catalogue, events_strips, events_extremes, events_hour_samples, detection_scores,
         hourly_analyzed, hourly_text, timeline_lanes, timeline_spans, strip_beats, strip_waveforms, recordings_summary, report_panels, strip_sections, waveform_beats, waveform_planted,
         beats_class_rates, waveform_windows, waveform_contract, waveform_trimmed, recordings_assessed, presses_kept, events_presses, labels_accepted, windows_by_clock, strip_scales, start_overrides,
-        card_blocks, card_sessions, card_headers, card_rejects, card_presses, card_waveforms, card_tables,
+        archive_grown, card_kinds, card_blocks, card_sessions, card_headers, card_rejects, card_presses, card_waveforms, card_tables,
     )
     return {f.__name__: f for f in found}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,36 +16,43 @@ from ..ordered import walked
 LABELLED = "recording_id string, beat_idx long, time_sec double, rr_sec double, qrs_sec double, label string, rr_base double, qrs_base double"
 
 
+def _middle(values: list[float]) -> float:
+    """Median of a few numbers."""
+    ordered, half = sorted(values), len(values) // 2
+    return ordered[half] if len(values) % 2 else (ordered[half - 1] + ordered[half]) / 2
+
+
 class _Baseline:
     """Labels beats in order; each beat found normal moves the rhythm that the next ones are held against.
 
-    What is kept between beats is a table of the last normal intervals and widths, a column each.
+    What is kept between beats is the last normal intervals and widths, and their medians.
     """
 
     def __init__(self, size: int = C.BASELINE_BEATS):
-        self.normal, self.size = np.empty((2, 0)), size
+        self.normal, self.usual = deque(maxlen=size), None
 
-    def _judge(self, rr: float, qrs: float, usual: np.ndarray) -> str:
-        if np.isnan(rr) or np.isnan(qrs):
+    def _judge(self, rr: float, qrs: float) -> str:
+        if math.isnan(rr) or math.isnan(qrs):
             return "U"
-        if np.isnan(usual).any():
+        if self.usual is None:
             return "N"
-        if qrs <= C.WIDE_RATIO * usual[1] or qrs - usual[1] < C.WIDE_MARGIN_SEC:
+        usual_rr, usual_qrs = self.usual
+        if qrs <= C.WIDE_RATIO * usual_qrs or qrs - usual_qrs < C.WIDE_MARGIN_SEC:
             return "N"
-        return "V" if rr < C.PREMATURE_RATIO * usual[0] else "E" if rr >= C.LATE_RATIO * usual[0] else "N"
+        return "V" if rr < C.PREMATURE_RATIO * usual_rr else "E" if rr >= C.LATE_RATIO * usual_rr else "N"
 
     def take(self, rows: pd.DataFrame) -> pd.DataFrame:
-        measures = rows[["rr_sec", "qrs_sec"]].to_numpy(float)
-        bases, labels = np.full(measures.shape, np.nan), []
-        usual = np.median(self.normal, axis=1) if self.normal.size else np.full(2, np.nan)
-        for at, pair in enumerate(measures):
-            bases[at] = usual
-            labels.append(self._judge(*pair, usual))
+        rrs, widths = (rows[c].to_numpy(float) for c in ("rr_sec", "qrs_sec"))
+        bases, labels = [], []
+        for pair in zip(rrs.tolist(), widths.tolist(), strict=True):
+            bases.append(self.usual or (math.nan, math.nan))
+            labels.append(self._judge(*pair))
             if labels[-1] == "N":
-                self.normal = np.c_[self.normal, pair][:, -self.size :]
-                usual = np.median(self.normal, axis=1)
+                self.normal.append(pair)
+                self.usual = tuple(_middle(list(v)) for v in zip(*self.normal, strict=True))
+        usual_rr, usual_qrs = np.array(bases).T
         nulls = lambda v: pd.Series(v, rows.index).astype("Float64")
-        return rows.assign(rr_sec=nulls(measures[:, 0]), qrs_sec=nulls(measures[:, 1]), label=labels, rr_base=nulls(bases[:, 0]), qrs_base=nulls(bases[:, 1]))
+        return rows.assign(rr_sec=nulls(rrs), qrs_sec=nulls(widths), label=labels, rr_base=nulls(usual_rr), qrs_base=nulls(usual_qrs))
 
     def rest(self) -> None:
         return None

@@ -8,41 +8,51 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+def with_rate(waveform: DataFrame, rate: float | None) -> DataFrame:
+    """``waveform`` with a ``rate`` column: its own, constant in a recording, or one rate for all."""
+    return waveform if rate is None else waveform.withColumn("rate", F.lit(float(rate)))
+
+
 def _variance(values: Column) -> Column:
     """Population variance of an array."""
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
     return F.transform(F.array(mean), lambda m: F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))[0] / F.size(values)
 
 
-def cut(waveform: DataFrame, rate: float, window_sec: float = C.WINDOW_SEC) -> DataFrame:
+def cut(waveform: DataFrame, rate: float | None = None, window_sec: float = C.WINDOW_SEC) -> DataFrame:
     """``recording_id, window_idx, samples``: the first lead's chunks as full windows; an incomplete last one is left out."""
-    size = int(window_sec * rate)
+    waveform = with_rate(waveform, rate)
     lead = waveform.groupBy("recording_id").agg(F.min("channel").alias("channel"))
-    n = F.size("samples")
-    rows = waveform.join(lead, ["recording_id", "channel"]).where(n > 0)
+    n, size = F.size("samples"), F.col("size")
+    rows = waveform.join(lead, ["recording_id", "channel"]).where(n > 0).withColumn("size", F.floor(F.lit(window_sec) * F.col("rate")))
     last = F.col("first_sample") + n - 1
     touched = F.sequence(F.floor(F.col("first_sample") / size), F.floor(last / size))
-    pieces = rows.select("recording_id", "first_sample", "samples", last.alias("last"), F.explode(touched).alias("window_idx"))
+    pieces = rows.select("recording_id", "size", "first_sample", "samples", last.alias("last"), F.explode(touched).alias("window_idx"))
     low = F.greatest(F.col("first_sample"), F.col("window_idx") * size)
     high = F.least(F.col("last"), (F.col("window_idx") + 1) * size - 1)
     part = F.slice("samples", (low - F.col("first_sample") + 1).cast("int"), (high - low + 1).cast("int"))
-    met = pieces.select("recording_id", "window_idx", F.struct(low.alias("at"), part.alias("x")).alias("p"))
-    whole = met.groupBy("recording_id", "window_idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"])).alias("samples"))
-    return whole.where(F.size("samples") == size)
+    met = pieces.select("recording_id", "size", "window_idx", F.struct(low.alias("at"), part.alias("x")).alias("p"))
+    whole = met.groupBy("recording_id", "window_idx", "size").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"])).alias("samples"))
+    return whole.where(F.size("samples") == size).drop("size")
 
 
-def recorded(waveform: DataFrame, rate: float) -> DataFrame:
+def recorded(waveform: DataFrame, rate: float | None = None) -> DataFrame:
     """``recording_id, recorded_sec, channels, rejected``: how long each recording is by its samples, and what is wrong with it.
 
-    Leads of unlike length, or samples missing within one, are rejected.
+    Leads of unlike length or rate, or samples missing within one, are rejected.
     """
-    of_lead = waveform.groupBy("recording_id", "channel").agg(F.sum(F.coalesce(F.size("samples"), F.lit(0))).alias("n"), F.max(F.col("first_sample") + F.size("samples")).alias("end"))
-    rows = of_lead.groupBy("recording_id").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.bool_or(F.col("n") != F.col("end")).alias("gap"), F.count(F.lit(1)).alias("channels"))
-    reason = F.when(F.col("least") != F.col("most"), "leads of unlike length").when(F.col("gap"), "samples missing")
-    return rows.select("recording_id", (F.col("most") / rate).alias("recorded_sec"), "channels", reason.alias("rejected"))
-
-
-def contract(recordings: DataFrame, waveform: DataFrame, rate: float) -> DataFrame:
+    waveform = with_rate(waveform, rate)
+    of_lead = waveform.groupBy("recording_id", "channel").agg(
+        F.sum(F.coalesce(F.size("samples"), F.lit(0))).alias("n"), F.max(F.col("first_sample") + F.size("samples")).alias("end"), F.min("rate").alias("rate"), F.max("rate").alias("other")
+    )
+    rows = of_lead.groupBy("recording_id").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.bool_or(F.col("n") != F.col("end")).alias("gap"), F.count(F.lit(1)).alias("channels"), F.min("rate").alias("rate"), F.max("other").alias("other")
+    )
+    reason = F.when(F.col("rate") != F.col("other"), "leads of unlike rate").when(F.col("least") != F.col("most"), "leads of unlike length").when(F.col("gap"), "samples missing")
+    return rows.select("recording_id", (F.col("most") / F.col("rate")).alias("recorded_sec"), "channels", reason.alias("rejected"))
+
+
+def contract(recordings: DataFrame, waveform: DataFrame, rate: float | None = None) -> DataFrame:
     """``recording_id, reason`` of recordings (``recording_id, channel_names``) whose leads don't fit together or lack a name."""
     rows = recordings.select("recording_id", "channel_names").join(recorded(waveform, rate), "recording_id", "left")
     unnamed = F.coalesce(F.size("channel_names"), F.lit(0)) != F.col("channels")

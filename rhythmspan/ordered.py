@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def walked(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...], walker: Callable, schema: str) -> DataFrame:
@@ -41,16 +41,17 @@ def walked(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...], walker
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
-def written(rows: DataFrame, what: str) -> DataFrame:
-    """The table, written to ``spark.checkpoint.dir`` and read back, so that several uses compute it once.
-
-    Only where the session names no such folder (single-machine tests) is a temporary one set.
-    """
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only where the session names no such folder (single-machine tests) is a temporary one set."""
     sc = spark.sparkContext
     if not (folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder}/{what}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(rows: DataFrame, what: str) -> DataFrame:
+    """The table, written to the shared folder and read back, so that several uses compute it once."""
+    path = f"{shared_folder(rows.sparkSession)}/{what}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -33,7 +33,7 @@ WAVEFORM = "path string, channel int, chunk_idx long, first_sample long, samples
 BATCH, RANGE = 4096, 131_072
 
 
-def _kind(path: Column, head: Column) -> Column:
+def kind_of(path: Column, head: Column) -> Column:
     """'native' or 'unsupported', by name and by how the content begins."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     begins = (F.hex(F.substring(head, 1, 4)) == "00020000") & (F.instr(F.decode(head, "ISO-8859-1"), "SampleRate=") > 0)
@@ -62,7 +62,7 @@ def read_cards(spark: SparkSession, folder: str) -> DataFrame:
             yield batch.assign(head=found)
 
     listed = spark.read.format("binaryFile").load(folder).select("path", "length")  # names and sizes; no content
-    return listed.mapInPandas(heads, "path string, length long, head binary").select("path", "length", _kind(F.col("path"), F.col("head")).alias("kind"))
+    return listed.mapInPandas(heads, "path string, length long, head binary").select("path", "length", kind_of(F.col("path"), F.col("head")).alias("kind"))
 
 
 def ranges(cards: DataFrame, blocks_each: int = RANGE) -> DataFrame:

@@ -81,10 +81,10 @@ def test_an_archive_grows_and_a_job_that_dies_changes_nothing(spark, tmp_path):
     of = lambda **values: {"summary": spark.createDataFrame(list(values.items()), "recording_id string, n int"), "rejects": spark.createDataFrame([], "recording_id string, reason string")}
     kept = archive.Archive(spark, str(tmp_path / "a"))
     state = lambda: {(r.recording_id, r.n) for r in kept.read("summary").collect()}
-    assert kept.commit(of(a=1, b=2), "first") and state() == {("a", 1), ("b", 2)}
+    assert kept.commit(of(a=0), "007") and kept.commit(of(a=1, b=2), "first") and state() == {("a", 1), ("b", 2)}
     kept.write(of(b=9, c=9), "second")  # and dies here
     assert state() == {("a", 1), ("b", 2)}
-    files = sorted((tmp_path / "a" / "tables" / "summary" / "commit=first").glob("*.parquet"))
+    files = sorted((tmp_path / "a" / "tables" / "summary" / "commit=c-first").glob("*.parquet"))
     before = [f.stat().st_mtime_ns for f in files]
     assert kept.commit(of(b=3, c=4), "second") and state() == {("a", 1), ("b", 3), ("c", 4)}
     assert not kept.commit(of(a=7), "first") and state() == {("a", 1), ("b", 3), ("c", 4)}
@@ -92,3 +92,25 @@ def test_an_archive_grows_and_a_job_that_dies_changes_nothing(spark, tmp_path):
     with pytest.raises(ValueError):
         kept.commit(of(a=1), "../x")
     assert archive.Archive(spark, str(tmp_path / "none")).manifest().count() == 0
+
+
+def test_recordings_of_different_rates_in_one_job(spark):
+    """Each recording's tables are those of a job with that recording alone."""
+    rows = []
+    for name, rate in (("slow", 90.0), ("fast", 250.0)):
+        t = np.arange(int(200 * rate)) / rate
+        x = np.random.default_rng(1).normal(0, 0.01, len(t)) + sum(np.exp(-0.5 * ((t - at) / 0.02) ** 2) for at in np.arange(0.7, 199, 0.9))
+        rows += [(name, c, rate, a, x[a : a + 777].tolist()) for c in range(2) for a in range(0, len(x), 777)]
+    wave = spark.createDataFrame(rows, "recording_id string, channel int, rate double, first_sample long, samples array<double>").repartition(4)
+    of = spark.createDataFrame([("slow", None), ("fast", None)], "recording_id string, start_time timestamp_ntz")
+    presses = spark.createDataFrame([("slow", 100.0, "a"), ("fast", 60.01, "b")], "recording_id string, time_sec double, label string")
+    both = archive.analyse(wave, of, presses, None)
+    for name, rate in (("slow", 90.0), ("fast", 250.0)):
+        own = F.col("recording_id") == name
+        alone = archive.analyse(wave.where(own).drop("rate"), of.where(own), presses.where(own), rate)
+        for table in ("quality", "beats", "strips", "waveforms"):
+            key = lambda r: str(r.asDict().get("strip_id", "")) + str(r.asDict().get("channel", "")) + f"{r.asDict().get('time_sec', 0):012.4f}"
+            got, want = (sorted(x.collect(), key=key) for x in (both[table].where(own), alone[table]))
+            assert got == want and got
+        strip = [r for r in both["waveforms"].where(own).collect() if r.strip_id.startswith("presses")]
+        assert len(strip) == 2 and all(len(r.samples) == int(6 * rate) for r in strip)
