@@ -69,17 +69,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total_share: float = TOTAL_SH
     """
     new = ("size", "source_size", "target", "taken", "position", "positions")
     docs = docs.drop(*new)
-    keyed = docs.withColumns({"size": word_count(F.col("text")), "__order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}).withColumn("__bucket", F.substring("__order", 1, bucket_digits))
+    # a key that is never null: what is dealt by it for the queue needs no second exchange to meet the plan
+    key = lambda source: F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+    keyed = docs.withColumns({"size": word_count(F.col("text")), "__key": key(F.col("source")), "__order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}).withColumn("__bucket", F.substring("__order", 1, bucket_digits))
     sums = keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), before.alias("__start"))
     targets = source_targets(sums, weights, total_share, max_passes).withColumn("__tilt", _pick(tilts, F.col("source_ord"))).select(F.col("source").alias("__ts"), "source_size", "target", "__tilt")
-    plan = starts.join(targets, F.col("__s").eqNullSafe(F.col("__ts"))).drop("__ts")
+    plan = starts.join(targets, F.col("__s").eqNullSafe(F.col("__ts"))).withColumn("__k", key(F.col("__s"))).drop("__ts", "__s")
 
     ties = [F.col("__order"), F.col("size")] + ([F.xxhash64("text")] if "text" in docs.columns else [])
-    queue = Window.partitionBy("source", "__bucket").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
+    queue = Window.partitionBy("__key", "__bucket").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("__in", F.coalesce(F.sum("size").over(queue), F.lit(0)))
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    joined = placed.join(plan, (F.col("__key") == F.col("__k")) & (F.col("__bucket") == F.col("__b")))
     at, demand = F.col("__start") + F.col("__in"), F.floor("target")
     passes = [F.least(F.greatest(demand - at - F.col("source_size") * i, F.lit(0)), F.col("size")) for i in range(max_passes)]
     taken = sum(passes[1:], passes[0])
