@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, places: int = 0) -> Column:
-    """Null stays null; Spark would format it as text."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.bround(value, places)))
+    """Null stays null; Spark would format it as text. What counts as a half is seen on the scaled double, as SQL engines do it."""
+    scale = F.lit(10.0**places)
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.rint(value * scale) / scale))
 
 
 def duration(sec: Column) -> Column:
