@@ -13,19 +13,21 @@ from ..sources import cards
 from .screening import kept_presses, summarize
 
 
-def open_cards(found: DataFrame) -> dict[str, DataFrame]:
+def open_cards(found: DataFrame, names: DataFrame | None = None) -> dict[str, DataFrame]:
     """``waveform, recordings, presses, rejects`` of cards (``path, content, kind``); each card is cut into blocks once.
 
+    ``names`` (``path, kind``) are the same cards where a list of them costs less than the images.
+
     The path of a card is its ``recording_id``. Cards that can't be used are in ``rejects`` alone.
     """
-    kept = written(cards.session(cards.blocks(found)), "blocks")
-    rejects = written(cards.rejects(found, kept), "rejects")
+    kept = cards.opened(found)
+    rejects = written(cards.rejects(found if names is None else names, kept), "rejects")
     good = cards.usable(kept, rejects)
     name = F.col("path").alias("recording_id")
-    names = F.array(*[F.lit(n) for n in cards.CHANNEL_NAMES]).alias("channel_names")
+    channels = F.array(*[F.lit(n) for n in cards.CHANNEL_NAMES]).alias("channel_names")
     return {
         "waveform": cards.waveform(good).select(name, "channel", "first_sample", "samples"),
-        "recordings": cards.headers(good).select(name, "start_time", names),
+        "recordings": cards.headers(good).select(name, "start_time", channels),
         "presses": cards.presses(good).select(name, "time_sec", "type_index", "label", "detail"),
         "rejects": rejects,
     }

@@ -342,9 +342,8 @@ def start_overrides(spark, d):
     return got.select("recording_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_text"), "rejected")
 
 
-def _opened(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    found = testbeds.cards(spark, d)
-    return found, written(cards.session(cards.blocks(found)), "blocks")
+def _open_cards(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return archive.open_cards(testbeds.cards(spark, d), testbeds.card_names(spark, d))
 
 
 def card_kinds(spark, d):
@@ -372,33 +371,33 @@ def card_blocks(spark, d):
 
 
 def card_sessions(spark, d):
-    kept = _opened(spark, d)[1]
+    kept = cards.opened(testbeds.cards(spark, d))
     return kept.groupBy("path").agg(F.count_if("ecg").alias("blocks"), F.max("block_idx").alias("last_block"), F.max("ordinal").alias("last_ordinal"))
 
 
 def card_headers(spark, d):
-    got = cards.headers(_opened(spark, d)[1])
+    got = cards.headers(cards.opened(testbeds.cards(spark, d)))
     return got.select("path", F.try_element_at("fields", F.lit("SampleRate")).alias("rate"), F.try_element_at("fields", F.lit("start_date")).alias("start_date"), F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_text"))
 
 
 def card_rejects(spark, d):
-    return cards.rejects(*_opened(spark, d))
+    return cards.rejects(testbeds.card_names(spark, d), cards.opened(testbeds.cards(spark, d)))
 
 
 def card_presses(spark, d):
-    return _rounded(archive.open_cards(testbeds.cards(spark, d))["presses"])
+    return _rounded(_open_cards(spark, d)["presses"])
 
 
 def card_waveforms(spark, d):
     """Measures of every decoded chunk of the cards that can be used."""
     x = F.col("samples")
-    got = archive.open_cards(testbeds.cards(spark, d))["waveform"]
+    got = _open_cards(spark, d)["waveform"]
     return _rounded(got.select("recording_id", "channel", "first_sample", F.size(x).alias("n"), x[0].alias("first"), x[303].alias("last"), F.array_min(x).alias("lowest"), F.array_max(x).alias("highest")))
 
 
 def card_tables(spark, d):
     """Rows of each table of a whole job over the cards, from blocks to strips."""
-    opened = archive.open_cards(testbeds.cards(spark, d))
+    opened = _open_cards(spark, d)
     tables = archive.analyse(written(opened["waveform"], "waveform"), opened["recordings"], opened["presses"])
     counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
     out = counts[0]

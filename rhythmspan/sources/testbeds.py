@@ -52,38 +52,75 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    from .cards import CHANNELS, CHECKSUM, POINTS, STEP
-
-    def sealed(block: bytearray, fault: bool = False) -> bytes:
-        block[508:512] = struct.pack("<I", CHECKSUM - sum(block[:508]) + fault)
-        return bytes(block)
-
-    def image(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"])
-        user = int(rows["user_id"].iloc[0])
-        fault = FAULTS.get(user % 10)
-        clock = rows["us"].iloc[0] // 1_000_000
-        day = pd.Timestamp(clock, unit="s")
+    from .cards import CHANNELS, CHECKSUM, MARKER, POINTS, STEP
+
+    def packed(codes: np.ndarray) -> np.ndarray:
+        flat = codes.astype(np.uint8).reshape(len(codes), -1)
+        return flat[:, 0::2] | (flat[:, 1::2] << 4)
+
+    def sealed(blocks: np.ndarray, fault: np.ndarray | int = 0) -> None:
+        blocks[:, 508:512] = (CHECKSUM - blocks[:, :508].sum(axis=1, dtype=np.int64) + fault).astype("<u4").reshape(-1, 1).view(np.uint8)
+
+    # ECG of a block by where its codes begin: plain, markers alone, a marker at the last point, markers at the first two
+    point, channel = np.arange(POINTS)[:, None], np.arange(CHANNELS)[None, :]
+    plain = (np.arange(16)[:, None, None] + point * (channel + 1)) % 16
+    plain = np.where(plain == MARKER, 0, plain)
+    at = np.arange(POINTS)[None, :, None]
+    bodies = np.stack([packed(np.where(marked, MARKER, plain)) for marked in (at < 0, at >= 0, at == POINTS - 1, at < 2)])
+
+    def ecg(rows: pd.DataFrame, i: np.ndarray) -> np.ndarray:
+        """Blocks (a row each) of events that are each the ``i``-th of their user."""
+        user, event = rows["user_id"].to_numpy(), rows["event_id"].to_numpy()
+        fault = np.array([FAULTS.get(k, "") for k in range(10)])[user % 10]
+        variant = np.where(fault == "markers", 1, np.where(user % 10 == 5, np.array([0, 2, 3])[i % 3], 0))
+        out = np.zeros((len(rows), 512), np.uint8)
+        put = lambda a, b, values: out.__setitem__((slice(None), slice(a, b)), np.ascontiguousarray(values, f"<u{b - a}").reshape(-1, 1).view(np.uint8))
+        put(0, 4, np.full(len(rows), 512)), put(4, 6, np.full(len(rows), 0x1E))
+        put(6, 10, 5900 + i * STEP + ((fault == "gap") & (i >= 3)))
+        out[:, 10:466] = bodies[variant, (event + i) % 16]
+        put(466, 468, user % 1000 + (i >= STALE)), put(468, 470, np.full(len(rows), 52837))
+        out[:, 470], out[:, 471] = event % 7, np.where(rows["event_type"].to_numpy() == "signup", 1 + event % 4, 0)
+        sealed(out, (fault == "checksum") & (i == 2))
+        return out
+
+    def head(user: int, us: int) -> bytes:
+        fault, day = FAULTS.get(user % 10), pd.Timestamp(us // 1_000_000, unit="s")
         text = f"{'Rate' if fault == 'rate' else 'SampleRate'}=180\nSampleStorageFormat=1\nstart_time={day:%H:%M:%S}\nstart_date={'13/45/10' if fault == 'date' else f'{day:%m/%d/%y}'}\nDiaryText=Manual Event^ Chest Pain ^^Cough^\n".encode()
-        head = bytearray(512)
-        head[: 6 + len(text)] = struct.pack("<I", 512) + b" \n" + text
-        out = [sealed(head)]
-        point, channel = np.arange(POINTS)[:, None], np.arange(CHANNELS)[None, :]
-        for i, (event, kind) in enumerate(zip(rows["event_id"].tolist(), rows["event_type"].tolist(), strict=True)):
-            codes = (event + point * (channel + 1) + i) % 16
-            codes = np.where(fault == "markers", 8, np.where(codes == 8, 0, codes))
-            if user % 10 == 5:
-                codes[{1: slice(POINTS - 1, None), 2: slice(0, 2)}.get(i % 3, slice(0, 0))] = 8
-            codes = codes.astype(np.uint8).ravel()
-            block = bytearray(512)
-            block[:10] = struct.pack("<IHI", 512, 0x1E, 5900 + i * STEP + (fault == "gap" and i >= 3))
-            block[10:466] = (codes[0::2] | (codes[1::2] << 4)).tobytes()
-            block[466:472] = struct.pack("<HHBB", user % 1000 + (i >= STALE), 52837, event % 7, 1 + event % 4 if kind == "signup" else 0)
-            out.append(sealed(block, fault == "checksum" and i == 2))
-        return pd.DataFrame([{"path": str(user), "content": b"".join(out), "kind": "native"}])
+        block = np.zeros((1, 512), np.uint8)
+        block[0, : 6 + len(text)] = np.frombuffer(struct.pack("<I", 512) + b" \n" + text, np.uint8)
+        sealed(block)
+        return block.tobytes()
+
+    def images(batches):
+        """Cards as their users end; of the one that goes on in the next batch what is there so far is held."""
+        current, held, n = None, [], 0
+        for rows in batches:
+            if rows.empty:
+                continue
+            users = rows["user_id"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+            i = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+            i += np.where(np.arange(len(rows)) < (starts[1] if len(starts) > 1 else len(rows)), n if users[0] == current else 0, 0)
+            blocks, out = ecg(rows, i), []
+            for a, b in zip(starts.tolist(), np.r_[starts[1:], len(rows)].tolist(), strict=True):
+                if users[a] != current:
+                    if held:
+                        out.append((str(current), b"".join(held), "native"))
+                    current, held, n = int(users[a]), [head(int(users[a]), int(rows["us"].iloc[a]))], 0
+                held.append(blocks[a:b].tobytes())
+                n += b - a
+            yield pd.DataFrame(out, columns=["path", "content", "kind"])
+        if held:
+            yield pd.DataFrame([(str(current), b"".join(held), "native")], columns=["path", "content", "kind"])
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type")
-    return events.groupBy("user_id").applyInPandas(image, "path string, content binary, kind string")
+    return events.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInPandas(images, "path string, content binary, kind string")
+
+
+def card_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, kind`` of :func:`cards`, without their images."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("user_id").cast("string").alias("path"), F.lit("native").alias("kind")).distinct()
 
 
 #: Of planted waveforms: samples a second, distance of beats in samples (0.7 s and more), quiet stretches at both ends.
