@@ -6,12 +6,11 @@ import math
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..ordered import walked
+from ..ordered import Rows, walked
 
 LABELLED = "recording_id string, beat_idx long, time_sec double, rr_sec double, qrs_sec double, label string, rr_base double, qrs_base double"
 
@@ -41,18 +40,16 @@ class _Baseline:
             return "N"
         return "V" if rr < C.PREMATURE_RATIO * usual_rr else "E" if rr >= C.LATE_RATIO * usual_rr else "N"
 
-    def take(self, rows: pd.DataFrame) -> pd.DataFrame:
-        rrs, widths = (rows[c].to_numpy(float) for c in ("rr_sec", "qrs_sec"))
+    def take(self, rows: Rows) -> Rows:
         bases, labels = [], []
-        for pair in zip(rrs.tolist(), widths.tolist(), strict=True):
+        for pair in zip(rows["rr_sec"].tolist(), rows["qrs_sec"].tolist(), strict=True):
             bases.append(self.usual or (math.nan, math.nan))
             labels.append(self._judge(*pair))
             if labels[-1] == "N":
                 self.normal.append(pair)
                 self.usual = tuple(_middle(list(v)) for v in zip(*self.normal, strict=True))
         usual_rr, usual_qrs = np.array(bases).T
-        nulls = lambda v: pd.Series(v, rows.index).astype("Float64")
-        return rows.assign(rr_sec=nulls(rrs), qrs_sec=nulls(widths), label=labels, rr_base=nulls(usual_rr), qrs_base=nulls(usual_qrs))
+        return rows | {"label": np.array(labels, object), "rr_base": usual_rr, "qrs_base": usual_qrs}
 
     def rest(self) -> None:
         return None
@@ -65,7 +62,7 @@ def label_beats(beats: DataFrame) -> DataFrame:
     ``rr_base, qrs_base`` are medians of the last normal beats. No frame of rows can express it, since
     labels decide what is in the frame.
     """
-    rows = beats.select("recording_id", "beat_idx", "time_sec", "rr_sec", "qrs_sec")
+    rows = beats.select("recording_id", "beat_idx", "time_sec", F.col("rr_sec").cast("double"), F.col("qrs_sec").cast("double"))
     return walked(rows, ("recording_id",), ("time_sec", "beat_idx"), _Baseline, LABELLED)
 
 

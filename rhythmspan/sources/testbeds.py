@@ -145,32 +145,39 @@ def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     first lead has; each but the wide ones is followed by a T wave. What is planted is in :func:`pulse_plan`, so SQL knows the beats.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     plan = pulse_plan(spark, sf_dir)
     order = Window.partitionBy("recording_id").orderBy("n")
     near = [c for k in (-1, 0, 1) for c in (F.lag("at", -k).over(order).alias(f"at{k + 1}"), F.lag("event_type", -k).over(order).alias(f"kind{k + 1}"))]
     # a chunk goes from half-way after the beat before to half-way to the next, and the neighbours' pulses reach into it
     rows = plan.select("recording_id", "n", *near)
+    at_once = 1024  # chunks, of some 150 samples and three leads
 
     def draw(batches):
         for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                begin = 0 if pd.isna(r.at0) else int(r.at0 + r.at1) // 2
-                end = int(r.at1) + LEAD_IN if pd.isna(r.at2) else int(r.at1 + r.at2) // 2
-                t = np.arange(begin, end, dtype=float)
+            for i in range(0, batch.num_rows, at_once):
+                part = batch.slice(i, at_once)
+                ats = [part[f"at{k}"].to_numpy(zero_copy_only=False).astype(float) for k in range(3)]
+                kinds = [part[f"kind{k}"].to_numpy(zero_copy_only=False) for k in range(3)]
+                begin = np.where(np.isnan(ats[0]), 0, (np.nan_to_num(ats[0]) + ats[1]) // 2).astype(np.int64)
+                end = np.where(np.isnan(ats[2]), ats[1] + LEAD_IN, (ats[1] + np.nan_to_num(ats[2])) // 2).astype(np.int64)
+                size = end - begin
+                ends = np.cumsum(size)
+                t = (np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)).astype(float)
                 leads = np.zeros((3, len(t)))
-                for at, kind in ((r.at0, r.kind0), (r.at1, r.kind1), (r.at2, r.kind2)):
-                    if not pd.isna(at):
-                        pulse = np.exp(-0.5 * ((t - at) / (WIDE if kind == "purchase" else NARROW)) ** 2)
-                        wave = T_WAVE * np.exp(-0.5 * ((t - at - 0.25 * PULSE_RATE) / 10.0) ** 2) * (kind != "purchase")
-                        leads[0] += pulse + wave
-                        leads[1] += (-0.8 * pulse if kind == "error" else 0.8 * pulse + wave) * (kind != "signup")
-                out += [(r.recording_id, c, begin, x) for c, x in enumerate(leads)]
-            yield pd.DataFrame(out, columns=["recording_id", "channel", "first_sample", "samples"])
-
-    return rows.mapInPandas(draw, "recording_id string, channel int, first_sample long, samples array<double>")
+                for at, kind in zip(ats, kinds, strict=True):
+                    wide, down, alone = (np.repeat(kind == k, size) for k in ("purchase", "error", "signup"))
+                    off = t - np.repeat(at, size)
+                    pulse = np.nan_to_num(np.exp(-0.5 * (off / np.where(wide, WIDE, NARROW)) ** 2))
+                    wave = np.nan_to_num(T_WAVE * np.exp(-0.5 * ((off - 0.25 * PULSE_RATE) / 10.0) ** 2) * ~wide)
+                    leads[0] += pulse + wave
+                    leads[1] += np.where(down, -0.8 * pulse, 0.8 * pulse + wave) * ~alone
+                offsets = pa.array(np.r_[0, ends], pa.int32())
+                for c in range(3):
+                    yield pa.RecordBatch.from_arrays([part["recording_id"], pa.array(np.full(len(size), c, np.int32)), pa.array(begin), pa.ListArray.from_arrays(offsets, pa.array(leads[c]))], names=["recording_id", "channel", "first_sample", "samples"])
+
+    return rows.mapInArrow(draw, "recording_id string, channel int, first_sample long, samples array<double>")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
