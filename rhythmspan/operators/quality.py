@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..ordered import written
 
 
 def with_rate(waveform: DataFrame, rate: float | None) -> DataFrame:
@@ -163,10 +164,12 @@ def assess(windows: DataFrame, recordings: DataFrame, window_sec: float = C.WIND
     """Judge recordings (``recording_id, recorded_sec``) by their full windows (``recording_id, window_idx, samples``).
 
     Returns ``recording_id, duration_sec, trimmed_sec`` and the merged spans to leave out. A
-    recording without a full window is left out whole; one of no length has no span.
+    recording without a full window is left out whole; one of no length has no span. The measures of
+    windows, the flags and what is kept are written: each is asked for several times, and samples once.
     """
-    flags = bad_windows(window_stats(windows)).select("recording_id", "window_idx", "lead_off", "bad")
-    kept = kept_windows(flags)
+    stats = written(window_stats(windows).drop("samples"), "window-stats")
+    flags = written(bad_windows(stats).select("recording_id", "window_idx", "lead_off", "bad"), "window-flags")
+    kept = written(kept_windows(flags), "windows-kept")
     lasts = F.when(F.col("kept") < F.col("windows"), F.col("kept") * window_sec).otherwise(F.col("recorded_sec"))
     judged = recordings.join(kept, "recording_id", "left").withColumn("duration_sec", lasts)
     i = F.col("window_idx")

@@ -52,6 +52,21 @@ def test_assess_without_a_full_window(spark):
     assert list(map(tuple, found.collect())) == [("a", 0, 3)]
 
 
+def test_samples_are_read_once_to_assess_them(spark, tmp_path):
+    windows, sizes = recording(spark, [("sine", 600), ("tone", 60), ("sine", 60)])
+    log = tmp_path / "read"
+
+    def read(batches):
+        for batch in batches:
+            with log.open("a") as f:
+                f.write("x" * len(batch))
+            yield batch
+
+    lengths, found = quality.assess(windows.mapInPandas(read, windows.schema), sizes)
+    assert lengths.count() == 1 and found.count() >= 1
+    assert len(log.read_text()) == 720 // 5
+
+
 def test_even_sample(spark):
     rows = spark.range(30).select(F.lit("r").alias("recording_id"), "id")
     assert [r.id for r in events.even_sample(rows, 4, ("recording_id",), ("id",)).orderBy("id").collect()] == [0, 10, 19, 29]
