@@ -188,7 +188,7 @@ def timeline_lanes(spark, d):
 
 
 def timeline_spans(spark, d):
-    b = testbeds.beats(spark, d)
+    b = written(testbeds.beats(spark, d), "beats")  # sorted once, and no task holds that sort beside the one of stretches
     return _rounded(report.spans(_durations(b), b, _sustained(b)))
 
 
