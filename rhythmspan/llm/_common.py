@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that a lost executor costs no recomputation."""
+def staged(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    ``tidy``: its shuffles go as soon as it is written, not when the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    if tidy:
+        spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A tidy ``staged`` whose tables go when the block ends; nothing read later may depend on them."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    try:
+        yield lambda df, what: staged(df, f"{name}/{what}", tidy=True)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

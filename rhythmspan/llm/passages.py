@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, rolling_hash, staged, window_runs
+from ._common import map_rows, rolling_hash, scratch, staged, window_runs
 from ._words import BASE, Words
 
 WORDS, GRAM = 50, 25
@@ -66,18 +66,6 @@ def shared_passages(keyed: DataFrame, words: int = WORDS, gram: int = GRAM) -> D
 
         return work
 
-    rows = staged(map_rows(keyed, anchors, "h long, c long, x long, again boolean"), "word-anchors")
-    # a copy of a text shows as `again` if both are of one task, else as two rows of a context
-    contexts = rows.groupBy("h", "c").agg(F.min("x").alias("x"), F.max("x").alias("other"), F.bool_or("again").alias("again"), F.count(F.lit(1)).alias("n"))
-    contexts = staged(contexts, "word-contexts")
-    alike = rows.join(contexts.where("x <> other or again or n > 1").select("h", "c"), ["h", "c"], "left_semi").select("x").distinct()
-    alike = staged(alike, "alike")
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    mixed = contexts.join(several, "h", "left_semi").select("h", "c", "x").join(alike.withColumn("found", F.lit(True)), "x", "left")
-    # an anchor matters only while a text of it is undecided
-    undecided = mixed.where("found is null").select("h").distinct()
-    wanted = mixed.join(undecided, "h", "left_semi").groupBy("x").agg(F.collect_list(F.struct("h", "c")).alias("wanted"))
-
     def runs():
         def work(cols):
             out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -92,7 +80,21 @@ def shared_passages(keyed: DataFrame, words: int = WORDS, gram: int = GRAM) -> D
 
         return work
 
-    asked = keyed.join(wanted, "x").select("x", "text", "wanted")
-    singles = staged(map_rows(asked, runs, "w long, x long", rows=64), "word-runs")
-    many = singles.groupBy("w").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("w")
-    return alike.unionByName(singles.join(many, "w", "left_semi").select("x")).distinct()
+    with scratch(keyed.sparkSession) as put:
+        with scratch(keyed.sparkSession) as briefly:
+            rows = briefly(map_rows(keyed, anchors, "h long, c long, x long, again boolean"), "word-anchors")
+            # a copy of a text shows as `again` if both are of one task, else as two rows of a context
+            contexts = rows.groupBy("h", "c").agg(F.min("x").alias("x"), F.max("x").alias("other"), F.bool_or("again").alias("again"), F.count(F.lit(1)).alias("n"))
+            contexts = put(contexts, "word-contexts")
+            alike = rows.join(contexts.where("x <> other or again or n > 1").select("h", "c"), ["h", "c"], "left_semi").select("x").distinct()
+            alike = put(alike, "alike")
+        several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+        mixed = contexts.join(several, "h", "left_semi").select("h", "c", "x").join(alike.withColumn("found", F.lit(True)), "x", "left")
+        # an anchor matters only while a text of it is undecided
+        undecided = mixed.where("found is null").select("h").distinct()
+        wanted = mixed.join(undecided, "h", "left_semi").groupBy("x").agg(F.collect_list(F.struct("h", "c")).alias("wanted"))
+        # written before it meets the texts, so that its shuffles are gone when those are dealt
+        asked = keyed.join(put(wanted, "word-wanted"), "x").select("x", "text", "wanted")
+        singles = put(map_rows(asked, runs, "w long, x long", rows=64), "word-runs")
+        many = singles.groupBy("w").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("w")
+        return staged(alike.unionByName(singles.join(many, "w", "left_semi").select("x")).distinct(), "shared", tidy=True)

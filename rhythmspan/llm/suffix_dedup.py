@@ -19,7 +19,7 @@ others of their anchor:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bwt import repeated_starts
-from ._common import map_rows, partitions, rolling_hash, staged, window_runs
+from ._common import map_rows, partitions, rolling_hash, scratch, staged, window_runs
 from .passages import WORDS, shared_passages
 
 LENGTH, GRAM = 400, 80
@@ -208,18 +208,18 @@ def _strings(blocks: DataFrame) -> DataFrame:
     return map_rows(blocks, build, "h long, core long, w long, id long, x long, at long, single boolean", rows=1024)
 
 
-def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of the contexts of anchors with very many of them, by counting keys; no key's rows meet in a task."""
+def hot_spans(contexts: DataFrame, length: int, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Spans of the contexts of anchors with very many of them, by counting keys; no key's rows meet in a task. ``put`` stages."""
     place = F.struct("id", "x", "start")
-    blocks = staged(_blocks(contexts, length), "blocks")
-    around = staged(blocks.groupBy("h", "core", "q").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count_if("single").alias("singles")), "around")
+    blocks = put(_blocks(contexts, length), "blocks")
+    around = put(blocks.groupBy("h", "core", "q").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count_if("single").alias("singles")), "around")
     copied = blocks.where("single").join(around.where("a <> b").select("h", "core", "q"), ["h", "core", "q"], "left_semi")
     whole = copied.select("id", "x", "start", (F.col("start") + F.col("more") + length).alias("stop"))
     differ = around.groupBy("h", "core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "core")
     edges = blocks.join(around.where("a = b").select("h", "core", "q"), ["h", "core", "q"], "left_semi").unionByName(
         blocks.join(around.where("a <> b").select("h", "core", "q", F.col("a.id").alias("id"), F.col("a.x").alias("x"), F.col("a.start").alias("start")), ["h", "core", "q", "id", "x", "start"], "left_semi").withColumn("single", F.lit(False))
     )
-    strings = staged(_strings(edges.join(differ, ["h", "core"], "left_semi")), "strings")
+    strings = put(_strings(edges.join(differ, ["h", "core"], "left_semi")), "strings")
     at = F.struct("id", "x", "at")
     many = strings.groupBy("h", "core", "w").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("h", "core", "w")
     counted = strings.where("single").join(many, ["h", "core", "w"], "left_semi").select("id", "x", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
@@ -229,16 +229,6 @@ def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``id, x, start, stop``: spans that cover exactly the bytes of repeated strings; spans may overlap."""
     spark = keyed.sparkSession
-    found = staged(anchors(keyed, length, gram), "anchors")
-    rows = found.where("kind = 'a'").drop("kind")
-    within = found.where("kind = 's'").select("id", "x", F.col("pos").alias("start"), (F.col("pos") + F.col("tail")).alias("stop"))
-    contexts = rows.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("id", "x", "pos", "head", "tail")).alias("one"))
-    copied = rows.join(contexts.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").where(F.col("head") + F.col("tail") >= length)
-    spans = within.unionByName(copied.select("id", "x", (F.col("pos") - F.col("head")).alias("start"), (F.col("pos") + F.col("tail")).alias("stop")))
-
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("singles")).where("m > 1 and singles > 0").drop("singles")
-    mixed = staged(contexts.join(several, "h").select("h", "m", (F.col("n") == 1).alias("single"), "one.*").where(F.col("head") + F.col("tail") >= length), "contexts")
-    wanted = mixed.groupBy("id", "x").agg(F.collect_list(F.struct("h", "m", "single", "pos", "head", "tail")).alias("wanted"))
 
     def build():
         def work(cols):
@@ -253,14 +243,27 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
         return work
 
-    # equal rows (same id, same text) come twice here, at one place
-    texts = keyed.join(wanted, ["id", "x"]).select("id", "x", "text", "wanted")
-    pieces = staged(map_rows(texts, build, "h long, m long, id long, x long, start long, head int, single boolean, context binary", rows=64), "pieces")
-    small = pieces.where(F.col("m") <= HOT)
-    size = small.agg(F.sum(F.octet_length("context"))).first()[0] or 0
-    tasks = max(partitions(spark), -(-size // TASK_BYTES))
-    expanded = small.repartition(tasks, "h").select("id", "x", "start", "head", "single", "context").mapInArrow(_task_spans(length), SPANS)
-    return spans.unionByName(expanded).unionByName(hot_spans(pieces.where(F.col("m") > HOT), length))
+    with scratch(spark) as put:
+        found = put(anchors(keyed, length, gram), "anchors")
+        rows = found.where("kind = 'a'").drop("kind")
+        within = found.where("kind = 's'").select("id", "x", F.col("pos").alias("start"), (F.col("pos") + F.col("tail")).alias("stop"))
+        contexts = rows.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("id", "x", "pos", "head", "tail")).alias("one"))
+        copied = rows.join(contexts.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").where(F.col("head") + F.col("tail") >= length)
+        spans = within.unionByName(copied.select("id", "x", (F.col("pos") - F.col("head")).alias("start"), (F.col("pos") + F.col("tail")).alias("stop")))
+
+        several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("singles")).where("m > 1 and singles > 0").drop("singles")
+        mixed = put(contexts.join(several, "h").select("h", "m", (F.col("n") == 1).alias("single"), "one.*").where(F.col("head") + F.col("tail") >= length), "contexts")
+        wanted = mixed.groupBy("id", "x").agg(F.collect_list(F.struct("h", "m", "single", "pos", "head", "tail")).alias("wanted"))
+        # equal rows (same id, same text) come twice here, at one place
+        texts = keyed.join(wanted, ["id", "x"]).select("id", "x", "text", "wanted")
+        pieces = put(map_rows(texts, build, "h long, m long, id long, x long, start long, head int, single boolean, context binary", rows=64), "pieces")
+        small = pieces.where(F.col("m") <= HOT)
+        size = small.agg(F.sum(F.octet_length("context"))).first()[0] or 0
+        tasks = max(partitions(spark), -(-size // TASK_BYTES))
+        expanded = small.repartition(tasks, "h").select("id", "x", "start", "head", "single", "context").mapInArrow(_task_spans(length), SPANS)
+        # written one by one, so that the shuffles of one are gone before those of the next
+        done = [staged(part, "spans", tidy=True) for part in (spans, expanded, hot_spans(pieces.where(F.col("m") > HOT), length, put))]
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS) -> DataFrame:

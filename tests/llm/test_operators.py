@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import time
 import uuid
 import zlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rhythmspan.llm import decontamination, language, mixing, quality, rollup, sharding, simhash, suffix_dedup, toxicity, winnowing
 from rhythmspan.llm._bwt import repeated_starts
-from rhythmspan.llm._common import shared_dir
+from rhythmspan.llm._common import scratch, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string"
 
@@ -62,6 +65,41 @@ def test_suffix_dedup(spark, texts, monkeypatch, hot):
         assert got[i].kept_sha256 == hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+@pytest.mark.parametrize("hot", [400, 1])
+def test_suffix_dedup_leaves_little_on_disk(spark, texts, monkeypatch, hot):
+    """Before the result is asked for, only what it reads is left: no shuffles, no tables of steps that are done."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_") and name.endswith(".data")}
+
+    old, tables = shuffles(), {f.name for f in Path(urlparse(shared_dir(spark)).path).iterdir()}
+    kept = suffix_dedup.remove_repeats(table(spark, texts))
+    until = time.time() + 20  # Spark removes them in the background
+    while shuffles() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - old
+    left = sorted(f.name.rsplit("-", 1)[0] for f in Path(urlparse(shared_dir(spark)).path).iterdir() if f.name not in tables)
+    assert left == ["shared", "spans", "spans", "spans"]
+    assert kept.count() == len(texts)
+
+
+def test_scratch(spark):
+    """Tables of a block go with it, also if it fails; the session's settings are as before."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for before in (None, "false", "true"):
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+        with pytest.raises(ZeroDivisionError), scratch(spark) as put:
+            got = put(spark.range(10).withColumn("half", F.floor(F.col("id") / 2)).groupBy("half").count(), "halves")
+            (name,) = {f.rsplit("/", 1)[0] for f in got.inputFiles()}
+            assert got.agg(F.sum("count")).first()[0] == 10 and Path(urlparse(name).path).is_dir()
+            1 / 0
+        assert not Path(urlparse(name).path).parent.exists() and spark.conf.get(cleanup, None) == before
+    spark.conf.unset(cleanup)
+
+
 def test_shared_passages(spark):
     """Passages of 40 to 60 short words at any place, edges, copies, and repeats within one text, against all runs of 50 words."""
     rng = random.Random(21)
