@@ -10,6 +10,7 @@ Equal fingerprints are one row before any of this, so copies cost nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ RADIUS = 4
 SHINGLE = 4
 #: Bits of the blocks; radius + 2 blocks, two of which agree.
 BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Rows (16 to 32 bytes) that one task writes, about.
+ROWS_A_TASK = 1 << 20
 
 
 def fingerprint(text: str | None, words_in: int = SHINGLE) -> int:
@@ -178,24 +181,35 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def _thin(df: DataFrame, rows: int) -> DataFrame:
+    """Dealt by the number of rows (about that many) and not by that of shuffle partitions.
+
+    A small table in hundreds of files costs more than its rows: without Hadoop's native library a
+    local folder starts processes for each file, beside the executor's own.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
+def connected_components(links: DataFrame, most: int | None = None) -> DataFrame:
     """``node, root``: the least node of each node's component, for all nodes that have a link.
 
     Edges are first turned into stars within each task. Then large stars (hand higher neighbours
     to the least one) and small stars (hand lower ones) alternate until no link changes. Every
-    round is a table in the shared folder; its joins are not broadcast.
+    round is a table in the shared folder; its joins are not broadcast. ``most``: there are no
+    more links than that; without it they are counted, which reads them twice.
     """
     stars = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long")
-    edges = staged(stars.distinct(), "links")
-    before = None
+    edges = staged(_thin(stars.distinct(), links.count() if most is None else most), "links")
+    state = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = staged(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = staged(_thin(small, before[0]), "links")
+        now = state()
         if now == before:
             break
         before = now
@@ -212,9 +226,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_in: int = SHING
     columns are not read. An empty table gives an empty one.
     """
     prints = staged(fingerprints(docs, words_in), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    roots = connected_components(fingerprint_links(distinct, radius))
+    rows = prints.count()
+    distinct = staged(_thin(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), rows), "distinct")
+    # a shard's forest has fewer links than members
+    roots = connected_components(fingerprint_links(distinct, radius), math.comb(len(BLOCKS), 2) * distinct.count())
     linked = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
     named = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_print = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(named, "root", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _thin(prints.join(of_print, "fp"), rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
