@@ -232,5 +232,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_in: int = SHING
     roots = connected_components(fingerprint_links(distinct, radius), math.comb(len(BLOCKS), 2) * distinct.count())
     linked = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
     named = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_print = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(named, "root", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    # prints without a link have no root: they never meet on that key
+    of_node = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
+    of_print = distinct.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
     return _thin(prints.join(of_print, "fp"), rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
