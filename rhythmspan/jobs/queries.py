@@ -243,7 +243,7 @@ def strip_sections(spark, d):
 
 def waveform_planted(spark, d):
     """Beats found in planted pulse trains: times to a tenth of a second, wide ones told from narrow ones."""
-    found = detection.detect(written(testbeds.pulses(spark, d), "pulses"), float(testbeds.PULSE_RATE))
+    found = detection.detect(written(testbeds.pulses(spark, d), "pulses", "zstd"), float(testbeds.PULSE_RATE))
     return found.select("recording_id", "beat_idx", F.round("time_sec", 1).alias("time_sec"), F.round("rr_sec", 1).alias("rr_sec"), (F.col("qrs_sec") > 0.16).alias("wide"))
 
 

@@ -81,8 +81,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(rows: DataFrame, what: str) -> DataFrame:
+def written(rows: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """The table, written to the shared folder and read back, so that several uses compute it once."""
     path = f"{shared_folder(rows.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.option("compression", compression).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

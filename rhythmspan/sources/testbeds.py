@@ -139,7 +139,7 @@ def pulse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``recording_id, channel, first_sample, samples``: pulse trains on two leads and a flat third one, a chunk an event.
+    """``recording_id, channel, first_sample, samples`` (packed): pulse trains on two leads and a flat third one, a chunk an event.
 
     A purchase is a wide pulse, an error one that goes down on the second lead, a signup one that only the
     first lead has; each but the wide ones is followed by a T wave. What is planted is in :func:`pulse_plan`, so SQL knows the beats.
@@ -147,12 +147,22 @@ def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    from ..samples import pack
+
     plan = pulse_plan(spark, sf_dir)
     order = Window.partitionBy("recording_id").orderBy("n")
     near = [c for k in (-1, 0, 1) for c in (F.lag("at", -k).over(order).alias(f"at{k + 1}"), F.lag("event_type", -k).over(order).alias(f"kind{k + 1}"))]
     # a chunk goes from half-way after the beat before to half-way to the next, and the neighbours' pulses reach into it
     rows = plan.select("recording_id", "n", *near)
     at_once = 1024  # chunks, of some 150 samples and three leads
+    # what an event adds to both leads by the samples from it, as the exponentials are 0 beyond: none, purchase, error, signup, any other
+    reach = 1024
+    off = np.arange(-reach, reach + 1, dtype=float)
+    pulse = {wide: np.exp(-0.5 * (off / (WIDE if wide else NARROW)) ** 2) for wide in (False, True)}
+    wave = T_WAVE * np.exp(-0.5 * ((off - 0.25 * PULSE_RATE) / 10.0) ** 2)
+    none, plain, alike = np.zeros(len(off)), pulse[False] + wave, 0.8 * pulse[False] + wave
+    shapes = np.stack([[none, pulse[True], plain, plain, plain], [none, 0.8 * pulse[True], -0.8 * pulse[False], none, alike]]).reshape(2, -1)
+    numbers = {"purchase": 1, "error": 2, "signup": 3}
 
     def draw(batches):
         for batch in batches:
@@ -164,20 +174,18 @@ def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
                 end = np.where(np.isnan(ats[2]), ats[1] + LEAD_IN, (ats[1] + np.nan_to_num(ats[2])) // 2).astype(np.int64)
                 size = end - begin
                 ends = np.cumsum(size)
-                t = (np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)).astype(float)
+                t = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
                 leads = np.zeros((3, len(t)))
                 for at, kind in zip(ats, kinds, strict=True):
-                    wide, down, alone = (np.repeat(kind == k, size) for k in ("purchase", "error", "signup"))
-                    off = t - np.repeat(at, size)
-                    pulse = np.nan_to_num(np.exp(-0.5 * (off / np.where(wide, WIDE, NARROW)) ** 2))
-                    wave = np.nan_to_num(T_WAVE * np.exp(-0.5 * ((off - 0.25 * PULSE_RATE) / 10.0) ** 2) * ~wide)
-                    leads[0] += pulse + wave
-                    leads[1] += np.where(down, -0.8 * pulse, 0.8 * pulse + wave) * ~alone
-                offsets = pa.array(np.r_[0, ends], pa.int32())
+                    place = np.where(np.isnan(at), ats[1], at).astype(np.int64)  # there is no event, and it adds nothing
+                    number = np.array([0 if np.isnan(x) else numbers.get(k, 4) for x, k in zip(at, kind, strict=True)])
+                    shape = np.clip(t - np.repeat(place, size), -reach, reach) + np.repeat(number * len(off) + reach, size)
+                    leads[0] += shapes[0][shape]
+                    leads[1] += shapes[1][shape]
                 for c in range(3):
-                    yield pa.RecordBatch.from_arrays([part["recording_id"], pa.array(np.full(len(size), c, np.int32)), pa.array(begin), pa.ListArray.from_arrays(offsets, pa.array(leads[c]))], names=["recording_id", "channel", "first_sample", "samples"])
+                    yield pa.RecordBatch.from_arrays([part["recording_id"], pa.array(np.full(len(size), c, np.int32)), pa.array(begin), pack(np.r_[0, ends], leads[c])], names=["recording_id", "channel", "first_sample", "samples"])
 
-    return rows.mapInArrow(draw, "recording_id string, channel int, first_sample long, samples array<double>")
+    return rows.mapInArrow(draw, "recording_id string, channel int, first_sample long, samples binary")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
