@@ -13,10 +13,11 @@ from ..sources import cards
 from .screening import kept_presses, summarize
 
 
-def open_cards(found: DataFrame, names: DataFrame | None = None) -> dict[str, DataFrame]:
+def open_cards(found: DataFrame, names: DataFrame | None = None, packed: bool = False) -> dict[str, DataFrame]:
     """``waveform, recordings, presses, rejects`` of cards (``path, content, kind``); each card is cut into blocks once.
 
-    ``names`` (``path, kind``) are the same cards where a list of them costs less than the images.
+    ``names`` (``path, kind``) are the same cards where a list of them costs less than the images; ``packed``
+    samples are binary (:mod:`samples`).
 
     The path of a card is its ``recording_id``. Cards that can't be used are in ``rejects`` alone.
     """
@@ -26,7 +27,7 @@ def open_cards(found: DataFrame, names: DataFrame | None = None) -> dict[str, Da
     name = F.col("path").alias("recording_id")
     channels = F.array(*[F.lit(n) for n in cards.CHANNEL_NAMES]).alias("channel_names")
     return {
-        "waveform": cards.waveform(good).select(name, "channel", "first_sample", "samples"),
+        "waveform": cards.waveform(good, packed).select(name, "channel", "first_sample", "samples"),
         "recordings": cards.headers(good).select(name, "start_time", channels),
         "presses": cards.presses(good).select(name, "time_sec", "type_index", "label", "detail"),
         "rejects": rejects,
@@ -36,7 +37,8 @@ def open_cards(found: DataFrame, names: DataFrame | None = None) -> dict[str, Da
 def analyse(waveform: DataFrame, recordings: DataFrame, presses: DataFrame, rate: float | None = float(cards.RATE), min_hours: float = C.MIN_HOURS) -> dict[str, DataFrame]:
     """The tables of all recordings (``recording_id, start_time``, and ``weight_class`` where known).
 
-    ``rate`` is the sample rate of all of them; if it is None, ``waveform`` has a ``rate`` column.
+    ``rate`` is the sample rate of all of them; if it is None, ``waveform`` has a ``rate`` column. Samples are
+    arrays, or packed (:mod:`samples`).
 
     ``quality, spans, beats, presses, summary, panels, hours, hours_text, trend, lanes, timeline, events,
     extremes, strips, strip_beats, waveforms``. Recordings whose leads don't fit together are in ``rejects``
@@ -141,8 +143,8 @@ def run(spark: SparkSession, folder: str, out: str, commit: str | None = None) -
     commit = commit or f"{found.agg(F.coalesce(F.hex(F.bit_xor(F.xxhash64('path', 'length'))), F.lit('none'))).first()[0]}"
     if archive.published_before(commit):
         return False
-    opened = open_cards(found)
-    waveform = written(opened["waveform"], "waveform")
+    opened = open_cards(found, packed=True)
+    waveform = written(opened["waveform"], "waveform", "zstd")
     tables = analyse(waveform, opened["recordings"], opened["presses"])
     bad = opened["rejects"].select(F.col("path").alias("recording_id"), "reason")
     return archive.commit(tables | {"rejects": bad.unionByName(tables["rejects"].select("recording_id", F.col("rejected").alias("reason")))}, commit)

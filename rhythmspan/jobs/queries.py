@@ -342,8 +342,8 @@ def start_overrides(spark, d):
     return got.select("recording_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_text"), "rejected")
 
 
-def _open_cards(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return archive.open_cards(testbeds.cards(spark, d), testbeds.card_names(spark, d))
+def _open_cards(spark: SparkSession, d: str, packed: bool = False) -> dict[str, DataFrame]:
+    return archive.open_cards(testbeds.cards(spark, d), testbeds.card_names(spark, d), packed)
 
 
 def card_kinds(spark, d):
@@ -397,8 +397,8 @@ def card_waveforms(spark, d):
 
 def card_tables(spark, d):
     """Rows of each table of a whole job over the cards, from blocks to strips."""
-    opened = _open_cards(spark, d)
-    tables = archive.analyse(written(opened["waveform"], "waveform"), opened["recordings"], opened["presses"])
+    opened = _open_cards(spark, d, packed=True)
+    tables = archive.analyse(written(opened["waveform"], "waveform", "zstd"), opened["recordings"], opened["presses"])
     counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
     out = counts[0]
     for c in counts[1:]:

@@ -11,6 +11,7 @@ where they are, and go on as blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ordered import written
+from ..samples import pack
 
 # Fixed values of the card format.
 BLOCK, POINTS, CHANNELS, RATE = 512, 304, 3, 180
@@ -34,6 +36,8 @@ CHANNEL_NAMES = ("Ch 1", "Ch 2", "Ch 3")
 WAVEFORM = "path string, channel int, chunk_idx long, first_sample long, samples array<double>"
 #: Blocks that are in memory at once, and that one task reads of a card (64 MB).
 BATCH, RANGE = 4096, 131_072
+#: Blocks of the parts that an image in a table is cut into, one after the other.
+CUTS = (2048, 64, 8, 1)
 
 
 def kind_of(path: Column, head: Column) -> Column:
@@ -148,12 +152,21 @@ def nibbles(body: np.ndarray) -> np.ndarray:
     return np.stack([body & 15, body >> 4], axis=2).reshape(len(body), POINTS, CHANNELS)
 
 
+def _parts(rows: DataFrame, size: int) -> DataFrame:
+    """``path, block_idx, block`` cut into parts of ``size`` blocks."""
+    part = lambda i: F.substring("block", (i * (size * BLOCK) + 1).cast("int"), F.lit(size * BLOCK))
+    starts = F.sequence(F.lit(0).cast("long"), F.ceil(F.length("block") / (size * BLOCK)) - 1)
+    each = F.transform(starts, lambda i: F.struct((F.col("block_idx") + i * size).alias("block_idx"), part(i).alias("block")))
+    return rows.select("path", F.explode(each).alias("b")).select("path", "b.block_idx", "b.block")
+
+
 def as_blocks(cards: DataFrame) -> DataFrame:
-    """``path, block_idx, block`` of images in a table, a row of 512 bytes each: a batch of whole images would grow with their size."""
-    n = F.ceil(F.length("content") / BLOCK)
-    part = lambda i: F.substring("content", (i * BLOCK + 1).cast("int"), F.lit(BLOCK))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(i.alias("block_idx"), part(i).alias("block")))
-    return cards.where("kind = 'native' and length(content) > 0").select("path", F.explode(each).alias("b")).select("path", "b.block_idx", "b.block")
+    """``path, block_idx, block`` of images in a table, a row of 512 bytes each: a batch of whole images would grow with their size.
+
+    Each cut copies what it is cut from, so images are cut into large parts, those into smaller ones and those into blocks.
+    """
+    rows = cards.where("kind = 'native' and length(content) > 0").select("path", F.lit(0).cast("long").alias("block_idx"), F.col("content").alias("block"))
+    return reduce(_parts, CUTS, rows)
 
 
 def blocks(cards: DataFrame) -> DataFrame:
@@ -257,14 +270,14 @@ def presses(kept: DataFrame) -> DataFrame:
 
 #: Of an ECG block: what its codes add up to, and its first and last point that is no marker with the levels there, an entry a channel.
 SUMS = "path string, ordinal long, total array<long>, first_at long, first_count array<long>, last_at long, last_count array<long>"
-#: Blocks unpacked at once.
-UNPACKED = 1024
+#: Blocks unpacked at once: arrays of theirs stay in a core's cache.
+UNPACKED = 256
 
 
 def _levels(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums (blocks, points, channels) inside each block, and which points are no markers."""
-    codes = nibbles(np.frombuffer(b"".join(bodies), dtype=np.uint8).reshape(len(bodies), -1))
-    return np.cumsum(np.array(DELTAS, dtype=np.int32)[codes], axis=1, dtype=np.int64), codes[:, :, 0] != MARKER
+    """Running sums (blocks, channels, points) inside each block, and which points are no markers."""
+    codes = np.ascontiguousarray(nibbles(np.frombuffer(b"".join(bodies), dtype=np.uint8).reshape(len(bodies), -1)).transpose(0, 2, 1))
+    return np.cumsum(np.array(DELTAS, dtype=np.int64)[codes], axis=2), codes[:, 0] != MARKER
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,41 +290,58 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.arange(len(level))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * CHANNELS, pa.int32()), pa.array(x.ravel(), pa.int64()))
             at = lambda x, none=none: pa.array(x, pa.int64(), mask=none)
-            yield pa.RecordBatch.from_arrays([part["path"], part["ordinal"], lists(level[:, -1]), at(first), lists(level[row, first]), at(last), lists(level[row, last])], names=names)
+            yield pa.RecordBatch.from_arrays([part["path"], part["ordinal"], lists(level[:, :, -1]), at(first), lists(level[row, :, first]), at(last), lists(level[row, :, last])], names=names)
+
+
+def _side(points: list[dict | None], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the last or next point outside of each block is (NaN: there is none), and its levels."""
+    at = np.array([p["at"] if p else np.nan for p in points]) - start
+    return at, np.array([p["count"] if p else [0] * CHANNELS for p in points], dtype=np.float64)
+
+
+def _lines(values: np.ndarray, good: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks with lines drawn over what is not ``good``, and which of them have no known point on either side; beyond the last known one its level goes on."""
+    point, row = np.arange(POINTS), np.arange(len(good))[:, None]
+    left = np.maximum.accumulate(np.where(good, point, -1), axis=1)
+    right = np.minimum.accumulate(np.where(good, point, POINTS)[:, ::-1], axis=1)[:, ::-1]
+    x0, x1 = np.where(left >= 0, left, before[0][:, None]), np.where(right < POINTS, right, after[0][:, None])
+    out = values.copy()
+    for c in range(CHANNELS):
+        y0 = np.where(left >= 0, values[row, c, left], before[1][:, c, None])
+        y1 = np.where(right < POINTS, values[row, c, np.minimum(right, POINTS - 1)], after[1][:, c, None])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            line = (y1 - y0) / (x1 - x0) * (point - x0) + y0
+        out[:, c] = np.where(good, values[:, c], np.where(np.isnan(x0), y1, np.where(np.isnan(x1), y0, line)))
+    return out, ~good.any(axis=1) & np.isnan(before[0]) & np.isnan(after[0])
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], packed: bool = False) -> Iterator[pa.RecordBatch]:
     """Add the sum of the blocks before, draw lines over markers, scale; a channel of markers alone stays null."""
     names = [c.split()[0] for c in WAVEFORM.split(", ")]
-    point = np.arange(POINTS)
     for batch in batches:
         for i in range(0, batch.num_rows, UNPACKED):
             part = batch.slice(i, UNPACKED)
             level, good = _levels(part["body"].to_pylist())
             n = len(level)
-            values = (level + np.array(part["carry"].to_pylist(), dtype=np.int64)[:, None, :]).astype(np.float64)
-            values = np.ascontiguousarray(values.transpose(0, 2, 1))  # a row a channel
+            values = (level + np.array(part["carry"].to_pylist(), dtype=np.int64)[:, :, None]).astype(np.float64)  # a row a channel
             unknown = np.zeros(n, bool)
-            for k in np.flatnonzero(~good.all(axis=1)).tolist():
-                before, after = part["before"][k].as_py(), part["after"][k].as_py()
-                inside = np.flatnonzero(good[k])
+            marked = np.flatnonzero(~good.all(axis=1))
+            if len(marked):
                 # positions of other blocks are counted from this one's first sample
-                start = part["ordinal"][k].as_py() * POINTS
-                at = np.r_[[before["at"] - start] if before else [], inside, [after["at"] - start] if after else []].astype(np.float64)
-                unknown[k] = not len(at)
-                for c in range(CHANNELS) if len(at) else ():
-                    known = np.r_[[before["count"][c]] if before else [], values[k, c, inside], [after["count"][c]] if after else []]
-                    values[k, c] = np.interp(point, at, known)
+                start = part["ordinal"].to_numpy(zero_copy_only=False)[marked] * POINTS
+                sides = [_side(part[c].take(pa.array(marked)).to_pylist(), start) for c in ("before", "after")]
+                values[marked], unknown[marked] = _lines(values[marked], good[marked], *sides)
             ordinal = np.repeat(part["ordinal"].to_numpy(zero_copy_only=False), CHANNELS)
-            offsets = pa.array(np.arange(n * CHANNELS + 1) * POINTS, pa.int32())
-            samples = pa.ListArray.from_arrays(offsets, pa.array((values * MILLIVOLTS).ravel()), mask=pa.array(np.repeat(unknown, CHANNELS)))
+            ends, flat, none = np.arange(n * CHANNELS + 1) * POINTS, (values * MILLIVOLTS).ravel(), np.repeat(unknown, CHANNELS)
+            samples = pack(ends, flat, none) if packed else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(none))
             path = part["path"].take(pa.array(np.repeat(np.arange(n), CHANNELS)))
             yield pa.RecordBatch.from_arrays([path, pa.array(np.tile(np.arange(CHANNELS, dtype=np.int32), n)), pa.array(ordinal), pa.array(ordinal * POINTS), samples], names=names)
 
 
-def waveform(kept: DataFrame) -> DataFrame:
+def waveform(kept: DataFrame, packed_samples: bool = False) -> DataFrame:
     """``WAVEFORM`` in millivolts: one chunk a block and channel. Leave out the cards of :func:`rejects` first (:func:`usable`).
 
+    With ``packed_samples`` they are binary (:mod:`samples`), which costs less to write and to read.
     Blocks are unpacked twice, which is cheap, and meet in the shuffles packed: unpacked ones take 16 times the room.
     """
     packed = kept.where("ecg").select("path", "ordinal", "body")
@@ -324,4 +354,4 @@ def waveform(kept: DataFrame) -> DataFrame:
     point = lambda side: F.when(F.col(f"{side}_at").isNotNull(), F.struct((F.col("ordinal") * POINTS + F.col(f"{side}_at")).alias("at"), level(side).alias("count")))
     thin = thin.withColumns({"__first": point("first"), "__last": point("last")}).select("path", "ordinal", "carry", "__first", "__last")
     thin = thin.withColumn("before", F.last("__last", ignorenulls=True).over(by)).withColumn("after", F.last("__first", ignorenulls=True).over(down))
-    return packed.join(thin.select("path", "ordinal", "carry", "before", "after"), ["path", "ordinal"]).mapInArrow(_finish, WAVEFORM)
+    return packed.join(thin.select("path", "ordinal", "carry", "before", "after"), ["path", "ordinal"]).mapInArrow(partial(_finish, packed=packed_samples), WAVEFORM.replace("array<double>", "binary") if packed_samples else WAVEFORM)
